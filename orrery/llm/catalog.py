@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality, urlfilter
+from . import bpe, decontam, quality, urlfilter
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_decontamination": decontam.op8_decontamination,
 }
 SQL = {
     "op5_quality_rules": quality.OP5_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
+    "op8_decontamination": decontam.OP8_SQL,
 }
