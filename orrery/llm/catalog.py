@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, quality, urlfilter
+from . import bagminhash, bpe, decontam, quality, urlfilter
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_near_duplicates": bagminhash.op9_near_duplicates,
 }
 SQL = {
     "op5_quality_rules": quality.OP5_SQL,
