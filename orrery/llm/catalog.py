@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, decontam, quality, urlfilter
+from . import bagminhash, bpe, decontam, langid, quality, urlfilter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filter": urlfilter.op7_url_filter,
