@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, decontam, langid, quality, urlfilter
+from . import bagminhash, bpe, decontam, langid, quality, toxicity, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_near_duplicates": bagminhash.op9_near_duplicates,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op5_quality_rules": quality.OP5_SQL,
