@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, decontam, langid, quality, toxicity, urlfilter
+from . import bagminhash, bpe, decontam, langid, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_decontamination": decontam.op8_decontamination,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op4_warc_revisits": warc.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
     "op8_decontamination": decontam.OP8_SQL,
