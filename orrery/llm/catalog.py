@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, decontam, langid, quality, toxicity, urlfilter, warc
+from . import bagminhash, bpe, decontam, html, langid, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_html_extraction": html.op3_html_extraction,
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filter": urlfilter.op7_url_filter,
