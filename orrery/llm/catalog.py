@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, decontam, html, langid, quality, toxicity, urlfilter, warc
+from . import bagminhash, bpe, compaction, decontam, html, langid, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html.op3_html_extraction,
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_compaction": compaction.op6_compaction,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_near_duplicates": bagminhash.op9_near_duplicates,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op4_warc_revisits": warc.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op6_compaction": compaction.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
     "op8_decontamination": decontam.OP8_SQL,
 }
