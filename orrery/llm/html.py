@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import free_name, pages, stored
+from .textkit import bound_batches, free_name, pages, stored
 from .urlfilter import host_of
 
 #: Pages that a node needs before its importance counts, and the least importance that stays.
@@ -232,6 +232,7 @@ def importance(df: DataFrame, url_col: str = "url", html_col: str = "html", gamm
 
     Counts are gathered in each task before they are shuffled, so that a host of any size
     sends one row for each of its nodes' presentations and texts."""
+    bound_batches(df.sparkSession)
     rows = df.select(host_of(F.col(f"`{url_col}`").cast("string")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     counts = rows.mapInArrow(_tree(), "host string, path long, kind int, what long, wide int, n long").groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"), F.max("wide").alias("wide"))
     # sums that give both entropies without the number of pages: sum of n, of n log n, of log n

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import U64, annotate, chunks, documents, mix
+from .textkit import U64, annotate, bound_batches, chunks, documents, mix
 
 DIMENSIONS = 2048
 #: Vectors of runs that a worker keeps.
@@ -194,6 +194,7 @@ def _learn(dimensions: int):
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Profiles:
     """The prototypes of all languages in df's rows.  Each task bundles its rows; only
     one vector for each task and language is shuffled."""
+    bound_batches(df.sparkSession)
     lang = F.col(f"`{lang_col}`").cast("string")
     rows = df.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang <> '' and text is not null")
     sums = rows.mapInArrow(_learn(dimensions), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))

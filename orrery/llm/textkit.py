@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Texts that come to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 #: Space and the five controls 0x09-0x0D.
 WHITE = np.zeros(256, bool)
@@ -165,6 +167,14 @@ def _annotator(kernel: Callable[[], Kernel], names: Sequence[str], where: str |
     return run
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets a Python worker get at most BATCH_BYTES at once (or one row), so that its
+    memory doesn't depend on how long the texts of ten thousand rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def annotate(df: DataFrame, text_col: str, out: str, kernel: Callable[[], Kernel], keep: Sequence[str] | None = None) -> DataFrame:
     """df's columns `keep` (default: all) with the columns of the DDL string `out`
     that a kernel computes from whole texts, batch by batch.
@@ -172,6 +182,7 @@ def annotate(df: DataFrame, text_col: str, out: str, kernel: Callable[[], Kernel
     `kernel` is called once in each task and returns a function from an Arrow
     string array to one array for each column of `out`.  A kept column that has the
     name of an output is left out."""
+    bound_batches(df.sparkSession)
     schema = T._parse_datatype_string(out)
     new = {f.name.lower() for f in schema}
     kept = [f for f in df.schema if (keep is None or f.name in keep) and f.name.lower() not in new]
@@ -183,6 +194,7 @@ def annotate(df: DataFrame, text_col: str, out: str, kernel: Callable[[], Kernel
 
 def keep_where(df: DataFrame, text_col: str, kernel: Callable[[], Kernel]) -> DataFrame:
     """df's rows whose text the kernel marks true; all columns unchanged."""
+    bound_batches(df.sparkSession)
     text = free_name(df, "__text")
     src = df.select("*", F.col(f"`{text_col}`").cast("string").alias(text))
     return src.mapInArrow(_annotator(kernel, df.columns, "keep"), df.schema)

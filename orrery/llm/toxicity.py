@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import U64, Chunk, annotate, chunks, documents, keep_where, stored
+from .textkit import U64, Chunk, annotate, bound_batches, chunks, documents, keep_where, stored
 
 SAMPLE_ROWS = 16_000
 LEXICON = 4000
@@ -327,6 +327,7 @@ def _describe(lexicons: list[Lexicon]):
 def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most `sample_rows` labelled rows, those of least hash of the id.
     `labels` has id and label; an id with several labels counts as toxic if one says so."""
+    bound_batches(df.sparkSession)
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("long")).alias("toxic"))
     h = F.xxhash64("__id", F.lit(3))
     chosen = ids.orderBy(h, "__id").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(4)), F.lit(2)))
