@@ -5,6 +5,659 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bridge, filters, gravity, groups, hist, neighbours, profile, render, sph, structure, transform
+from ..operators.profile import Profile
+from ..snapshot import Snapshot
+from .views import EVENTS_SQL, LINEITEM_SQL, events, items, plain_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+E = f"WITH e AS ({EVENTS_SQL})"
+R = "sqrt(x * x + y * y + z * z)"
+RXY = "sqrt(x * x + y * y)"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show; -0 becomes 0."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        out.append((F.round(c, digits) + F.lit(0.0)).alias(name) if kind == "double" else c)
+    return df.select(*out)
+
+
+def _round_sql(sql: str, cols: str, keys: str, source: str = "q") -> str:
+    """SQL of keys and rounded columns of the last expression of a WITH."""
+    parts = [k.strip() for k in keys.split(",") if k.strip()] + [f"round({c.strip()}, 6) + 0e0 AS {c.strip()}" for c in cols.split(",")]
+    return f"{sql} SELECT {', '.join(parts)} FROM {source}"
+
+
+# ---- derived columns
+
+DERIVED = {
+    "r": R,
+    "rxy": RXY,
+    "v2": "vx * vx + vy * vy + vz * vz",
+    "ke": "5e-1 * (vx * vx + vy * vy + vz * vz)",
+    "te": "5e-1 * (vx * vx + vy * vy + vz * vz) + phi",
+    "vr": f"(x * vx + y * vy + z * vz) / nullif({R}, 0e0)",
+    "vt": f"sqrt(greatest(vx * vx + vy * vy + vz * vz - power((x * vx + y * vy + z * vz) / nullif({R}, 0e0), 2), 0e0))",
+    "j_x": "y * vz - z * vy",
+    "j_y": "z * vx - x * vz",
+    "j_z": "x * vy - y * vx",
+    "j2": "power(y * vz - z * vy, 2) + power(z * vx - x * vz, 2) + power(x * vy - y * vx, 2)",
+    "vrxy": f"(x * vx + y * vy) / nullif({RXY}, 0e0)",
+    "vcxy": f"coalesce((x * vy - y * vx) / nullif({RXY}, 0e0), 0e0)",
+    "theta": f"acos(least(greatest(z / nullif({R}, 0e0), -1e0), 1e0))",
+    "alt": f"pi() / 2 - acos(least(greatest(z / nullif({R}, 0e0), -1e0), 1e0))",
+    "az": "atan2(y, x)",
+    "vtheta": f"cos(atan2(y, x)) * (z / nullif({R}, 0e0)) * vx + sin(atan2(y, x)) * (z / nullif({R}, 0e0)) * vy - sqrt(1e0 - power(z / nullif({R}, 0e0), 2)) * vz",
+    "age": "13e0 - tform",
+    "mu": "CASE WHEN temp < 1e4 THEN 4e0 / (4e0 - 3e0 * 0.245e0) ELSE 4e0 / (8e0 - 5e0 * 0.245e0) END",
+    "hydrogen": "1e0 - metals - (236e-3 + 21e-1 * metals)",
+    "hetot": "236e-3 + 21e-1 * metals",
+}
+
+
+def _derived(name: str) -> None:
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = plain_events(spark, sf_dir)
+        return _rounded(s.df.select("pidx", s.col(name).alias(name)))
+
+    fn.__name__ = f"derived_{name}"
+    query(f"{E} SELECT pidx, round({DERIVED[name]}, 6) + 0e0 AS {name} FROM e")(fn)
+
+
+for _name in DERIVED:
+    _derived(_name)
+
+# ---- filters
+
+
+def _wrap(d: str) -> str:
+    return f"(CASE WHEN {d} > 250e0 THEN {d} - 500e0 WHEN {d} < -250e0 THEN {d} + 500e0 ELSE {d} END)"
+
+
+_W = [_wrap(f"({c} - {v})") for c, v in zip("xyz", ("200e0", "-240e0", "100e0"), strict=True)]
+FILTERS: dict[str, tuple[filters.Filter, str, bool]] = {
+    "sphere": (filters.Sphere(100.0), "x * x + y * y + z * z < 1e4", False),
+    "sphere_units": (filters.Sphere("0.1 Mpc", (10.0, 0.0, 0.0)), "(x - 1e1) * (x - 1e1) + y * y + z * z < 1e4", False),
+    "sphere_periodic": (filters.Sphere(120.0, (200.0, -240.0, 100.0)), f"{_W[0]} * {_W[0]} + {_W[1]} * {_W[1]} + {_W[2]} * {_W[2]} < 144e2", True),
+    "cuboid": (filters.Cuboid(-100.0, -50.0, -200.0, 150.0, 75.0, 10.0), "x > -1e2 AND x < 15e1 AND y > -5e1 AND y < 75e0 AND z > -2e2 AND z < 1e1", False),
+    "disc": (filters.Disc(150.0, 40.0), "x * x + y * y < 225e2 AND abs(z) < 4e1", False),
+    "band_pass": (filters.BandPass("temp", 5e3, 1e4), "temp > 5e3 AND temp < 1e4", False),
+    "high_pass": (filters.HighPass("r", 200.0), f"{R} > 2e2", False),
+    "low_pass": (filters.LowPass("r", "0.2 Mpc"), f"{R} < 2e2", False),
+    "annulus": (filters.Annulus(100.0, 200.0), "x * x + y * y + z * z >= 1e4 AND x * x + y * y + z * z < 4e4", False),
+    "solar_neighborhood": (filters.SolarNeighborhood(50.0, 150.0, 60.0), "NOT (x * x + y * y < 25e2 AND abs(z) < 6e1) AND x * x + y * y < 225e2 AND abs(z) < 6e1", False),
+    "family": (filters.FamilyFilter("g"), "family = 'gas'", False),
+    "and": (filters.Sphere(200.0) & filters.HighPass("temp", 1e4), "x * x + y * y + z * z < 4e4 AND temp > 1e4", False),
+    "or": (filters.Sphere(50.0) | filters.LowPass("temp", 2e3), "x * x + y * y + z * z < 25e2 OR temp < 2e3", False),
+    "not": (~filters.Sphere(200.0), "NOT (x * x + y * y + z * z < 4e4)", False),
+}
+
+
+def _filter(name: str) -> None:
+    f, where, box = FILTERS[name]
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events(spark, sf_dir, box).where(f).df.select("pidx", "family")
+
+    fn.__name__ = f"filter_{name}"
+    query(f"{E} SELECT pidx, family FROM e WHERE {where}")(fn)
+
+
+for _name in FILTERS:
+    _filter(_name)
+
+# ---- views and set operations
+
+
+@query(f"{E} SELECT pidx FROM e WHERE pidx >= 100 AND pidx < 5000 AND (pidx - 100) % 3 = 0")
+def view_slice(spark, sf_dir):
+    return plain_events(spark, sf_dir).rows(100, 5000, 3).df.select("pidx")
+
+
+@query(f"{E} SELECT pidx, mass FROM e WHERE iord IN (SELECT o_orderkey FROM orders)")
+def view_ids(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return plain_events(spark, sf_dir).ids(ids).df.select("pidx", "mass")
+
+
+def _views(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    return s.where(filters.Sphere(150.0)), s.where(filters.HighPass("temp", 1e4))
+
+
+_IN = "x * x + y * y + z * z < 225e2"
+
+
+@query(f"{E} SELECT pidx FROM e WHERE {_IN} OR temp > 1e4")
+def view_union(spark, sf_dir):
+    a, b = _views(spark, sf_dir)
+    return a.union(b).df.select("pidx")
+
+
+@query(f"{E} SELECT pidx FROM e WHERE {_IN} AND temp > 1e4")
+def view_intersect(spark, sf_dir):
+    a, b = _views(spark, sf_dir)
+    return a.intersect(b).df.select("pidx")
+
+
+@query(f"{E} SELECT pidx FROM e WHERE {_IN} AND NOT temp > 1e4")
+def view_setdiff(spark, sf_dir):
+    a, b = _views(spark, sf_dir)
+    return a.setdiff(b).df.select("pidx")
+
+
+@query(f"{E} SELECT family, min(pidx) AS first, count(*) AS n FROM e GROUP BY family")
+def view_families(spark, sf_dir):
+    return plain_events(spark, sf_dir).families()
+
+
+@query(f"{E}, k AS (SELECT pidx, row_number() OVER (ORDER BY pidx) - 1 AS place FROM e WHERE temp > 1e4) SELECT k.pidx, place FROM k JOIN e ON k.pidx = e.pidx WHERE {_IN}")
+def view_index_list(spark, sf_dir):
+    a, b = _views(spark, sf_dir)
+    return a.intersect(b).index_in(b)
+
+
+def _wrap_sql(c: str) -> str:
+    return f"CASE WHEN {c} > 1e2 THEN {c} - 2e2 WHEN {c} <= -1e2 THEN {c} + 2e2 ELSE {c} END"
+
+
+@query(f"{E} SELECT pidx, round({_wrap_sql('x')}, 6) + 0e0 AS x, round({_wrap_sql('y')}, 6) + 0e0 AS y, round({_wrap_sql('z')}, 6) + 0e0 AS z FROM e")
+def wrap_center(spark, sf_dir):
+    return _rounded(plain_events(spark, sf_dir).wrap(200.0).df.select("pidx", "x", "y", "z"))
+
+
+@query(f"{E} SELECT pidx, CASE WHEN {_IN} THEN 0e0 ELSE temp END AS temp FROM e")
+def view_write_through(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    return s.set_where("temp", filters.Sphere(150.0).column(s), F.lit(0.0)).df.select("pidx", "temp")
+
+
+# ---- reductions and profiles
+
+
+@query(_round_sql(f"{E}, q AS (SELECT sum(mass * x) / sum(mass) AS x, sum(mass * y) / sum(mass) AS y, sum(mass * z) / sum(mass) AS z FROM e)", "x, y, z", ""))
+def mean_by_mass(spark, sf_dir):
+    return _rounded(plain_events(spark, sf_dir).mean_by_mass("pos"))
+
+
+@query(_round_sql(f"{E}, q AS (SELECT sum(temp) AS sum, avg(temp) AS mean, min(temp) AS min, max(temp) AS max, max(temp) - min(temp) AS ptp, stddev_pop(temp) AS std, var_pop(temp) AS var FROM e)", "sum, mean, min, max, ptp, std, var", ""))
+def reductions(spark, sf_dir):
+    return _rounded(hist.reductions(plain_events(spark, sf_dir), "temp"))
+
+
+@query(f"{E} SELECT sum(mass) AS total, sum(CASE WHEN temp > 1e4 THEN mass END) AS above, sum(CASE WHEN temp < 1e4 THEN mass END) AS below FROM e")
+def conditional_sums(spark, sf_dir):
+    return hist.sums(plain_events(spark, sf_dir), "mass", "temp", 1e4)
+
+
+_EDGES = [0.0, 40.0, 80.0, 120.0, 160.0, 200.0, 240.0, 280.0, 320.0]
+
+
+def _edges_sql(edges, x: str, extra: str = "") -> str:
+    """b: bin, lo, hi, rbins; p: rows with bin, closed last edge, and `inside` half open."""
+    vals = ", ".join(f"({i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+    top = f"{edges[-1]!r}::DOUBLE"
+    return (
+        f"{E}, b(bin, lo, hi) AS (VALUES {vals}), x AS (SELECT *, {x} AS xx FROM e{extra}), "
+        f"p AS (SELECT x.*, b.bin, xx < {top} AS inside FROM x JOIN b ON (xx >= lo AND xx < hi) OR (xx = {top} AND hi = {top}))"
+    )
+
+
+def _profile3(spark, sf_dir, **kw) -> Profile:
+    return Profile(plain_events(spark, sf_dir), edges=_EDGES, ndim=3, **kw)
+
+
+_P3 = _edges_sql(_EDGES, R)
+_JOIN = "(SELECT bin, (lo + hi) / 2 AS rbins, hi, lo FROM b) c LEFT JOIN a USING (bin)"
+_MEAN = lambda q: f"sum(mass * {q}) FILTER (inside) / sum(mass) FILTER (inside)"
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, count(*) AS n, sum(mass) FILTER (inside) AS mass, {_MEAN('temp')} AS temp FROM p GROUP BY bin), q AS (SELECT bin, rbins, coalesce(n, 0) AS n, coalesce(mass, 0e0) AS mass, temp, coalesce(mass, 0e0) / (4e0 / 3 * pi() * (hi * hi * hi - lo * lo * lo)) AS density, sum(coalesce(mass, 0e0)) OVER (ORDER BY bin) AS mass_enc FROM {_JOIN})", "rbins, mass, temp, density, mass_enc", "bin, n"))
+def profile_linear(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("n", "mass", "temp", "density", "mass_enc"))
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, {_MEAN('temp')} AS m, {_MEAN('temp * temp')} AS s FROM p GROUP BY bin), q AS (SELECT bin, rbins, CASE WHEN s IS NOT NULL THEN sqrt(greatest(s - m * m, 0e0)) END AS temp_disp, sqrt(s) AS temp_rms FROM {_JOIN})", "rbins, temp_disp, temp_rms", "bin"))
+def profile_dispersion(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("temp_disp", "temp_rms"))
+
+
+@query(_round_sql(f"{_P3}, k AS (SELECT bin, temp, row_number() OVER (PARTITION BY bin ORDER BY temp) AS i, count(*) OVER (PARTITION BY bin) AS n FROM p WHERE inside), a AS (SELECT bin, temp AS temp_med FROM k WHERE i = n // 2 + 1), q AS (SELECT bin, rbins, temp_med FROM {_JOIN})", "rbins, temp_med", "bin"))
+def profile_median(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("temp_med"))
+
+
+@query(_round_sql(f"{_P3}, q AS (SELECT bin, quantile_cont(temp, 0.16) AS q16, quantile_cont(temp, 0.5) AS q50, quantile_cont(temp, 0.84) AS q84 FROM p WHERE inside GROUP BY bin)", "q16, q50, q84", "bin"))
+def profile_quantiles(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).quantiles("temp"))
+
+
+_ENC = "sum(coalesce(mass, 0e0)) OVER (ORDER BY bin)"
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, sum(mass) FILTER (inside) AS mass FROM p GROUP BY bin), q AS (SELECT bin, rbins, {_ENC} / (4 * pi() / 3 * rbins * rbins * rbins) AS density_enc, {_ENC} / (rbins * rbins) AS g_spherical, sqrt({_ENC} / rbins) AS rotation_curve_spherical, sqrt(rbins * rbins * rbins / (2 * nullif({_ENC}, 0e0))) AS dyntime FROM {_JOIN})", "rbins, density_enc, g_spherical, rotation_curve_spherical, dyntime", "bin"))
+def profile_enclosed(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("density_enc", "g_spherical", "rotation_curve_spherical", "dyntime"))
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, {_MEAN('temp')} AS t FROM p GROUP BY bin), w AS (SELECT bin, rbins, t, lag(t) OVER (ORDER BY bin) AS u, lead(t) OVER (ORDER BY bin) AS v FROM {_JOIN}), q AS (SELECT bin, rbins, CASE WHEN u IS NULL THEN (v - t) / 4e1 WHEN v IS NULL THEN (t - u) / 4e1 ELSE (v - u) / 8e1 END AS d_temp FROM w)", "rbins, d_temp", "bin"))
+def profile_gradient(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("d_temp"))
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, {_MEAN('(y * vz - z * vy)')} AS jx, {_MEAN('(z * vx - x * vz)')} AS jy, {_MEAN('(x * vy - y * vx)')} AS jz FROM p GROUP BY bin), q AS (SELECT bin, rbins, sqrt(jx * jx + jy * jy + jz * jz) AS jtot, acos(jz / nullif(sqrt(jx * jx + jy * jy + jz * jz), 0e0)) AS j_theta, atan2(jy, jx) AS j_phi FROM {_JOIN})", "rbins, jtot, j_theta, j_phi", "bin"))
+def profile_angular_momentum(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("jtot", "j_theta", "j_phi"))
+
+
+def _disp2(q: str) -> str:
+    return f"greatest({_MEAN(f'({q}) * ({q})')} - power({_MEAN(f'({q})')}, 2), 0e0)"
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, 15e-1 - ({_disp2('vx')} + {_disp2('vy')} + {_disp2('vz')}) / nullif(2 * {_disp2(DERIVED['vr'])}, 0e0) AS beta FROM p GROUP BY bin), q AS (SELECT bin, rbins, beta FROM {_JOIN})", "rbins, beta", "bin"))
+def profile_beta(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).table("beta"))
+
+
+_LOG = profile.log_edges(10.0, 400.0, 12)
+
+
+@query(_round_sql(f"{_edges_sql(_LOG, R)}, a AS (SELECT bin, count(*) AS n, sum(mass) FILTER (inside) AS mass FROM p GROUP BY bin), q AS (SELECT bin, rbins, coalesce(n, 0) AS n, coalesce(mass, 0e0) / (4e0 / 3 * pi() * (hi * hi * hi - lo * lo * lo)) AS density FROM {_JOIN})", "rbins, density", "bin, n"))
+def profile_log(spark, sf_dir):
+    p = Profile(plain_events(spark, sf_dir), type="log", nbins=12, ndim=3, least=10.0, most=400.0)
+    return _rounded(p.table("n", "density"))
+
+
+@query(f"{E}, o AS (SELECT {R} AS r, row_number() OVER (ORDER BY {R}) - 1 AS i, count(*) OVER () AS n FROM e), k AS (SELECT g AS edge, floor(g * (n - 1) / 10)::BIGINT AS i FROM (SELECT max(n) AS n FROM o), unnest(range(11)) AS u(g)) SELECT edge::INT AS edge, round(r, 6) AS r FROM k JOIN o USING (i)")
+def profile_equal_edges(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    p = Profile(s, type="equaln", nbins=10, ndim=3)
+    return spark.createDataFrame([(i, round(e, 6)) for i, e in enumerate(p.edges)], "edge int, r double")
+
+
+@query(_round_sql(f"{_edges_sql([0.0, 50.0, 100.0, 150.0, 200.0, 250.0], 'abs(z)')}, q AS (SELECT bin, count(*) AS n, {_MEAN('temp')} AS temp FROM p GROUP BY bin)", "temp", "bin, n"))
+def profile_vertical(spark, sf_dir):
+    p = Profile(plain_events(spark, sf_dir), edges=[0.0, 50.0, 100.0, 150.0, 200.0, 250.0], x=profile.vertical)
+    return _rounded(p.table("n", "temp").drop("rbins").where("n > 0"))
+
+
+@query(_round_sql(f"{_edges_sql([0.0, 60.0, 120.0, 180.0, 240.0], 'sqrt(x * x + power(y / cos(radians(60e0)), 2))')}, q AS (SELECT bin, count(*) AS n, {_MEAN('temp')} AS temp FROM p GROUP BY bin)", "temp", "bin, n"))
+def profile_inclined(spark, sf_dir):
+    p = Profile(plain_events(spark, sf_dir), edges=[0.0, 60.0, 120.0, 180.0, 240.0], x=profile.inclined(60.0))
+    return _rounded(p.table("n", "temp").drop("rbins").where("n > 0"))
+
+
+@query(_round_sql(f"{_edges_sql([0.0, 80.0, 160.0, 240.0], RXY)}, h AS (SELECT bin, least(floor((atan2(y, x) + pi()) / (2 * pi() / 100)), 99) AS k, sum(mass) AS w, count(*) AS c FROM p WHERE inside GROUP BY ALL), t AS (SELECT bin, sum(w) AS total FROM h GROUP BY bin HAVING sum(c) > 100), m AS (SELECT unnest(range(7))::INT AS m), q AS (SELECT h.bin, m, sum(w * cos(m * ((k + 5e-1) * 2 * pi() / 100 - pi())) / total) AS re, sum(-w * sin(m * ((k + 5e-1) * 2 * pi() / 100 - pi())) / total) AS im FROM h JOIN t ON h.bin = t.bin, m GROUP BY h.bin, m)", "re, im", "bin, m"))
+def profile_fourier(spark, sf_dir):
+    p = Profile(plain_events(spark, sf_dir), edges=[0.0, 80.0, 160.0, 240.0], ndim=2)
+    return _rounded(p.fourier().select("bin", "m", "re", "im"))
+
+
+@query(_round_sql(f"{_P3}, a AS (SELECT bin, (lo + hi) / 2 AS r0, m FROM b JOIN (SELECT bin, {_MEAN('temp')} AS m FROM p GROUP BY bin) USING (bin)), i AS (SELECT pidx, {R} AS r FROM e), j AS (SELECT pidx, r, (SELECT max(r0) FROM a WHERE r0 <= r) AS lo, (SELECT min(r0) FROM a WHERE r0 > r) AS hi FROM i), q AS (SELECT pidx, CASE WHEN lo IS NULL THEN h.m WHEN hi IS NULL THEN l.m ELSE l.m + (r - lo) * (h.m - l.m) / (hi - lo) END AS temp FROM j LEFT JOIN a l ON l.r0 = lo LEFT JOIN a h ON h.r0 = hi)", "temp", "pidx"))
+def profile_to_rows(spark, sf_dir):
+    p = _profile3(spark, sf_dir)
+    return _rounded(p.to_rows(p.table("temp"), "temp", log_x=False, log_y=False))
+
+
+# ---- histograms
+
+_CELL = lambda c, lo, span, n: f"least(floor(({c} - {lo}) * ({n}e0 / {span})), {n - 1})::INT"
+
+
+@query(_round_sql(f"{E}, q AS (SELECT {_CELL('x', '-2e2', '4e2', 20)} AS ix, {_CELL('y', '-2e2', '4e2', 20)} AS iy, sum(mass) AS h FROM e WHERE x > -2e2 AND x < 2e2 AND y > -2e2 AND y < 2e2 GROUP BY ALL)", "h", "ix, iy"))
+def hist2d_weighted(spark, sf_dir):
+    return _rounded(hist.hist2d(plain_events(spark, sf_dir), "x", "y", 20, 20, (-200, 200), (-200, 200), weights="mass"))
+
+
+@query(_round_sql(f"{E}, q AS (SELECT {_CELL('x', '-2e2', '4e2', 20)} AS ix, {_CELL('y', '-2e2', '4e2', 20)} AS iy, sum(mass * temp) / sum(mass) AS h FROM e WHERE x > -2e2 AND x < 2e2 AND y > -2e2 AND y < 2e2 GROUP BY ALL)", "h", "ix, iy"))
+def hist2d_mean(spark, sf_dir):
+    return _rounded(hist.hist2d(plain_events(spark, sf_dir), "x", "y", 20, 20, (-200, 200), (-200, 200), weights="mass", values="temp"))
+
+
+@query(_round_sql(f"{E}, h AS (SELECT {_CELL('x', '-2e2', '4e2', 8)} AS ix, {_CELL('y', '-2e2', '4e2', 8)} AS iy, count(*)::DOUBLE AS h FROM e WHERE x > -2e2 AND x < 2e2 AND y > -2e2 AND y < 2e2 GROUP BY ALL), q AS (SELECT ix, iy, h / sum(h) OVER (PARTITION BY ix) AS p FROM h)", "p", "ix, iy"))
+def hist2d_conditional(spark, sf_dir):
+    return _rounded(hist.conditional(hist.hist2d(plain_events(spark, sf_dir), "x", "y", 8, 8, (-200, 200), (-200, 200))))
+
+
+@query(_round_sql(f"{E}, k AS (SELECT least(floor((tform - 0e0) * (20 / 1e1)), 19)::INT AS bin, sum(mass) AS t FROM e WHERE family = 'star' AND tform >= 0 AND tform <= 1e1 GROUP BY 1), q AS (SELECT bin, (bin + 5e-1) * 5e-1 AS mid, t / 5e-1 AS sfr FROM k)", "mid, sfr", "bin"))
+def star_formation_history(spark, sf_dir):
+    return _rounded(hist.star_formation(plain_events(spark, sf_dir).star, 0.0, 10.0, 20))
+
+
+@query(_round_sql(f"{E}, g AS (SELECT floor({RXY} / 4e1)::INT AS bin, sum(mass) / (pi() * 16e2 * (2 * floor({RXY} / 4e1) + 1)) AS gas FROM e WHERE family = 'gas' AND abs(z) < 1e2 AND {RXY} < 2e2 GROUP BY floor({RXY} / 4e1)), s AS (SELECT floor({RXY} / 4e1)::INT AS bin, sum(mass) / (pi() * 16e2 * (2 * floor({RXY} / 4e1) + 1)) / 5e0 AS sfr FROM e WHERE family = 'star' AND abs(z) < 1e2 AND {RXY} < 2e2 AND tform > 5e0 GROUP BY floor({RXY} / 4e1)), q AS (SELECT bin, gas, sfr FROM g FULL JOIN s USING (bin))", "gas, sfr", "bin"))
+def schmidt_law(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    return _rounded(hist.schmidt_law(s.gas, s.star, 10.0, 5.0, 100.0, 200.0, 5))
+
+
+# ---- joins: bridges and groups
+
+
+def _ends(spark, sf_dir) -> tuple[Snapshot, Snapshot]:
+    a = plain_events(spark, sf_dir)
+    from dataclasses import replace
+
+    b = replace(a, df=a.df.where("pidx % 10 <> 0").withColumn("pidx", F.col("pidx") * 2 + 1))
+    return a, b
+
+
+def _overlap(spark, sf_dir) -> DataFrame:
+    a, b = _ends(spark, sf_dir)
+    g1 = a.df.select(F.pmod("grp", F.lit(40)).alias("halo"), "pidx")
+    g2 = b.df.select(F.floor(F.pmod("grp", F.lit(120)) / 3).alias("halo"), "pidx").where("halo < 35")
+    return bridge.order_bridge(a, b, allow_family_change=True).overlap(g1, g2)
+
+
+_OVER = f"{E}, o AS (SELECT grp % 40 AS g1, ((grp % 120) // 3)::BIGINT AS g2, count(*) AS n FROM e WHERE pidx % 10 <> 0 AND (grp % 120) // 3 < 35 GROUP BY ALL)"
+
+
+@query(f"{E} SELECT iord, pidx * 2 + 1 AS end_row FROM e WHERE pidx % 10 <> 0 AND {_IN}")
+def bridge_order(spark, sf_dir):
+    a, b = _ends(spark, sf_dir)
+    return bridge.order_bridge(a, b)(a.where(filters.Sphere(150.0))).df.select("iord", F.col("pidx").alias("end_row"))
+
+
+@query(f"{_OVER} SELECT g1, g2, n FROM o")
+def bridge_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir)
+
+
+@query(f"{_OVER}, w AS (SELECT *, sum(n) OVER (PARTITION BY g1) AS a, row_number() OVER (PARTITION BY g1 ORDER BY n DESC, g2) AS i FROM o) SELECT s.g1, CASE WHEN n / a >= 4e-1 THEN g2 ELSE -1 END AS g2 FROM (SELECT DISTINCT grp % 40 AS g1 FROM e) s LEFT JOIN (SELECT * FROM w WHERE i = 1) w ON s.g1 = w.g1")
+def bridge_match(spark, sf_dir):
+    a, _ = _ends(spark, sf_dir)
+    return bridge.match(_overlap(spark, sf_dir), a.df.select(F.pmod("grp", F.lit(40)).alias("g1")), 0.4)
+
+
+@query(_round_sql(f"{_OVER}, w AS (SELECT g1, g2, n / sum(n) OVER (PARTITION BY g1) AS share FROM o), q AS (SELECT g1, g2, share, row_number() OVER (PARTITION BY g1 ORDER BY share DESC, g2)::INT AS rank FROM w WHERE share > 2e-1)", "share", "g1, g2, rank"))
+def bridge_fuzzy_match(spark, sf_dir):
+    return _rounded(bridge.fuzzy_match(_overlap(spark, sf_dir), 0.2))
+
+
+def _overlapping(s: Snapshot) -> groups.Catalogue:
+    """Groups that overlap: by grp, and by every tenth id."""
+    a = s.df.select(F.col("grp").alias("halo"), "pidx")
+    b = s.df.where("pidx % 10 = 0").select((F.lit(1_000_000) + F.pmod("pidx", F.lit(70))).alias("halo"), "pidx")
+    m = a.unionByName(b)
+    return groups.Catalogue(s, m, m.select("halo").distinct())
+
+
+_GR = f"{E}, m AS (SELECT grp AS halo, pidx FROM e UNION ALL SELECT 1000000 + pidx % 70, pidx FROM e WHERE pidx % 10 = 0), n AS (SELECT halo, count(*) AS n FROM m GROUP BY halo)"
+
+
+@query(f"{_GR} SELECT pidx, arg_max(halo, (-n, halo)) AS grp FROM m JOIN n USING (halo) GROUP BY pidx")
+def group_array(spark, sf_dir):
+    return _overlapping(plain_events(spark, sf_dir)).group_array()
+
+
+@query(f"{_GR} SELECT halo, n, row_number() OVER (ORDER BY n DESC, halo)::INT AS rank FROM n")
+def group_sizes(spark, sf_dir):
+    return _overlapping(plain_events(spark, sf_dir)).sizes()
+
+
+@query(_round_sql(f"{E}, q AS (SELECT grp AS halo, sum(mass * x) / sum(mass) AS x, sum(mass * temp) / sum(mass) AS temp FROM e GROUP BY grp)", "x, temp", "halo"))
+def group_means(spark, sf_dir):
+    return _rounded(groups.from_column(plain_events(spark, sf_dir)).mean_by_mass("x", "temp"))
+
+
+@query(f"{E}, m AS (SELECT grp, sum(mass) AS mass FROM e GROUP BY grp), k AS (SELECT floor((log10(mass) - 0e0) / 25e-2)::INT AS bin, count(*) AS n FROM m GROUP BY 1) SELECT bin, round((bin + 5e-1) * 25e-2, 6) AS mid, n, round(n / 25e2, 9) AS phi, round(sqrt(n) / 25e2, 9) AS err FROM k WHERE bin BETWEEN 0 AND 15")
+def group_mass_function(spark, sf_dir):
+    m = groups.from_column(plain_events(spark, sf_dir)).mass()
+    return _rounded(groups.mass_function(m, 10000.0, 0.0, 4.0, 0.25), 9).withColumn("mid", F.round("mid", 6))
+
+
+@query("SELECT r_regionkey AS halo, list_sort(list(n_nationkey))::VARCHAR AS children FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def group_children(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 100).alias("halo"), F.col("n_regionkey").cast("long").alias("parent"))
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("halo"), F.lit(None).cast("long").alias("parent"))
+    s = plain_events(spark, sf_dir)
+    c = groups.Catalogue(s, s.df.select(F.col("grp").alias("halo"), "pidx"), n.unionByName(r)).children().where("size(children) > 0")
+    return c.select("halo", F.concat(F.lit("["), F.array_join(F.transform("children", lambda v: v - 100), ", "), F.lit("]")).alias("children"))
+
+
+@query(f"{E} SELECT pidx FROM e WHERE grp = 7")
+def group_view(spark, sf_dir):
+    return groups.from_column(plain_events(spark, sf_dir)).halo(7).df.select("pidx")
+
+
+# ---- neighbours and kernels, on the first 600 events
+
+
+def _few(spark, sf_dir, n: int = 600) -> Snapshot:
+    """The query's own table: events of which all are needed by each row."""
+    return plain_events(spark, sf_dir).rows(0, n)
+
+
+_F = f"WITH e AS (SELECT * FROM ({EVENTS_SQL}) WHERE pidx < 600)"
+_D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+_NN = f"{_F}, n AS (SELECT a.pidx, b.pidx AS neighbour, {_D2} AS d2, row_number() OVER (PARTITION BY a.pidx ORDER BY {_D2}, b.pidx)::INT AS rank FROM e a, e b), k AS (SELECT * FROM n WHERE rank <= 16), h AS (SELECT pidx, 5e-1 * sqrt(max(d2)) AS h FROM k GROUP BY pidx)"
+_KW = "(CASE WHEN sqrt(d2) / h < 1 THEN 1 - 75e-2 * (2 - sqrt(d2) / h) * (sqrt(d2) / h) * (sqrt(d2) / h) WHEN sqrt(d2) / h < 2 THEN 25e-2 * power(2 - sqrt(d2) / h, 3) ELSE 0e0 END)"
+_RHO = f"{_NN}, rho AS (SELECT k.pidx, sum(e.mass * {_KW} / (pi() * h * h * h)) AS rho FROM k JOIN h ON k.pidx = h.pidx JOIN e ON e.pidx = k.neighbour GROUP BY k.pidx)"
+_SW = f"e.mass * {_KW} / (pi() * h * h * h) / rho.rho"
+_SJ = "k JOIN h ON k.pidx = h.pidx JOIN e ON e.pidx = k.neighbour JOIN rho ON rho.pidx = k.neighbour"
+
+
+@query(f"{_F} SELECT a.pidx, count(*) AS n FROM e a, e b WHERE {_D2} <= 36e2 GROUP BY a.pidx")
+def ball_counts(spark, sf_dir):
+    return neighbours.ball_counts(_few(spark, sf_dir), 60.0)
+
+
+def _pw(d: str) -> str:
+    return f"power(CASE WHEN {d} > 250e0 THEN {d} - 500e0 WHEN {d} < -250e0 THEN {d} + 500e0 ELSE {d} END, 2)"
+
+
+@query(f"{_F} SELECT a.pidx, count(*) AS n FROM e a, e b WHERE {_pw('(b.x - a.x)')} + {_pw('(b.y - a.y)')} + {_pw('(b.z - a.z)')} <= 36e2 GROUP BY a.pidx")
+def ball_counts_periodic(spark, sf_dir):
+    return neighbours.ball_counts(events(spark, sf_dir, True).rows(0, 600), 60.0)
+
+
+@query(f"{_NN} SELECT pidx, rank, round(d2, 6) AS d2 FROM k")
+def nearest_neighbours(spark, sf_dir):
+    return _rounded(neighbours.smoothing_neighbours(_few(spark, sf_dir), 16).select("pidx", "rank", "d2"))
+
+
+@query(f"{_NN} SELECT pidx, round(h, 6) AS smooth FROM h")
+def smoothing_length(spark, sf_dir):
+    return _rounded(sph.smooth(_few(spark, sf_dir), 16))
+
+
+@query(f"{_RHO} SELECT pidx, round(rho * 1e6, 6) AS rho FROM rho")
+def sph_density(spark, sf_dir):
+    d = sph.density(_few(spark, sf_dir), 16)
+    return _rounded(d.select("pidx", (F.col("rho") * 1e6).alias("rho")))
+
+
+@query(f"{_RHO} SELECT k.pidx, round(sum({_SW} * e.temp), 6) AS temp FROM {_SJ} GROUP BY k.pidx")
+def sph_mean(spark, sf_dir):
+    return _rounded(sph.sph_sum(_few(spark, sf_dir), "mean", "temp", 16))
+
+
+@query(f"{_RHO}, t AS (SELECT k.pidx, {_SW} AS w, e.temp AS temp FROM {_SJ}), m AS (SELECT pidx, sum(w * temp) AS m FROM t GROUP BY pidx) SELECT pidx, round(sqrt(sum(w * (m - temp) * (m - temp))), 6) AS temp_disp FROM t JOIN m USING (pidx) GROUP BY pidx")
+def sph_dispersion(spark, sf_dir):
+    return _rounded(sph.sph_sum(_few(spark, sf_dir), "dispersion", "temp", 16))
+
+
+_DK = "(CASE WHEN sqrt(d2) / h < 1 THEN -3 * sqrt(d2) / h + 225e-2 * d2 / (h * h) WHEN sqrt(d2) / h < 2 THEN -75e-2 * power(2 - sqrt(d2) / h, 2) ELSE 0e0 END)"
+_SL = f"(CASE WHEN d2 > 0 THEN -e.mass / rho.rho * {_DK} / (pi() * h * h * h * h) / sqrt(d2) ELSE 0e0 END)"
+_OWN = "JOIN e o ON o.pidx = k.pidx"
+
+
+@query(f"{_RHO} SELECT k.pidx, round(sum({_SL} * ((e.x - o.x) * (e.vx - o.vx) + (e.y - o.y) * (e.vy - o.vy) + (e.z - o.z) * (e.vz - o.vz))), 6) + 0e0 AS vel_div FROM {_SJ} {_OWN} GROUP BY k.pidx")
+def sph_divergence(spark, sf_dir):
+    return _rounded(sph.sph_sum(_few(spark, sf_dir), "div", "vel", 16))
+
+
+@query(f"{_RHO} SELECT k.pidx, round(sum({_SL} * ((e.y - o.y) * (e.vz - o.vz) - (e.z - o.z) * (e.vy - o.vy))), 6) + 0e0 AS vel_curl_x, round(sum({_SL} * ((e.z - o.z) * (e.vx - o.vx) - (e.x - o.x) * (e.vz - o.vz))), 6) + 0e0 AS vel_curl_y, round(sum({_SL} * ((e.x - o.x) * (e.vy - o.vy) - (e.y - o.y) * (e.vx - o.vx))), 6) + 0e0 AS vel_curl_z FROM {_SJ} {_OWN} GROUP BY k.pidx")
+def sph_curl(spark, sf_dir):
+    return _rounded(sph.sph_sum(_few(spark, sf_dir), "curl", "vel", 16))
+
+
+# ---- gravity
+
+_POINTS = [(float(i * 20 - 190), float(i * 13 - 100), float(i * 7 - 60)) for i in range(20)]
+_PV = f"{E}, p(point, px, py, pz) AS (VALUES {', '.join(f'({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)' for i, (x, y, z) in enumerate(_POINTS))}), d AS (SELECT point, mass AS m, px - x AS dx, py - y AS dy, pz - z AS dz, 1 / sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z) + 4e0) AS inv FROM p, e)"
+
+
+@query(_round_sql(f"{_PV}, q AS (SELECT point, -sum(m * inv) AS phi, -sum(m * dx * inv * inv * inv) AS ax, -sum(m * dy * inv * inv * inv) AS ay, -sum(m * dz * inv * inv * inv) AS az FROM d GROUP BY point)", "phi, ax, ay, az", "point"))
+def gravity_direct(spark, sf_dir):
+    return _rounded(gravity.direct(plain_events(spark, sf_dir), _POINTS, 2.0))
+
+
+_RADII = [20.0, 60.0, 100.0, 140.0, 180.0]
+_RV = f"{E}, g(k, r) AS (VALUES {', '.join(f'({i}, {r!r}::DOUBLE)' for i, r in enumerate(_RADII))}), c(cx, cy) AS (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)), p AS (SELECT k, r, r * cx AS px, r * cy AS py FROM g, c), d AS (SELECT k, r, px, py, mass AS m, px - x AS dx, py - y AS dy, 1 / sqrt((px - x) * (px - x) + (py - y) * (py - y) + z * z + 4e0) AS inv FROM p, e), a AS (SELECT k, r, px, py, sum(m * inv) AS s, sum(m * (px * dx + py * dy) * inv * inv * inv) AS f FROM d GROUP BY ALL)"
+
+
+@query(_round_sql(f"{_RV}, q AS (SELECT k, r, sqrt(greatest(avg(f), 0e0)) AS v_circ FROM a GROUP BY k, r)", "r, v_circ", "k"))
+def gravity_rotation_curve(spark, sf_dir):
+    return _rounded(gravity.rotation_curve(plain_events(spark, sf_dir), _RADII, 2.0))
+
+
+@query(_round_sql(f"{_RV}, q AS (SELECT k, r, avg(-s) AS pot FROM a GROUP BY k, r)", "r, pot", "k"))
+def gravity_midplane_potential(spark, sf_dir):
+    return _rounded(gravity.midplane_potential(plain_events(spark, sf_dir), _RADII, 2.0))
+
+
+@query(_round_sql(f"{_F}, q AS (SELECT a.pidx, -sum(b.mass / sqrt({_D2} + 4e0)) AS phi FROM e a, e b GROUP BY a.pidx)", "phi", "pidx"))
+def gravity_all(spark, sf_dir):
+    return _rounded(gravity.all_direct(_few(spark, sf_dir), 2.0, 128).select("pidx", "phi"))
+
+
+# ---- transformations and structure
+
+
+@query(_round_sql(f"{E}, q AS (SELECT pidx, (x + 1e1) * cos(radians(30e0)) - (y - 2e1) * sin(radians(30e0)) AS x, (x + 1e1) * sin(radians(30e0)) + (y - 2e1) * cos(radians(30e0)) AS y, z + 5e0 AS z, vx * cos(radians(30e0)) - vy * sin(radians(30e0)) AS vx FROM e)", "x, y, z, vx", "pidx"))
+def transform_rotate(spark, sf_dir):
+    s = transform.rotate_z(transform.translate(plain_events(spark, sf_dir), (10, -20, 5)), 30)
+    return _rounded(s.df.select("pidx", "x", "y", "z", "vx"))
+
+
+@query(f"{E} SELECT pidx, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM e")
+def transform_revert(spark, sf_dir):
+    s = transform.rotate_x(transform.translate(plain_events(spark, sf_dir), (10, -20, 5)), 75)
+    return _rounded(transform.revert(transform.revert(s)).df.select("pidx", "x", "y", "z"))
+
+
+@query(_round_sql(f"{E}, q AS (SELECT sum(mass * (y * vz - z * vy)) AS lx, sum(mass * (z * vx - x * vz)) AS ly, sum(mass * (x * vy - y * vx)) AS lz FROM e)", "lx, ly, lz", ""))
+def angular_momentum(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    v = structure.angular_momentum(s)
+    return _rounded(spark.createDataFrame([tuple(map(float, v))], "lx double, ly double, lz double"))
+
+
+@query(_round_sql(f"{E}, q AS (SELECT sqrt((power(sum(mass * (y * vz - z * vy)), 2) + power(sum(mass * (z * vx - x * vz)), 2) + power(sum(mass * (x * vy - y * vx)), 2)) / (2 * power(sum(mass), 3) * max({R}))) AS spin FROM e)", "spin", ""))
+def spin(spark, sf_dir):
+    return _rounded(spark.createDataFrame([(structure.spin_parameter(plain_events(spark, sf_dir)),)], "spin double"))
+
+
+@query()
+def center_shrink_sphere(spark, sf_dir):
+    c = structure.shrink_sphere(plain_events(spark, sf_dir))
+    return spark.createDataFrame([tuple(map(float, c))], "x double, y double, z double")
+
+
+@query()
+def virial_radius(spark, sf_dir):
+    return spark.createDataFrame([(structure.virial_radius(plain_events(spark, sf_dir), 1e-6),)], "r double")
+
+
+@query()
+def shape_shells(spark, sf_dir):
+    got = structure.shape(plain_events(spark, sf_dir), 4, bins="lin", least=20.0, most=220.0)
+    return spark.createDataFrame([(float(t["inner"]), float(t["outer"]), t["n"], float(t["ba"]), float(t["ca"])) for t in got], "lo double, hi double, n long, ba double, ca double")
+
+
+@query()
+def decomposition(spark, sf_dir):
+    s = structure.decompose(plain_events(spark, sf_dir), per_bin=200)
+    return s.df.groupBy("decomp").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- rendering
+
+
+_PX = "WITH e0 AS (%s), e AS (SELECT * FROM e0), g AS (SELECT unnest(range(16))::INT AS i), p AS (SELECT a.i AS px, b.i AS py, a.i * 25e0 - 1875e-1 AS gx, b.i * 25e0 - 1875e-1 AS gy FROM g a, g b)" % EVENTS_SQL
+
+
+def _kq(q: str) -> str:
+    return f"(CASE WHEN {q} < 1 THEN 1 - 75e-2 * (2 - {q}) * {q} * {q} WHEN {q} < 2 THEN 25e-2 * power(2 - {q}, 3) ELSE 0e0 END)"
+
+
+_Q = "(sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y) + (z - 1e1) * (z - 1e1)) / smooth)"
+
+
+@query(_round_sql(f"{_PX}, v AS (SELECT px, py, sum(temp * mass / rho * {_kq(_Q)} / (pi() * smooth * smooth * smooth)) AS value FROM p, e WHERE (gx - x) * (gx - x) + (gy - y) * (gy - y) + (z - 1e1) * (z - 1e1) < 4 * smooth * smooth GROUP BY px, py), q AS (SELECT * FROM v WHERE value <> 0)", "value", "px, py"))
+def render_slice(spark, sf_dir):
+    return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, z=10.0))
+
+
+@query()
+def render_projection(spark, sf_dir):
+    return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, project=True))
+
+
+@query()
+def render_weighted(spark, sf_dir):
+    return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, weight="rho"))
+
+
+@query()
+def render_grid(spark, sf_dir):
+    return _rounded(render.grid(plain_events(spark, sf_dir), "temp", 400.0, 8))
+
+
+@query()
+def render_sky(spark, sf_dir):
+    return _rounded(render.sky(plain_events(spark, sf_dir), 8))
+
+
+# ---- larger tables
+
+_L = f"WITH e AS ({LINEITEM_SQL})"
+
+
+@query(f"{_L} SELECT family, floor({R} / 5e0)::INT AS bin, count(*) AS n, round(sum(mass), 6) AS mass FROM e WHERE {R} < 5e1 GROUP BY ALL")
+def items_family_profile(spark, sf_dir):
+    s = items(spark, sf_dir).where(filters.LowPass("r", 50.0))
+    k = F.floor(s.col("r") / 5).cast("int")
+    return s.df.groupBy("family", k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mass"), 6).alias("mass"))
+
+
+@query(f"{_L} SELECT family, bin, count(*) AS n, round(sum(mass), 6) AS mass FROM (SELECT family, floor({R} / 1e1)::INT AS bin, mass FROM e) GROUP BY ROLLUP (family, bin)")
+def items_rollup(spark, sf_dir):
+    s = items(spark, sf_dir)
+    df = s.df.select("family", F.floor(s.col("r") / 10).cast("int").alias("bin"), "mass")
+    return df.rollup("family", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mass"), 6).alias("mass"))
+
+
+@query(f"{_L} SELECT halo, n, row_number() OVER (ORDER BY n DESC, halo)::INT AS rank FROM (SELECT grp AS halo, count(*) AS n FROM e GROUP BY grp)")
+def items_group_ranks(spark, sf_dir):
+    s = items(spark, sf_dir)
+    return groups.ranked(s.df.groupBy(F.col("grp").alias("halo")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda a: a::DOUBLE * a::DOUBLE))), 6) AS norm2 FROM embeddings GROUP BY label")
+def embedding_norms(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n2), 6).alias("norm2"))
+
+
+
+
+__all__ = ["QUERIES", "SQL", "query"]
