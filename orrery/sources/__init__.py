@@ -1,0 +1,27 @@
+"""Readers and writers of snapshots.
+
+`read` picks a format by the file itself: each reader says whether it can read a path, in
+the order of `FORMATS`.  Parquet and text go through Spark's own readers; binary formats
+are Python data sources whose partitions are ranges of rows, so that a file of any size
+is read by many tasks, and a selection of columns or families reads only their bytes."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..snapshot import Snapshot
+from . import ascii_table, gadget, hdf5, parquet, tipsy
+
+FORMATS = {"parquet": parquet, "gadget": gadget, "hdf5": hdf5, "ascii": ascii_table, "tipsy": tipsy}
+
+
+def read(spark: SparkSession, path: str, format: str | None = None, **options) -> Snapshot:
+    """A snapshot from a path; OSError if no reader knows it."""
+    for name, module in FORMATS.items() if format is None else [(format, FORMATS[format])]:
+        if format is not None or module.can_read(spark, path):
+            return module.read(spark, path, **options)
+    raise OSError(f"no reader for {path}")
+
+
+def write(s: Snapshot, path: str, format: str = "parquet", **options) -> None:
+    FORMATS[format].write(s, path, **options)
