@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bridge, filters, gravity, groups, hist, neighbours, profile, render, sph, structure, transform
 from ..operators.profile import Profile
 from ..snapshot import Snapshot
+from ..sources import lattice
 from .views import EVENTS_SQL, LINEITEM_SQL, events, items, plain_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,6 +627,61 @@ def render_sky(spark, sf_dir):
     return _rounded(render.sky(plain_events(spark, sf_dir), 8))
 
 
+# ---- units, lattices, ids and offsets
+
+
+@query(f"{E} SELECT pidx, round(x * 1e3, 6) + 0e0 AS x, round(vx * 1e3, 6) + 0e0 AS vx, round(temp, 6) + 0e0 AS temp FROM e")
+def physical_units(spark, sf_dir):
+    return _rounded(events(spark, sf_dir).physical_units("pc", "m s^-1", "Msol").df.select("pidx", "x", "vx", "temp"))
+
+
+@query("WITH r AS (SELECT unnest(range(600))::BIGINT AS pidx) SELECT pidx, (pidx % 10) + 5e-1 AS x, ((pidx // 10) % 12) + 5e-1 AS y, (pidx // 120) + 5e-1 AS z FROM r")
+def lattice_places(spark, sf_dir):
+    x, y, z = lattice.places(F.col("pidx"), 10, 12, 5)
+    return spark.range(600).withColumnRenamed("id", "pidx").select("pidx", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+@query(f"{E}, h AS (SELECT c_custkey AS halo, (c_custkey - 1) * 7 AS o, 10 + c_custkey % 5 AS l FROM customer) SELECT halo, pidx FROM h JOIN e ON pidx >= o AND pidx < o + l")
+def group_offsets(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    h = c.select(F.col("c_custkey").alias("halo"), ((F.col("c_custkey") - 1) * 7).alias("offset"), (F.lit(10) + F.col("c_custkey") % 5).alias("length"))
+    return groups.from_offsets(plain_events(spark, sf_dir), h).members.select("halo", "pidx")
+
+
+@query(f"{E}, k AS (SELECT pidx, iord * 9000001 AS i, mass AS m FROM e) SELECT pidx, (CASE WHEN i % 4294967296 >= 2147483648 THEN i % 4294967296 - 4294967296 ELSE i % 4294967296 END) + (1 + floor(log2(m)) - 2)::BIGINT * 4294967296 AS id FROM k")
+def bridge_repaired_ids(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    return s.df.select("pidx", bridge.repaired_id(F.col("iord") * 9000001, F.col("mass"), 2).alias("id"))
+
+
+@query(f"{E} SELECT iord, pidx FROM e WHERE iord % 7 = 0 UNION ALL SELECT -1, NULL")
+def ids_to_rows(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    ids = s.df.where("iord % 7 = 0").select("iord").unionByName(spark.range(1).select((F.col("id") - 1).alias("iord")))
+    return bridge.ids_to_rows(s, ids)
+
+
+@query(_round_sql(f"{_P3}, k AS (SELECT bin, temp, sum(mass) OVER (PARTITION BY bin ORDER BY temp, mass ROWS UNBOUNDED PRECEDING) AS c FROM p WHERE inside), f AS (SELECT bin, temp, coalesce((c - min(c) OVER (PARTITION BY bin)) / nullif(max(c) OVER (PARTITION BY bin) - min(c) OVER (PARTITION BY bin), 0e0), 0e0) AS f FROM k), g AS (SELECT bin, max(f) FILTER (f <= 5e-1) AS f0, arg_max(temp, f) FILTER (f <= 5e-1) AS v0, min(f) FILTER (f > 5e-1) AS f1, arg_min(temp, f) FILTER (f > 5e-1) AS v1 FROM f GROUP BY bin), q AS (SELECT bin, v0 + coalesce((5e-1 - f0) * (v1 - v0) / nullif(f1 - f0, 0e0), 0e0) AS q50 FROM g)", "q50", "bin"))
+def profile_weighted_median(spark, sf_dir):
+    return _rounded(_profile3(spark, sf_dir).weighted_quantiles("temp", "mass", (0.5,)))
+
+
+@query(f"{E} SELECT grp, min(pidx) AS first, count(*) AS n FROM e GROUP BY grp")
+def group_boundaries(spark, sf_dir):
+    return groups.boundaries(plain_events(spark, sf_dir).df, "grp")
+
+
+@query(f"{_GR}, s AS (SELECT halo FROM n WHERE halo IN (1000001, 1000002, 5)) SELECT halo, n FROM n JOIN s USING (halo)")
+def group_subset(spark, sf_dir):
+    return _overlapping(plain_events(spark, sf_dir)).subset([1000001, 1000002, 5]).sizes().select("halo", "n")
+
+
+@query(f"{E} SELECT pidx, round(x + 2e-2 * vx, 6) + 0e0 AS x, round(vx + 7e-2 * x, 6) + 0e0 AS vx FROM e")
+def transform_hubble(spark, sf_dir):
+    s = transform.add_hubble(plain_events(spark, sf_dir), 0.07)
+    return _rounded(s.df.select("pidx", (F.col("x") + 0.02 * (F.col("vx") - 0.07 * F.col("x"))).alias("x"), "vx"))
+
+
 # ---- larger tables
 
 _L = f"WITH e AS ({LINEITEM_SQL})"
