@@ -17,9 +17,10 @@ probability of their weighted Jaccard similarity.
 
 Search.  A band is five slots.  In the bucket of a band's value all texts are compared
 with one pivot (as many pairs as members); pairs whose signatures agree enough are
-verified on the whole texts.  Texts that are then still in different components of a
-bucket are compared with each other in blocks of at most `block` members, so that no
-link between candidates is lost and no bucket has to fit into a task.  Exact copies are
+verified on the whole texts.  In a bucket whose texts then are in several components,
+all texts outside the largest are compared with all members, on the whole texts and in
+blocks of about `block`, so that no link between candidates is lost and no bucket has to
+fit into a task.  Exact copies are
 one text from the start.
 
 Null, empty and white-space texts have no shingle and are each a class of their own.
@@ -207,11 +208,16 @@ def _verify(similarity: float, size: int):
     return run
 
 
+def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and text of the keys in the only column of a frame, one row for each."""
+    keys = stored(keys.toDF("k").distinct(), "keys")
+    some = narrowed(texts, "key", keys).join(keys, F.col("key") == F.col("k"), "left_semi")
+    return stored(some.groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (a, b) of text keys that are similar enough, as links (u, v)."""
-    keys = stored(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), "keys")
-    some = narrowed(texts, "key", keys).join(keys, F.col("key") == F.col("k"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    some = stored(some, "texts")
+    some = _texts_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), texts)
     joined = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return stored(joined.mapInArrow(_verify(similarity, size), "u binary, v binary"), "links")
 
@@ -233,37 +239,66 @@ def _estimated(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return out.withColumn("agree", agree("sig_a", "sig_b")).where(F.col("agree") >= least).select("a", "b", "agree")
 
 
-def _crossed(least: float):
-    """Pairs of a block pair's members that are in different components."""
+def _linked(similarity: float, size: int):
+    """Links between a block of a bucket's stragglers and a block of its members, from
+    their whole multisets; one for each straggler and other component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        y = np.frombuffer(b"".join(right["sig"]), np.uint16).reshape(-1, SLOTS)
-        keys, roots = right["key"].to_numpy(), right["root"].to_numpy()
         found = []
-        for key, root, sig in zip(left["key"], left["root"], left["sig"], strict=True):
-            near = np.flatnonzero((y == np.frombuffer(sig, np.uint16)).mean(axis=1) >= least)
-            found += [(key, keys[j]) for j in near if roots[j] != root and key > keys[j]]
-        return pd.DataFrame(found, columns=["a", "b"])
+        if len(left) and len(right):
+            (lr, lc, lw), (rr, rc, rw) = _bags_of(left["text"], size), _bags_of(right["text"], size)
+            _, ids = np.unique(np.concatenate([lc, rc]), return_inverse=True)
+            li, ri = ids[: len(lc)], ids[len(lc) :]
+            weight = np.zeros(ids.max(initial=-1) + 1, np.int64)
+            total, bounds = np.bincount(rr, rw, len(right)), np.searchsorted(lr, np.arange(len(left) + 1))
+            keys, roots = right["key"].to_numpy(), right["root"].to_numpy()
+            for k, (key, root) in enumerate(zip(left["key"], left["root"], strict=True)):
+                mine = slice(bounds[k], bounds[k + 1])
+                weight[li[mine]] = lw[mine]
+                least = np.bincount(rr, np.minimum(weight[ri], rw), len(right))
+                weight[li[mine]] = 0
+                sim = least / np.maximum(total + lw[mine].sum() - least, 1)
+                seen = {root}
+                for j in np.flatnonzero(sim >= similarity - 1e-12):
+                    if roots[j] not in seen:
+                        seen.add(roots[j])
+                        found.append((key, keys[j]))
+        return pd.DataFrame(found, columns=["u", "v"])
 
     return run
 
 
-def _leftover(members: DataFrame, signed: DataFrame, block: int, least: float) -> DataFrame:
-    """All pairs of a bucket's members in different components whose signatures agree
-    enough.  A bucket is cut into blocks, and each pair of blocks is a task's group."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+def _bags_of(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`bags` of a column, however many chunks it makes."""
+    parts, before = [], 0
+    for c in chunks(pa.array(texts, pa.string())):
+        rows, codes, weights = bags(c, size)
+        parts.append((rows + before, codes, weights))
+        before += c.rows
+    return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
+
+
+def _leftover(members: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
+    """Links between texts of a bucket that are in different components.
+
+    All components of a bucket but its largest are stragglers.  They and all members are
+    cut into blocks; a pair of blocks is a group of its own, so that a group has at most
+    two blocks and a bucket's rows grow with its stragglers only."""
+    parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    of = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max_by(F.struct("root", "c"), F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda c: F.ceil(c / block).cast("long")
     # of two members, one is the pivot and has been compared with the other
-    open_ = sizes.where("n > 2 and lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    rows = members.join(open_, "bucket").join(signed, "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(o.alias("other")))
-    rows = rows.withColumn("p", F.explode(pair)).select("bucket", "key", "root", "sig", "own", F.col("p.other").alias("other"))
-    one = rows.select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "key", "root", "sig")
-    two = rows.select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "key", "root", "sig")
-    return one.unionByName(two).groupBy("bucket", "i", "j").applyInPandas(_crossed(least), "a binary, b binary").distinct()
+    open_ = of.where("n > 2 and parts > 1").select("bucket", F.col("most.root").alias("main"), blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most.c")).alias("sb"))
+    rows = stored(members.join(open_, "bucket"), "open")
+    if rows.isEmpty():
+        return rows.select(F.col("key").alias("u"), F.col("root").alias("v"))
+    own = lambda n: F.pmod(F.xxhash64("key", F.lit(9)), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    one = rows.where("root <> main").select("bucket", own("sb").alias("i"), F.explode(every("nb")).alias("j"), F.lit(0).alias("side"), "key", "root")
+    two = rows.select("bucket", F.explode(every("sb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "key", "root")
+    with_text = one.unionByName(two).join(_texts_of(rows.select("key"), texts), "key")
+    return with_text.groupBy("bucket", "i", "j").applyInPandas(_linked(similarity, size), "u binary, v binary").distinct()
 
 
 def _labelled(keys: DataFrame, roots: DataFrame | None, key: str, root: str) -> DataFrame:
@@ -289,32 +324,22 @@ def text_classes(df: DataFrame, rows: DataFrame, text_col: str, similarity: floa
     pivots = bands.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b <> last").select("bucket", "b")
     members = stored(bands.join(pivots, "bucket").withColumnRenamed("key", "a"), "buckets")
     pairs = stored(_estimated(members.where("a <> b").select("a", "b").distinct(), signed, least), "pairs")
-    links = roots = None
-
-    def grow(more: DataFrame) -> bool:
-        nonlocal links, roots
-        if more.isEmpty():
-            return False
-        links = more if links is None else roots.toDF("u", "v").unionByName(more)
-        roots = stored(components(links), "roots")
-        return True
-
-    # first each text with the pivot that seems nearest, then with those of other components
-    first = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    if not pairs.isEmpty():
-        first = stored(first, "nearest")
-        grow(_verified(first, texts, similarity, size))
-        rest = _labelled(_labelled(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots, "a", "root_a"), roots, "b", "root_b")
-        rest = stored(rest.where("root_a <> root_b").select("a", "b"), "rest")
-        if not rest.isEmpty():
-            grow(_verified(rest, texts, similarity, size))
+    if pairs.isEmpty():
+        return None
+    links = _verified(pairs.select("a", "b"), texts, similarity, size)
+    roots = None if links.isEmpty() else stored(components(links), "roots")
     # what still is apart though in one bucket
     apart = _labelled(members.select("bucket", F.col("a").alias("key")), roots, "key", "root")
-    left = _leftover(apart, signed, block, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    left = stored(left, "left")
-    if not left.isEmpty():
-        grow(_verified(left, texts, similarity, size))
-    return roots
+    left = stored(_leftover(apart, texts, similarity, size, block), "links")
+    if left.isEmpty():
+        return roots
+    if roots is None:
+        return stored(components(left), "roots")
+    # components of components: only they and the texts that were alone have new roots
+    of = _labelled(_labelled(left, roots, "u", "root_u"), roots, "v", "root_v")
+    above = stored(components(of.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))), "roots")
+    joined = _labelled(roots.withColumnRenamed("root", "mid"), above, "mid", "root").select("node", "root")
+    return stored(joined.unionByName(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
 
 def _class_of_keys(rows: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
@@ -356,3 +381,20 @@ def filter_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+s AS (SELECT id, array_to_string(ws[i:i + least(5, len(ws)) - 1], chr(10)) AS g
+  FROM (SELECT id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM w)),
+c AS (SELECT id, g, count(*) AS n FROM s GROUP BY ALL),
+n AS (SELECT id, sum(n) AS n FROM c GROUP BY id),
+p AS (SELECT a.id AS u, b.id AS v, sum(least(a.n, b.n)) AS k FROM c a JOIN c b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 5 * k >= 4 * (x.n + y.n - k)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(id, c) AS (SELECT id, id FROM t UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id),
+m AS (SELECT id, min(c) AS class_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id
+FROM documents LEFT JOIN t ON documents.text = t.text LEFT JOIN m ON m.id = t.id
+"""

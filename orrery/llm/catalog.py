@@ -22,4 +22,5 @@ SQL = {
     "op6_compaction": compaction.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
     "op8_decontamination": decontam.OP8_SQL,
+    "op9_near_duplicates": bagminhash.OP9_SQL,
 }
