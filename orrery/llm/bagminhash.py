@@ -31,7 +31,6 @@ keep a row each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np

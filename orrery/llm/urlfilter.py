@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import U64, free_name, mix, pages
+from .textkit import U64, mix, pages
 
 _WORDS = 8  # of 64 bits in a block: one cache line
 OUTPUTS = ("host", "path", "rule", "verdict")

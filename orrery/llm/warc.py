@@ -24,7 +24,7 @@ import gzip
 import hashlib
 from base64 import b32encode
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
