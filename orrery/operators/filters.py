@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..snapshot import VECTORS, Snapshot, family_name
+from ..snapshot import Snapshot, family_name
 from ..units import Unit
 
 Quantity = float | str | Unit
@@ -120,8 +120,8 @@ class Sphere(Filter):
 
 @dataclass(frozen=True)
 class Cuboid(Filter):
-    """|d| <= half the side around the centre, in each direction: open below, closed
-    above is not made out; bounds belong to no row."""
+    """Between two corners, open on all sides.  Missing lower bounds are those of x,
+    missing upper bounds the negatives of the lower."""
 
     x1: Quantity
     y1: Quantity | None = None
@@ -206,4 +206,4 @@ def SolarNeighborhood(r1: Quantity = "5 kpc", r2: Quantity = "10 kpc", height: Q
     return ~Disc(r1, height, cen) & Disc(r2, height, cen)
 
 
-__all__ = ["VECTORS", "And", "Annulus", "BandPass", "Cuboid", "Disc", "FamilyFilter", "Filter", "HighPass", "LowPass", "Not", "Or", "SolarNeighborhood", "Sphere", "wrapped"]
+__all__ = ["And", "Annulus", "BandPass", "Cuboid", "Disc", "FamilyFilter", "Filter", "HighPass", "LowPass", "Not", "Or", "SolarNeighborhood", "Sphere", "wrapped"]
