@@ -59,6 +59,9 @@ _PARTS = set(
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation "
     "navi footer popup modal overlay widget widgets login signup signin search pagination pager toolbar skip masthead topbar copyright disclaimer paywall form discussion feedback".split()
 )
+#: Such names inside longer ones, with their separators left out.
+_INSIDE = re.compile(r"sidebar|comment(?!ar)|advert|sponsor|newsletter|breadcrumb|cookie|popup|pagination|disqus|masthead|subscri|navbar|dropdown")
+_BESIDE = {"has", "with", "no", "without"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "note"}
 #: Opening one of these closes an open one of the others, up to a container.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -87,7 +90,8 @@ def _facts(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 words = [w.lower() for w in _SPLIT.split(value) if w]
-                if not _PARTS.isdisjoint(words) and not (landmark and tag == "main"):
+                # a wrapper that says what lies beside the text holds the text itself
+                if _BESIDE.isdisjoint(words) and (not _PARTS.isdisjoint(words) or _INSIDE.search("".join(words))) and not (landmark and tag == "main"):
                     dropped = True
                 if not inside and ("header" in words and tag in ("div", "section", "table")):
                     dropped = True
@@ -182,8 +186,10 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Node]]], list[Node]]:
             continue
         label, dropped, landmark = _facts(tag, m[3], up.landmark)
         node = Node(tag, label, f"{up.path}/{label}", landmark or up.landmark, label == tag, dropped or up.dropped)
-        if tag == "html" or tag == "body":
+        if tag in ("html", "body"):
             node.dropped = up.dropped
+        elif tag == "main":
+            node.dropped = False
         up.children.append(label)
         stack.append(node)
         if not node.dropped:

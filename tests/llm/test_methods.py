@@ -288,6 +288,7 @@ def test_html_main_text():
     assert html.main_text(None) == "" and html.main_text("<p>") == ""
     assert html.main_text("<p>a</p><script>var x='</p>'</script><p>b &lt;i&gt;<td>c").split("\n") == ["a", "b <i>", "c"]
     assert html.main_text("<div class=comments><p>no</div><p>yes") == "yes"
+    assert html.main_text("<ol id=commentList><li>no</ol><div class='side-bar x'>no</div><div class=commentary>yes</div>") == "yes"
 
 
 def test_style_tree_removes_what_all_pages_share(spark):
