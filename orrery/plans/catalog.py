@@ -539,6 +539,65 @@ def gravity_all(spark, sf_dir):
     return _rounded(gravity.all_direct(_few(spark, sf_dir), 2.0, 128).select("pidx", "phi"))
 
 
+# ---- the same on all events
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query on the first 600 events, on all events."""
+    return SQL[name].replace(_F, E)
+
+
+@query(_whole("ball_counts"))
+def ball_counts_whole(spark, sf_dir):
+    return neighbours.ball_counts(plain_events(spark, sf_dir), 60.0)
+
+
+@query(_whole("ball_counts_periodic"))
+def ball_counts_periodic_whole(spark, sf_dir):
+    return neighbours.ball_counts(events(spark, sf_dir, True), 60.0)
+
+
+@query(_whole("nearest_neighbours"))
+def nearest_neighbours_whole(spark, sf_dir):
+    return _rounded(neighbours.smoothing_neighbours(plain_events(spark, sf_dir), 16).select("pidx", "rank", "d2"))
+
+
+@query(_whole("smoothing_length"))
+def smoothing_length_whole(spark, sf_dir):
+    return _rounded(sph.smooth(plain_events(spark, sf_dir), 16))
+
+
+@query(_whole("sph_density"))
+def sph_density_whole(spark, sf_dir):
+    d = sph.density(plain_events(spark, sf_dir), 16)
+    return _rounded(d.select("pidx", (F.col("rho") * 1e6).alias("rho")))
+
+
+@query(_whole("sph_mean"))
+def sph_mean_whole(spark, sf_dir):
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "mean", "temp", 16))
+
+
+@query(_whole("sph_dispersion"))
+def sph_dispersion_whole(spark, sf_dir):
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "dispersion", "temp", 16))
+
+
+@query(_whole("sph_divergence"))
+def sph_divergence_whole(spark, sf_dir):
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "div", "vel", 16))
+
+
+@query(_whole("sph_curl"))
+def sph_curl_whole(spark, sf_dir):
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "curl", "vel", 16))
+
+
+@query(_whole("gravity_all"))
+def gravity_all_whole(spark, sf_dir):
+    return _rounded(gravity.all_direct(plain_events(spark, sf_dir), 2.0).select("pidx", "phi"))
+
+
 # ---- transformations and structure
 
 
