@@ -110,13 +110,77 @@ def ring_pixel(theta: Column, phi: Column, nside: int) -> Column:
     return F.when(za <= 2 / 3, belt).otherwise(cap).cast("long")
 
 
-def sky(s: Snapshot, nside: int = 16, shell: tuple[float, float] | None = None) -> DataFrame:
-    """Mass for each steradian in equal-area sky pixels: pix, value.  Rows fall whole into
-    the pixel of their direction; `shell` restricts their distance."""
-    view = s if shell is None else s.where((s.col("r") >= shell[0]) & (s.col("r") < shell[1]))
-    area = 4 * math.pi / (12 * nside * nside)
-    rows = view.df.where(view.col("r") > 0)
-    return rows.groupBy(ring_pixel(view.col("theta"), view.col("az"), nside).alias("pix")).agg((F.sum(view.col("mass")) / area).alias("value"))
+def _ring(i: Column, nside: int) -> tuple[Column, Column, Column, Column]:
+    """Of a ring of sky pixels (from 1): pixels, first pixel, z of the middles, and the
+    place of the first middle in steps along the ring."""
+    south = 4 * nside - i
+    n = F.when(i < nside, 4 * i).when(i <= 3 * nside, F.lit(4 * nside)).otherwise(4 * south)
+    first = F.when(i < nside, 2 * i * (i - 1)).when(i <= 3 * nside, 2 * nside * (nside - 1) + (i - nside) * (4 * nside)).otherwise(12 * nside * nside - 2 * south * (south + 1))
+    z = F.when(i < nside, 1 - i * i / (3 * nside * nside)).when(i <= 3 * nside, (2 * nside - i) / (1.5 * nside)).otherwise(south * south / (3 * nside * nside) - 1)
+    place = F.when((i > nside) & (i < 3 * nside) & (F.pmod(i - nside, F.lit(2)) == 1), 0.0).otherwise(0.5)
+    return n, first, z, place
+
+
+def _disc(rows: DataFrame, nside: int) -> DataFrame:
+    """A row for each sky pixel whose middle is at most `reach` (radians) from the
+    direction (ux, uy, uz): pix and angle.
+
+    Rings and places along them come from bounds a pixel wider; the angle decides."""
+    theta, reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("uz")))), F.col("reach")
+    ring_of = lambda z: F.when(z > 2 / 3, nside * F.sqrt(3 * (1 - z))).when(z >= -2 / 3, nside * (2 - 1.5 * z)).otherwise(4 * nside - nside * F.sqrt(3 * (1 + z)))
+    first = F.greatest(F.floor(ring_of(F.cos(F.greatest(theta - reach, F.lit(0.0))))) - 1, F.lit(1))
+    last = F.least(F.ceil(ring_of(F.cos(F.least(theta + reach, F.lit(math.pi))))) + 1, F.lit(4 * nside - 1))
+    out = rows.withColumn("ring", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    out = out.withColumns(dict(zip(("n", "start", "pz", "place"), _ring(F.col("ring"), nside), strict=True)))
+    ps = F.sqrt(1 - F.col("pz") * F.col("pz"))
+    # over a pole or past a quarter turn the whole ring is tried
+    c = (F.cos(reach) - F.col("pz") * F.col("uz")) / (ps * F.sqrt(F.greatest(1 - F.col("uz") * F.col("uz"), F.lit(1e-300))))
+    half = F.when((reach >= math.pi / 2) | (c <= 0), math.pi).otherwise(F.acos(F.least(c, F.lit(1.0))))
+    step = 2 * math.pi / F.col("n")
+    middle = F.atan2("uy", "ux") / step - F.col("place")
+    wide = F.floor(half / step) + 2
+    along = F.when(2 * wide + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.sequence(F.floor(middle) - wide + 1, F.floor(middle) + wide))
+    out = out.withColumn("k", F.explode(along)).withColumn("k", F.pmod("k", "n"))
+    phi = (F.col("k") + F.col("place")) * step
+    d = (ps * F.cos(phi) - F.col("ux"), ps * F.sin(phi) - F.col("uy"), F.col("pz") - F.col("uz"))
+    angle = 2 * F.asin(F.least(F.sqrt(sum(v * v for v in d)) / 2, F.lit(1.0)))
+    return out.withColumns({"pix": F.col("start") + F.col("k"), "angle": angle}).where((F.col("angle") <= reach) | (reach >= math.pi))
+
+
+def sky(s: Snapshot, nside: int = 16, shell: float | None = None, quantity: str | Column = "rho", kern="cubic_spline", weight: str | Column | None = None, denoise: bool = False) -> DataFrame:
+    """pix and value of the equal-area sky pixels (ring order) that any kernel reaches.
+
+    Without a shell the sum of q m / rho times the projected kernel, for each steradian;
+    a row at the origin has no direction and is left out.  With one, the quantity on the
+    sphere of that radius, by the 3-D kernel.  Pixels are sampled at their middles.
+    `weight` and `denoise` are those of `image`."""
+    if nside < 1 or nside & (nside - 1):
+        raise ValueError("nside must be a power of 2")
+    if shell is not None and shell <= 0:
+        raise ValueError("a shell's radius must be positive")
+    q = s.col(quantity) if isinstance(quantity, str) else quantity
+    if weight is not None or denoise:
+        w = F.lit(1.0) if weight is None else s.col(weight) if isinstance(weight, str) else weight
+        bottom = sky(s, nside, shell, w, kern).withColumnRenamed("value", "w")
+        return sky(s, nside, shell, q * w, kern).join(bottom, "pix").select("pix", F.try_divide("value", "w").alias("value"))
+    h, r = F.col("h"), F.col("r")
+    rows = _rows(s, q, 1e-300).withColumn("r", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+    if shell is None:
+        rows = rows.where("r > 0").withColumn("reach", F.least(2 * h / r, F.lit(math.pi)))
+    else:
+        near = F.try_divide(shell * shell + r * r - 4 * h * h, 2 * shell * r)
+        rows = rows.where(F.abs(r - shell) < 2 * h).withColumn("reach", F.when((r == 0) | (near <= -1), math.pi).otherwise(F.acos(F.least(near, F.lit(1.0)))))
+    # at the origin any direction does: the whole sphere is as far
+    unit = {f"u{c}": F.when(r > 0, F.col(c) / r).otherwise(1.0 if c == "z" else 0.0) for c in "xyz"}
+    spread = _disc(rows.withColumns(unit), nside)
+    if shell is None:
+        table = F.array(*[F.lit(v) for v in projected(kernel(kern))])
+        k = F.floor(F.lit(201) * (r * F.col("angle") / (2 * h)) * (r * F.col("angle") / (2 * h))).cast("int")
+        value = F.when(k < 201, F.element_at(table, k + 1)).otherwise(0.0) * (r / h) * (r / h)
+    else:
+        d2 = (r - shell) * (r - shell) + 4 * shell * r * F.sin(F.col("angle") / 2) * F.sin(F.col("angle") / 2)
+        value = kernel(kern).w(F.sqrt(d2) / h) / (math.pi * h * h * h)
+    return spread.groupBy("pix").agg(F.sum(F.col("q") * F.col("m") / F.col("rho") * value).alias("value")).where("value <> 0")
 
 
 def magnitudes(img: DataFrame, width: float, n: int) -> DataFrame:

@@ -204,6 +204,49 @@ def test_sky_pixels_have_equal_area(spark):
     assert counts["count"].std() / counts["count"].mean() < 0.1
 
 
+def _sky(df, n):
+    out = np.zeros(n)
+    for row in df.collect():
+        out[row["pix"]] = row["value"]
+    return out
+
+
+def test_sky_spreads_kernels(spark):
+    rng = np.random.default_rng(5)
+    n, nside = 120, 4
+    pos = rng.normal(size=(n, 3)) * np.geomspace(0.3, 10, n)[:, None]
+    pos[:3] = [[0, 0, 2], [0, 0, -3], [0, 0, 0]]
+    h, m, rho, q = rng.uniform(0.2, 2, n), rng.uniform(1, 3, n), rng.uniform(1, 2, n), rng.uniform(1, 9, n)
+    rows = [(i, *map(float, pos[i]), float(h[i]), float(m[i]), float(rho[i]), float(q[i])) for i in range(n)]
+    s = sn.snapshot(spark.createDataFrame(rows, "pidx long, x double, y double, z double, smooth double, mass double, rho double, temp double"))
+    middles = []
+    for i in range(1, 4 * nside):
+        k = min(i, nside, 4 * nside - i)
+        z = (2 * nside - i) / (1.5 * nside) if nside <= i <= 3 * nside else math.copysign(1 - k * k / (3 * nside * nside), 2 * nside - i)
+        shift = 0.0 if nside < i < 3 * nside and (i - nside) % 2 else 0.5
+        middles += [(z, 2 * math.pi * (j + shift) / (4 * k)) for j in range(4 * k)]
+    z, phi = np.array(middles).T
+    at = spark.createDataFrame([(k, float(math.acos(a)), float(b + 1e-9)) for k, (a, b) in enumerate(zip(z, phi, strict=True))], "k long, t double, p double")
+    assert at.where(render.ring_pixel(F.col("t"), F.col("p"), nside) != F.col("k")).count() == 0
+    unit = np.stack([np.sqrt(1 - z * z) * np.cos(phi), np.sqrt(1 - z * z) * np.sin(phi), z], axis=1)
+    r = np.linalg.norm(pos, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        angle = np.arccos(np.clip(unit @ (pos / r[:, None]).T, -1, 1))
+        table = np.array(sph.projected(sph.CUBIC))
+        k = np.nan_to_num(201 * (r * angle / (2 * h)) ** 2, nan=201).astype(int)
+    column = np.where(k < 201, table[np.minimum(k, 200)], 0) * (r / h) ** 2 * q * m / rho
+    assert np.allclose(_sky(render.sky(s, nside, quantity="temp"), len(z)), column.sum(1), rtol=1e-5)
+    flat = np.where(k < 201, table[np.minimum(k, 200)], 0) * (r / h) ** 2 * m / rho
+    assert np.allclose(_sky(render.sky(s, nside, quantity="temp", denoise=True), len(z)), column.sum(1) / flat.sum(1), rtol=1e-5)
+    d = np.linalg.norm(2.0 * unit[:, None] - pos[None], axis=2)
+    shell = sph.CUBIC.value(d / h) / (math.pi * h**3) * q * m / rho
+    assert np.allclose(_sky(render.sky(s, nside, 2.0, "temp"), len(z)), shell.sum(1))
+    # a small distant row: its column over all pixels is its mass
+    one = sn.snapshot(spark.createDataFrame([(0, 30.0, 40.0, 10.0, 4.0, 2.0, 5.0)], "pidx long, x double, y double, z double, smooth double, mass double, rho double"))
+    got = render.sky(one, 64)
+    assert got.count() > 100 and got.agg(F.sum("value")).first()[0] * 4 * math.pi / (12 * 64 * 64) == pytest.approx(2.0, rel=0.02)
+
+
 def test_cosmology():
     c = Cosmology(0.3, 0.7, 0.7)
     assert c.age(0.0) == pytest.approx(13.4617, rel=1e-3)
