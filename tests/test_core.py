@@ -264,6 +264,22 @@ def test_cosmology():
         assert w.mass(w.radius(1e12, 3.0), 3.0) == pytest.approx(1e12)
 
 
+def test_multiplicity_kernels():
+    # by hand at nu = 1 and sigma = 1: ln(1 / sigma) is 0
+    one, st = np.array([1.0]), 0.3222 * math.sqrt(2 * 0.707 / math.pi)
+    g1, g2, tail = math.exp(-0.16 / 0.72), math.exp(-0.5625 / 0.08), math.exp(-1.08 * 0.707 / 2)
+    lobe = 1 + 0.707**-0.3
+    assert massfunction.KERNELS["REEDU"](one, one)[0] == pytest.approx(st * (lobe + 0.2 * g1) * tail)
+    assert massfunction.KERNELS["REEDZ"](one, one, -2.0)[0] == pytest.approx(st * (lobe + 0.6 * g1 + 0.4 * g2) * tail * math.exp(-0.03))
+    a = 0.788 / 2**0.01
+    assert massfunction.KERNELS["B"](one, one, 1.0)[0] == pytest.approx(0.333 / 2**0.11 * math.sqrt(2 / math.pi) * (1 + a**-0.807) * a ** (1.795 / 2) * math.exp(-a / 2))
+    p = massfunction.PowerSpectrum.analytic(Cosmology(0.3, 0.7, 0.7), sigma8=0.8)
+    st = massfunction.halo_mass_function(p, 11, 14, 0.25)[2]
+    for kern in ("REEDU", "REEDZ", "B"):
+        got = massfunction.halo_mass_function(p, 11, 14, 0.25, kern)[2]
+        assert (np.abs(np.log(got / st)) < 0.5).all()
+
+
 def test_nfw():
     f = nfw.NFW.of_mass(1e12, 200.0, 10.0)
     assert f.enclosed(200.0) == pytest.approx(1e12) and f.concentration == 10
