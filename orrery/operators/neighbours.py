@@ -66,21 +66,27 @@ def knn(queries: DataFrame, points: DataFrame, k: int, first_radius: float, id_q
     ties by the least id.  A query that is a point has itself as its first neighbour.
 
     A query's ball grows by half until it holds k points; the driver only counts how many
-    queries are left.  Queries that can't have k points get those there are."""
-    todo, parts, radius = queries, [], float(first_radius)
-    total = points.count()
-    for ring in range(max_rings):
-        whole = box is not None and radius >= 0.87 * box
-        hit = ball_join(todo.select(id_q, *XYZ), points.select(F.col(id_p).alias("neighbour"), *XYZ), radius, radius, box if not whole else None) if not whole else _everything(todo, points, id_q, id_p, box)
-        top = Window.partitionBy(f"q_{id_q}").orderBy("d2", "neighbour")
+    queries are left.  Those left after `max_rings` balls are compared with all points.
+    Queries that can't have k points get those there are; rows without coordinates are
+    neither queries nor points."""
+    todo, parts, radius = _placed(queries.select(id_q, *XYZ)), [], float(first_radius)
+    points = _placed(points.select(F.col(id_p).alias("neighbour"), *XYZ))
+    least = points.limit(k).count()
+    top = Window.partitionBy(f"q_{id_q}").orderBy("d2", "neighbour")
+    for ring in range(max_rings + 1):
+        whole = ring == max_rings or box is not None and radius >= 0.87 * box
+        hit = _everything(todo, points, k, id_q, box) if whole else ball_join(todo, points, radius, radius, box)
         near = hit.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select(F.col(f"q_{id_q}").alias(id_q), "neighbour", "d2", "rank")
-        near = near.persist()
-        done = near.groupBy(id_q).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min(k, total))
-        parts.append(near.join(done.select(id_q), id_q, "left_semi"))
-        todo = todo.join(done, id_q, "left_anti")
-        if whole or todo.isEmpty():
+        # cut from what they came of: else the plan doubles with each ball
+        near = near.localCheckpoint()
+        if whole:
+            parts.append(near)
+            break
+        done = near.groupBy(id_q).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(id_q)
+        parts.append(near.join(done, id_q, "left_semi"))
+        todo = todo.join(done, id_q, "left_anti").localCheckpoint()
+        if todo.isEmpty():
             break
-        todo = todo.persist()
         radius *= 1.5
     out = parts[0]
     for p in parts[1:]:
@@ -88,21 +94,39 @@ def knn(queries: DataFrame, points: DataFrame, k: int, first_radius: float, id_q
     return out
 
 
-def _everything(todo: DataFrame, points: DataFrame, id_q: str, id_p: str, box: float | None) -> DataFrame:
-    """The last few queries against all points: they are broadcast, being a rest that has
-    no k points within the box's half."""
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with finite coordinates."""
+    far = F.lit(float("inf"))
+    return df.where((F.abs("x") < far) & (F.abs("y") < far) & (F.abs("z") < far))
+
+
+def _everything(todo: DataFrame, points: DataFrame, k: int, id_q: str, box: float | None, block: int = 4096) -> DataFrame:
+    """The last queries against all points: the k nearest within each block of points.
+    Few are broadcast, being a rest that has no k points within the largest ball."""
     q = todo.select(F.col(id_q).alias(f"q_{id_q}"), *[F.col(c).alias(f"q_{c}") for c in XYZ])
     d2 = sum(wrapped(F.col(c) - F.col(f"q_{c}"), box) * wrapped(F.col(c) - F.col(f"q_{c}"), box) for c in XYZ)
-    return points.select(F.col(id_p).alias("neighbour"), *XYZ).join(q.hint("broadcast") if q.limit(10_001).count() <= 10_000 else q).withColumn("d2", d2)
+    blocks = max(1, -(-points.count() // block))
+    p = points.withColumn("__b", F.pmod(F.xxhash64("neighbour"), F.lit(blocks)))
+    pairs = p.join(q.hint("broadcast") if q.limit(10_001).count() <= 10_000 else q).withColumn("d2", d2)
+    top = Window.partitionBy(f"q_{id_q}", "__b").orderBy("d2", "neighbour")
+    return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).drop("rank", "__b")
 
 
 def spacing(points: DataFrame, k: int) -> float:
-    """A radius that holds about k points where points are as dense as on average."""
+    """A radius that holds about k points where points are as dense as on average, over
+    the axes along which they spread."""
+    points = _placed(points)
     row = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
+    sides = [row[c] or 0.0 for c in XYZ]
+    sides = [v for v in sides if v > 1e-9 * max(sides)]
+    if not sides:
+        return 1e-9
+    unit_ball = {1: 2.0, 2: 3.14, 3: 4.19}[len(sides)]
+    share = k / max(1, row["n"]) / unit_ball
     volume = 1.0
-    for c in XYZ:
-        volume *= max(row[c] or 0.0, 1e-12)
-    return max(1e-9, 1.3 * (volume * k / max(1, row["n"]) / 4.19) ** (1 / 3))
+    for v in sides:
+        volume *= v
+    return max(1e-9, 1.3 * (volume * share) ** (1 / len(sides)))
 
 
 def smoothing_neighbours(s: Snapshot, k: int = 32) -> DataFrame:

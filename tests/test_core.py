@@ -154,6 +154,23 @@ def test_neighbours_and_kernels(blob):
         assert len(sph.projected(k)) == 201
 
 
+def test_neighbours_on_a_line_and_without_coordinates(spark):
+    kind = "pidx long, x double, y double, z double"
+    x = np.linspace(0, 500, 600)
+    line = sn.snapshot(spark.createDataFrame([(i, float(v), 1.0, 2.0) for i, v in enumerate(x)], kind))
+    got = neighbours.smoothing_neighbours(line, 4).toPandas().sort_values(["pidx", "rank"])
+    want = np.sort((x[:, None] - x[None]) ** 2, axis=1)[:, :4]
+    assert len(got) == 2400 and np.allclose(got["d2"].to_numpy().reshape(600, 4), want)
+    # balls that stay too small: the last step is exact, in blocks or not
+    pts = line.df.select("pidx", "x", "y", "z").where("pidx < 40")
+    got = neighbours.knn(pts, pts, 4, 1e-9, max_rings=2).toPandas().sort_values(["pidx", "rank"])
+    assert np.allclose(got["d2"].to_numpy().reshape(40, 4), np.sort((x[:40, None] - x[None, :40]) ** 2, axis=1)[:, :4])
+    # three points of five have a place
+    holes = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 1.0, 0.0), (2, 0.0, 2.0, 1.0), (3, None, 0.0, 0.0), (4, 1.0, float("nan"), 0.0)], kind)
+    got = neighbours.smoothing_neighbours(sn.snapshot(holes), 4).toPandas()
+    assert sorted(zip(got["pidx"], got["rank"], strict=True)) == [(i, r) for i in range(3) for r in (1, 2, 3)]
+
+
 def test_gravity_of_two_bodies(spark):
     s = sn.snapshot(spark.createDataFrame([(0, 1.0, 0.0, 0.0, 2.0), (1, -1.0, 0.0, 0.0, 2.0)], "pidx long, x double, y double, z double, mass double"))
     phi, ax = gravity.direct(s, [(0.0, 0.0, 0.0), (3.0, 0.0, 0.0)], 0.0).orderBy("point").select("phi", "ax").collect()[1]
