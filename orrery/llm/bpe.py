@@ -60,11 +60,6 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str = public_tokenizers.PATTERN):
         pairs = (line.split() for line in ranks.splitlines() if line.strip())
         self.ids = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.tokens = {i: b for b, i in self.ids.items()}
-        self.size = max(self.tokens, default=-1) + 1
-        self.lengths = np.zeros(self.size, np.int64)
-        for i, b in self.tokens.items():
-            self.lengths[i] = len(b)
         # white space as Unicode defines it, whichever way the regex library reads \s
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.to_char = byte_table()
@@ -73,6 +68,12 @@ class Codec:
         # any two neighbours that make a token may merge, the token of least rank first
         merges = [(chars(b[:k]), chars(b[k:])) for b in sorted(self.ids, key=self.ids.__getitem__) for k in range(1, len(b)) if b[:k] in self.ids and b[k:] in self.ids]
         self.model = models.BPE(vocab={chars(b): i for b, i in self.ids.items()}, merges=merges, ignore_merges=True)
+        # the model's token strings through the reversed byte table
+        self.tokens = {i: bytes(map(self.to_byte.__getitem__, self.model.id_to_token(i))) for i in self.ids.values()}
+        self.size = max(self.tokens, default=-1) + 1
+        self.lengths = np.zeros(self.size, np.int64)
+        for i, b in self.tokens.items():
+            self.lengths[i] = len(b)
         self.memo: dict[str, bytes] = {}
 
     def _merge(self, pieces: list[str]) -> None:

@@ -1,5 +1,6 @@
 """Methods against brute force, exact round trips and held-out accuracy."""
 
+import base64
 import random
 import re
 from collections import Counter, defaultdict
@@ -93,6 +94,22 @@ def _edited(words, n, rng):
     return " ".join(w)
 
 
+def test_decoding_reverses_the_byte_table(monkeypatch):
+    class Crossed(dict):
+        """A byte table whose reverse takes a for b."""
+
+        def items(self):
+            return [({97: 98, 98: 97}.get(b, b), c) for b, c in super().items()]
+
+    ranks = b"\n".join(base64.b64encode(bytes([b])) + f" {b}".encode() for b in range(256))
+    plain = bpe.Codec(ranks)
+    assert plain.decode(plain.encode("abc \u00e9")) == "abc \u00e9".encode()
+    table = bpe.byte_table()
+    monkeypatch.setattr(bpe, "byte_table", lambda: Crossed(table))
+    crossed = bpe.Codec(ranks)
+    assert crossed.decode(crossed.encode("abc")) == b"bac"
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(3)
     texts = []
