@@ -323,10 +323,8 @@ def text_classes(df: DataFrame, rows: DataFrame, text_col: str, similarity: floa
     pivots = bands.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b <> last").select("bucket", "b")
     members = stored(bands.join(pivots, "bucket").withColumnRenamed("key", "a"), "buckets")
     pairs = stored(_estimated(members.where("a <> b").select("a", "b").distinct(), signed, least), "pairs")
-    if pairs.isEmpty():
-        return None
-    links = _verified(pairs.select("a", "b"), texts, similarity, size)
-    roots = None if links.isEmpty() else stored(components(links), "roots")
+    links = None if pairs.isEmpty() else _verified(pairs.select("a", "b"), texts, similarity, size)
+    roots = None if links is None or links.isEmpty() else stored(components(links), "roots")
     # what still is apart though in one bucket
     apart = _labelled(members.select("bucket", F.col("a").alias("key")), roots, "key", "root")
     left = stored(_leftover(apart, texts, similarity, size, block), "links")

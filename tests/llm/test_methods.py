@@ -1,6 +1,7 @@
 """Methods against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -149,6 +150,18 @@ def test_blocks_find_every_pair(spark, monkeypatch):
             assert (want[a] == want[b]) == (root.get(keys[a], keys[a]) == root.get(keys[b], keys[b]))
 
 
+def test_similar_texts_under_an_unlike_pivot(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    similar = [" ".join(base), " ".join([*base[:99], "x"])]
+    key = lambda t: hashlib.md5(t.encode()).digest()
+    pivot = next(t for k in range(1000) if key(t := " ".join(f"z{k}u{i}" for i in range(100))) < min(map(key, similar)))
+    # one bucket, and no text in it that is like its pivot
+    monkeypatch.setattr(bagminhash, "_banded", lambda signed: signed.select("key", F.lit(0).cast("long").alias("bucket")))
+    df = spark.createDataFrame(list(enumerate([*similar, pivot])), "doc_id long, text string")
+    got = {r[0]: r[1] for r in bagminhash.classes(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(1)
     errors = []
