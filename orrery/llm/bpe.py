@@ -3,7 +3,8 @@
 The vocabulary is a rank file (base64 token, space, rank in each line).  A text is
 split by a pattern, each match is mapped from bytes to the printable characters of the
 byte table and merged by the `tokenizers` library.  Matches repeat, so a worker keeps
-the ids of those it has seen (a bounded memo; what it returns doesn't depend on it).
+the ids of those it has seen (a memo of bounded bytes; what it returns doesn't depend on
+it).  Codec and memo are dropped when their task ends.
 Token offsets are given in bytes and in characters; a token that holds part of a
 character gets the whole of it as its character range.  Decoding reverses the byte
 table; a character split over tokens is put together from its bytes.
@@ -30,9 +31,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import models
 
-from .textkit import annotate, documents
+from .textkit import annotate, bound_batches, documents, free_name, give_back
 
-MEMO = 400_000
+#: Bytes of matches and of their ids that a codec remembers, with what Python adds to each.
+MEMO_BYTES = 24 << 20
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -75,13 +77,15 @@ class Codec:
         for i, b in self.tokens.items():
             self.lengths[i] = len(b)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, pieces: list[str]) -> None:
         """Puts the ids of unknown pieces, as int32 bytes, into the memo."""
         to_char, tokenize = self.to_char.__getitem__, self.model.tokenize
         for p in pieces:
             ids = [t.id for t in tokenize("".join(map(to_char, p.encode())))]
-            self.memo[p] = np.array(ids, np.int32).tobytes()
+            self.memo[p] = got = np.array(ids, np.int32).tobytes()
+            self.held += len(p) + len(got) + 200
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
@@ -91,8 +95,9 @@ class Codec:
             return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
         except KeyError:
             pass
-        if len(memo) > MEMO:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         self._merge([p for p in dict.fromkeys(pieces) if p not in memo])
         return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
 
@@ -120,20 +125,8 @@ class Codec:
             yield rest
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(shared: Broadcast, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = (hash(shared.value), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
-    return _codecs[key]
-
-
 def _encode(shared: Broadcast, pattern: str, spans: bool):
-    codec = _codec(shared, pattern)
+    codec = Codec(shared.value, pattern)
 
     def fn(texts: pa.Array) -> list:
         texts = texts.to_pylist()
@@ -151,7 +144,7 @@ def _encode(shared: Broadcast, pattern: str, spans: bool):
 
 
 def _digest(shared: Broadcast, pattern: str):
-    codec = _codec(shared, pattern)
+    codec = Codec(shared.value, pattern)
     names = {i: str(i) for i in codec.tokens}
 
     def fn(texts: pa.Array) -> list:
@@ -168,11 +161,13 @@ def _digest(shared: Broadcast, pattern: str):
 
 def _decode(shared: Broadcast, pattern: str, column: str, names: list[str]):
     def run(batches):
-        codec = _codec(shared, pattern)
+        codec = Codec(shared.value, pattern)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1).to_pylist()
             made = pa.array([None if x is None else codec.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names)
+        del codec
+        give_back()
 
     return run
 
@@ -197,9 +192,10 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, out_col
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    kept = [f for f in df.schema if f.name not in (ids_col, out_col)]
+    bound_batches(df.sparkSession)
+    kept = [f for f in df.schema if f.name.lower() not in (ids_col.lower(), out_col.lower())]
     schema = T.StructType([*kept, T.StructField(out_col, T.StringType())])
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{ids_col}`").cast("array<int>").alias("__ids"))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{ids_col}`").cast("array<int>").alias(free_name(df, "__ids")))
     return src.mapInArrow(_decode(_share(df.sparkSession, path or default_path()), pattern, ids_col, schema.names), schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import U64, annotate, bound_batches, chunks, documents, mix
+from .textkit import U64, annotate, bound_batches, chunks, documents, give_back, mix
 
 DIMENSIONS = 2048
 #: Vectors of runs that a worker keeps.
@@ -120,11 +120,18 @@ class Space:
             if len(at) and at.min() >= 0:
                 count = np.bincount(at)
                 ids = np.flatnonzero(count)
-                return count[ids].astype(np.float32) @ self.runs[ids].astype(np.float32)
+                return self._sum(count[ids], ids)
         codes, count = np.unique(codes, return_counts=True)
         out = np.zeros(self.d, np.float32)
         for i in range(0, len(codes), 4096):
-            out += count[i : i + 4096].astype(np.float32) @ self.runs[self._places(codes[i : i + 4096])].astype(np.float32)
+            out += self._sum(count[i : i + 4096], self._places(codes[i : i + 4096]))
+        return out
+
+    def _sum(self, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sum of the kept vectors at `at`, each as often as `count` says."""
+        out = np.zeros(self.d, np.float32)
+        for i in range(0, len(at), 2048):
+            out += count[i : i + 2048].astype(np.float32) @ self.runs[at[i : i + 2048]].astype(np.float32)
         return out
 
 
@@ -141,15 +148,6 @@ def _rows(space: Space, texts: pa.Array):
             i += 1
 
 
-_spaces: dict[int, Space] = {}
-
-
-def _space(dimensions: int) -> Space:
-    if dimensions not in _spaces:
-        _spaces[dimensions] = Space(dimensions)
-    return _spaces[dimensions]
-
-
 @dataclass(frozen=True)
 class Profiles:
     """Prototypes: one row of `vectors` for each of `languages` (sorted)."""
@@ -175,7 +173,7 @@ class Profiles:
 
 def _learn(dimensions: int):
     def run(batches):
-        space, total = _space(dimensions), {}
+        space, total = Space(dimensions), {}
         for b in batches:
             langs, parts = b.column(0).to_pylist(), {}
             for i, codes in _rows(space, b.column(1)):
@@ -185,6 +183,8 @@ def _learn(dimensions: int):
                     parts[langs[i]] = [np.concatenate(parts[langs[i]])]
             for lang, codes in parts.items():
                 total[lang] = total.get(lang, 0) + space.bundle(np.concatenate(codes))
+        del space
+        give_back()
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(np.rint(v).astype(np.int64))], ["lang", "k", "v"])
 
@@ -209,9 +209,9 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
 
 def _predict(profiles: Profiles):
     names = np.array([*profiles.languages, UNKNOWN], object)
+    space = Space(profiles.dimensions)
 
     def fn(texts: pa.Array) -> list:
-        space = _space(profiles.dimensions)
         best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
         held: list[tuple[int, np.ndarray]] = []
 

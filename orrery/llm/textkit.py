@@ -8,7 +8,11 @@ chunk size makes a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -45,20 +49,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_pow: dict[str, np.ndarray] = {}
+_pow: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if len(_pow.get("up", ())) < n:
-        size = max(2 * CHUNK_BYTES, 1 << int(n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _pow[name] = p
-    return _pow["up"], _pow["down"]
+    """Powers of the hash base and of its inverse modulo 2**64, at least n of each.
+    Those of a usual chunk are kept, those of a longer text are not."""
+    if _pow and len(_pow[0]) >= n:
+        return _pow[0], _pow[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, CHUNK_BYTES + 1), base, U64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        made.append(p)
+    if n <= CHUNK_BYTES + 1:
+        _pow[:] = made
+    return made[0], made[1]
 
 
 class Chunk:
@@ -163,10 +170,21 @@ def _annotator(kernel: Callable[[], Kernel], names: Sequence[str], where: str |
                 yield pa.RecordBatch.from_arrays(rest + made, names)
             else:
                 yield pa.RecordBatch.from_arrays(rest, names).filter(made[0])
+        # a worker outlives its task: what the kernel holds must not
+        del fn
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Returns unused memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := ctypes.util.find_library("c")) and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lets a Python worker get at most BATCH_BYTES at once (or one row), so that its
     memory doesn't depend on how long the texts of ten thousand rows are."""
@@ -201,10 +219,12 @@ def keep_where(df: DataFrame, text_col: str, kernel: Callable[[], Kernel]) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach.  Only where the
-    session has none (as in tests) one is made in the temporary folder."""
+    """The folder in spark.checkpoint.dir, which all executors reach.  Where it is unset
+    a local session (as in tests) gets one of its own; a cluster has to name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"orrery-{os.getpid()}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
@@ -235,6 +255,27 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """Tables in the shared folder that are removed when a `with` block ends, by when all
+    that needs them has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in self.paths:
+            remove(self.spark, p)
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        at = fresh_dir(self.spark, what)
+        self.paths.append(at)
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
