@@ -1,16 +1,15 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters
-beyond ASCII.  A benchmark item gives a window for each ten consecutive words; an item
-of fewer words is one window.  All windows go into one automaton, which scans the
-normalised words of a text once; every occurrence marks its words, and word numbers
-lead back to characters of the original text.
+beyond ASCII.  A benchmark item has a window for each ten consecutive words; an item of
+fewer words is one window.  One automaton over the words of all items scans the
+normalised words of a text once and finds where windows may lie; occurrences mark their
+words, and word numbers lead back to characters of the original text.
 
-The automaton is built in each worker from the items, which are broadcast if their
-texts are at most `max_bytes`; a larger benchmark is cut into parts of at most that
-size, and the text is scanned once for each part: the marks add up to the same result.
+Each task builds the automaton from the items, which are broadcast: a benchmark is a
+fixed set, whose size is checked against `max_bytes` and doesn't grow with the texts.
 
-Null and empty texts have no word and no hit.  An item without a word has no window.
+Null and empty texts have no word and no hit; texts of any length are scanned whole.  An item without a word has no window.
 A null item_id counts as the empty string.  Repeated items count once, by item_id;
 repeated documents are scanned each.  Empty tables give no hits or no rows.  Columns
 of the input that have the name of an output are left out.
@@ -19,7 +18,8 @@ of the input that have the name of an output are left out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
 from functools import partial
 
 import ahocorasick
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .textkit import annotate, documents, keep_where
 
 WINDOW = 10
+#: Texts of a benchmark that may be broadcast; the automaton takes up to about 25 times as much.
+MAX_BYTES = 32 << 20
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -43,49 +45,96 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Scanner:
-    """The automaton of (item_id, text) rows."""
+    """The automaton of (item_id, text) rows.
+
+    Words are numbered, and a number is written as `digits` characters.  The automaton's
+    patterns are an item's consecutive pieces of half a window (so that every window has a
+    whole piece) and the whole of each item that is shorter than a window.  A piece that
+    is found is extended to both sides as far as item and text agree; a run of a window's
+    length is an occurrence.  There are about as many nodes as the items' words have
+    characters in this spelling, however many windows overlap."""
 
     def __init__(self, items: Sequence[tuple[str, str]], window: int = WINDOW):
-        found: dict[bytes, tuple[int, set[str]]] = {}
-        for item, text in items:
-            w = words(text)
-            n = min(window, len(w))
-            for k in range(len(w) - n + 1 if n else 0):
-                key = b" " + b" ".join(w[k : k + n]) + b" "
-                found.setdefault(key, (n, set()))[1].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for key, (n, ids) in found.items():
-            # one character for each byte
-            self.automaton.add_word(key.decode("latin-1"), (n, tuple(sorted(ids))))
-        self.any = bool(found)
+        self.window, half = window, max(1, window // 2)
+        texts = [(item, words(text)) for item, text in items]
+        number: dict[bytes, int] = {}
+        for _, ws in texts:
+            for w in ws:
+                number.setdefault(w, len(number))
+        self.digits = d = max(1, math.ceil(math.log(max(2, len(number)), 64)))
+        # each place has characters of its own, so that no match begins inside a word
+        self.spell = {w: "".join(chr(64 * k + (n >> 6 * k) % 64) for k in range(d)) for w, n in number.items()}
+        self.other = chr(64 * d) * d
+        # the items' word numbers one after another, -1 between them
+        ids, self.names, starts = [-1], [], []
+        for item, ws in texts:
+            starts.append(len(ids))
+            ids.extend(map(number.__getitem__, ws))
+            ids.append(-1)
+            self.names.append(item)
+        self.ids = np.array(ids, np.int32)
+        self.item_at = np.repeat(np.arange(len(texts) + 1) - 1, np.diff([0, *starts, len(ids)])) if texts else np.array([-1])
+        places: dict[str, list[int]] = {}
+        for at, (_, ws) in zip(starts, texts, strict=True):
+            n = len(ws)
+            pieces = [(0, n)] if 0 < n < window else [(k, k + half) for k in range(0, n - half + 1, half)]
+            for a, b in pieces:
+                key = "".join(map(self.spell.__getitem__, ws[a:b]))
+                places.setdefault(key, []).append(at + a)
+        self.places = [np.array(v, np.int64) for v in places.values()]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, key in enumerate(places):
+            self.automaton.add_word(key, k)
+        self.any = bool(places)
         if self.any:
             self.automaton.make_automaton()
+        self.number, self.length = number, [len(key) // d for key in places]
+
+    def _occurrences(self, line: np.ndarray, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end in the text, and the item, of the runs around the pieces found.
+        `line` has the text's word numbers, -2 for words that no item has and at its ends."""
+        sizes = [len(self.places[k]) for _, k in found]
+        there = np.concatenate([self.places[k] for _, k in found])
+        n = np.array([self.length[k] for _, k in found])
+        begin = np.repeat([(end + 1) // self.digits for end, _ in found] - n, sizes)
+        end, n = np.repeat(begin[np.cumsum(sizes) - sizes] + n, sizes), np.repeat(n, sizes)
+        item = self.item_at[there]
+        left, right = there - 1, there + n
+        lo, hi = begin.copy(), end.copy()
+        on = np.arange(len(there))
+        while len(on := on[self.ids[left[on]] == line[lo[on]]]):
+            left[on] -= 1
+            lo[on] -= 1
+        on = np.arange(len(there))
+        while len(on := on[self.ids[right[on]] == line[hi[on] + 1]]):
+            right[on] += 1
+            hi[on] += 1
+        whole = (self.ids[left] == -1) & (self.ids[right] == -1)
+        ok = (hi - lo >= self.window) | whole & (hi - lo < self.window)
+        return lo[ok], hi[ok], item[ok]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit ranges of word numbers (ends excluded, in order, none
         touching) and the items that occur."""
-        w = words(text)
-        if not w or not self.any:
-            return len(w), [], set()
-        line = b" " + b" ".join(w) + b" "
-        spaces = None
-        items: set[str] = set()
-        marks: list[tuple[int, int]] = []
-        for end, (n, ids) in self.automaton.iter(line.decode("latin-1")):
-            if spaces is None:
-                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            last = int(np.searchsorted(spaces, end))
-            first = last - n
-            items.update(ids)
-            if marks and first <= marks[-1][1]:
-                first = min(first, marks[-1][0])
-                marks[-1] = (first, max(last, marks[-1][1]))
-            else:
-                marks.append((first, last))
-        return len(w), merged(marks), items
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        ws = words(text)
+        if not ws or not self.any:
+            return len(ws), [], set()
+        spell, other = self.spell.get, self.other
+        found = list(self.automaton.iter("".join([spell(w, other) for w in ws])))
+        if not found:
+            return len(ws), [], set()
+        line = np.array([-2, *[self.number.get(w, -2) for w in ws], -2], np.int32)
+        marks: set[tuple[int, int]] = set()
+        items: set[int] = set()
+        # so many at once that their places stay few; a common piece comes with all of its own
+        for k in range(0, len(found), 256):
+            lo, hi, item = self._occurrences(line, found[k : k + 256])
+            marks.update(zip(lo.tolist(), hi.tolist(), strict=True))
+            items.update(item.tolist())
+        return len(ws), merged(marks), {self.names[k] for k in items}
+
+
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges in order, with those that touch or overlap joined."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -102,31 +151,11 @@ def char_ranges(text: str, hits: Sequence[tuple[int, int]]) -> list[tuple[int, i
     return [(at[a][0], at[b - 1][1]) for a, b in hits]
 
 
-_scanners: dict[tuple[int, int], list[Scanner]] = {}
-
-
-def _parts(shared: list[Broadcast], window: int):
-    """The scanners, one for each part; only the last part's is kept between batches
-    when there are several, so that one automaton is in memory at a time."""
-    for b in shared:
-        key = (b.value[0], window)
-        if key not in _scanners:
-            _scanners.clear()
-            _scanners[key] = [Scanner(b.value[1], window)]
-        yield _scanners[key][0]
-
+def _digest(shared: Broadcast, window: int):
+    scanner = Scanner(shared.value, window)
 
-def _scan(shared: list[Broadcast], window: int, texts: pa.Array):
-    got = None
-    for scanner in _parts(shared, window):
-        now = [scanner.scan(t.as_py()) for t in texts]
-        got = now if got is None else [(n, merged(a + b), x | y) for (n, a, x), (_, b, y) in zip(got, now, strict=True)]
-    return got if got is not None else [(len(words(t.as_py())), [], set()) for t in texts]
-
-
-def _digest(shared: list[Broadcast], window: int):
     def fn(texts: pa.Array) -> list:
-        got = _scan(shared, window, texts)
+        got = [scanner.scan(t.as_py()) for t in texts]
         hit = [sum(b - a for a, b in r) for _, r, _ in got]
         return [
             pa.array([n for n, _, _ in got], pa.int64()),
@@ -139,57 +168,44 @@ def _digest(shared: list[Broadcast], window: int):
     return fn
 
 
-def _find(shared: list[Broadcast], window: int):
+def _find(shared: Broadcast, window: int):
+    scanner = Scanner(shared.value, window)
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def fn(texts: pa.Array) -> list:
-        got = _scan(shared, window, texts)
+        got = [scanner.scan(t.as_py()) for t in texts]
         found = [[{"begin": a, "end": b} for a, b in char_ranges(t.as_py(), r)] if r else [] for t, (_, r, _) in zip(texts, got, strict=True)]
         return [pa.array([n for n, _, _ in got], pa.int64()), pa.array(found, span), pa.array([sorted(i) for _, _, i in got], pa.list_(pa.string()))]
 
     return fn
 
 
-def _clean(shared: list[Broadcast], window: int):
+def _clean(shared: Broadcast, window: int):
+    scanner = Scanner(shared.value, window)
+
     def fn(texts: pa.Array) -> list:
-        return [pa.array([not r for _, r, _ in _scan(shared, window, texts)], pa.bool_())]
+        return [pa.array([not scanner.scan(t.as_py())[1] for t in texts], pa.bool_())]
 
     return fn
 
 
-def _share(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[Broadcast]:
-    """The items with a word in broadcast parts whose texts have at most max_bytes each
-    (or one item).  A benchmark is a fixed set; it is read part by part."""
-    sc = items.sparkSession.sparkContext
-    rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`").cast("string"))
-    out: list[Broadcast] = []
-    part, size = [], 0
-
-    def close() -> None:
-        nonlocal part, size
-        part.sort()
-        out.append(sc.broadcast((hashlib.sha256(repr(part).encode()).hexdigest(), part)))
-        part, size = [], 0
-
-    for item, text in rows.where(F.col(rows.columns[1]).isNotNull()).toLocalIterator():
-        n = len(text.encode())
-        if part and size + n > max_bytes:
-            close()
-        part.append((item, text))
-        size += n
-    if part:
-        close()
-    return out
+def _share(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Broadcast:
+    """The items that have a text, broadcast; an error if their size is above max_bytes."""
+    rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"the benchmark's items have {size} bytes, more than max_bytes = {max_bytes}")
+    return items.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows.toLocalIterator()))
 
 
-def mark(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None, max_bytes: int = 16 << 20) -> DataFrame:
+def mark(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """df's columns (or those in `keep`) with n_words, hits (character ranges of the
     original text that windows cover) and items (sorted item ids that occur)."""
     shared = _share(items, id_col, item_text_col, max_bytes)
     return annotate(df, text_col, "n_words long, hits array<struct<begin:int,end:int>>, items array<string>", partial(_find, shared, window), keep)
 
 
-def digest(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None, max_bytes: int = 16 << 20) -> DataFrame:
+def digest(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """df's columns (or those in `keep`) with n_words, n_hit, n_items, items_sha256 and
     contaminated (some word is hit)."""
     shared = _share(items, id_col, item_text_col, max_bytes)
@@ -197,7 +213,7 @@ def digest(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
     return annotate(df, text_col, out, partial(_digest, shared, window), keep)
 
 
-def filter_clean(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = 16 << 20) -> DataFrame:
+def filter_clean(df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows in whose text no window occurs; columns unchanged."""
     return keep_where(df, text_col, partial(_clean, _share(items, id_col, item_text_col, max_bytes), window))
 
