@@ -19,7 +19,7 @@ Search.  A band is five slots.  In the bucket of a band's value all texts are co
 with one pivot (as many pairs as members); pairs whose signatures agree enough are
 verified on the whole texts.  In a bucket whose texts then are in several components,
 all texts outside the largest are compared with all members, on the whole texts and in
-blocks of about `block`, so that no link between candidates is lost and no bucket has to
+blocks of bounded bytes, so that no link between candidates is lost and no bucket has to
 fit into a task.  Exact copies are
 one text from the start.
 
@@ -41,12 +41,14 @@ from pyspark.sql import functions as F
 
 from .bloom_join import narrowed
 from .components import components
-from .textkit import U64, Chunk, annotate, chunks, documents, free_name, mix, ngram_hashes, stored
+from .textkit import U64, Chunk, Scratch, annotate, chunks, documents, free_name, give_back, mix, ngram_hashes, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
+#: Texts that a block of a bucket has, about, when its members are compared with each other.
+BLOCK_BYTES = 2 << 20
 _ODD = U64(0x9FB21C651E98DF25)
 _OCCURRENCE = U64(0xD1342543DE82EF95)
 
@@ -138,10 +140,11 @@ def prints(low: np.ndarray) -> np.ndarray:
 
 def _sign(size: int):
     def fn(texts: pa.Array) -> list:
-        keys, out = [], []
+        keys, sizes, out = [], [], []
         for t in texts:
             raw = (t.as_py() or "").encode()
             keys.append(hashlib.md5(raw).digest())
+            sizes.append(len(raw))
         # a text that the batch repeats is signed once
         place = {k: i for i, k in reversed(list(enumerate(keys)))}
         at = np.array(sorted(place.values()), np.int64)
@@ -152,7 +155,7 @@ def _sign(size: int):
             none = np.isinf(low[:, 0])
             out += [None if e else s.tobytes() for e, s in zip(none, sig, strict=True)]
         signed = {keys[i]: s for i, s in zip(at, out, strict=True)}
-        return [pa.array(keys, pa.binary()), pa.array([signed[k] for k in keys], pa.binary())]
+        return [pa.array(keys, pa.binary()), pa.array([signed[k] for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
 
     return fn
 
@@ -203,39 +206,41 @@ def _verify(similarity: float, size: int):
         for b in batches:
             sim = similarities(b.column(2), b.column(3), size)
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["u", "v"]).filter(pa.array(sim >= similarity - 1e-12))
+        give_back()
 
     return run
 
 
-def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and text of the keys in the only column of a frame, one row for each."""
-    keys = stored(keys.toDF("k").distinct(), "keys")
-    some = narrowed(texts, "key", keys).join(keys, F.col("key") == F.col("k"), "left_semi")
-    return stored(some.groupBy("key").agg(F.first("text").alias("text")), "texts")
+def _texts_of(s: Scratch, nodes: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and text of the nodes in the only column of a frame, one row for each."""
+    keys = s.stored(signed.select("node", "key").join(nodes.toDF("node").distinct(), "node", "left_semi").withColumnRenamed("key", "k"), "keys")
+    some = narrowed(texts, "key", keys.select("k")).join(keys, F.col("key") == F.col("k"))
+    return s.stored(some.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) of text keys that are similar enough, as links (u, v)."""
-    some = _texts_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), texts)
+def _verified(s: Scratch, pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (a, b) of texts that are similar enough, as links (u, v)."""
+    some = _texts_of(s, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), signed, texts)
     joined = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(joined.mapInArrow(_verify(similarity, size), "u binary, v binary"), "links")
+    return s.stored(joined.mapInArrow(_verify(similarity, size), "u long, v long"), "links")
 
 
 def _banded(signed: DataFrame) -> DataFrame:
-    """A row for each band of a signed text: bucket and key."""
+    """A row for each band of a text: bucket, node and bytes."""
     band = lambda k: F.xxhash64(k, F.substring("sig", k * (2 * ROWS) + 1, 2 * ROWS))
-    return signed.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    return signed.select("node", "bytes", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
 
 
 def _estimated(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree at least so much, with agree."""
+    """The pairs (a, b) whose signatures agree at least so much."""
 
     @F.pandas_udf("double")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(_agree(a, b) if len(a) else np.zeros(0))
 
-    out = pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
-    return out.withColumn("agree", agree("sig_a", "sig_b")).where(F.col("agree") >= least).select("a", "b", "agree")
+    sig = signed.select("node", "sig")
+    out = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    return out.where(agree("sig_a", "sig_b") >= least).select("a", "b")
 
 
 def _linked(similarity: float, size: int):
@@ -251,8 +256,8 @@ def _linked(similarity: float, size: int):
             li, ri = ids[: len(lc)], ids[len(lc) :]
             weight = np.zeros(ids.max(initial=-1) + 1, np.int64)
             total, bounds = np.bincount(rr, rw, len(right)), np.searchsorted(lr, np.arange(len(left) + 1))
-            keys, roots = right["key"].to_numpy(), right["root"].to_numpy()
-            for k, (key, root) in enumerate(zip(left["key"], left["root"], strict=True)):
+            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
+            for k, (node, root) in enumerate(zip(left["node"], left["root"], strict=True)):
                 mine = slice(bounds[k], bounds[k + 1])
                 weight[li[mine]] = lw[mine]
                 least = np.bincount(rr, np.minimum(weight[ri], rw), len(right))
@@ -262,7 +267,7 @@ def _linked(similarity: float, size: int):
                 for j in np.flatnonzero(sim >= similarity - 1e-12):
                     if roots[j] not in seen:
                         seen.add(roots[j])
-                        found.append((key, keys[j]))
+                        found.append((node, nodes[j]))
         return pd.DataFrame(found, columns=["u", "v"])
 
     return run
@@ -278,95 +283,113 @@ def _bags_of(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
 
 
-def _leftover(members: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
+def _leftover(s: Scratch, members: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
     """Links between texts of a bucket that are in different components.
 
     All components of a bucket but its largest are stragglers.  They and all members are
-    cut into blocks; a pair of blocks is a group of its own, so that a group has at most
-    two blocks and a bucket's rows grow with its stragglers only."""
-    parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    of = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max_by(F.struct("root", "c"), F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    blocks = lambda c: F.ceil(c / block).cast("long")
+    cut into blocks of about `block` bytes and at most some 256 texts; a pair of blocks is
+    a group of its own, so that a group has at most two blocks and a bucket's rows grow
+    with its stragglers only."""
+    parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("size"))
+    of = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum("size").alias("size"), F.max(F.struct("c", "root", "size")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda c, size: F.ceil(F.greatest(c / 256, size / block)).cast("long")
     # of two members, one is the pivot and has been compared with the other
-    open_ = of.where("n > 2 and parts > 1").select("bucket", F.col("most.root").alias("main"), blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most.c")).alias("sb"))
-    rows = stored(members.join(open_, "bucket"), "open")
+    open_ = of.where("n > 2 and parts > 1").select(
+        "bucket", F.col("most.root").alias("main"), blocks(F.col("n"), F.col("size")).alias("nb"), blocks(F.col("n") - F.col("most.c"), F.col("size") - F.col("most.size")).alias("sb")
+    )
+    rows = s.stored(members.join(s.stored(open_, "open"), "bucket"), "rows")
     if rows.isEmpty():
-        return rows.select(F.col("key").alias("u"), F.col("root").alias("v"))
-    own = lambda n: F.pmod(F.xxhash64("key", F.lit(9)), F.col(n))
+        return rows.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), F.col(n))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    one = rows.where("root <> main").select("bucket", own("sb").alias("i"), F.explode(every("nb")).alias("j"), F.lit(0).alias("side"), "key", "root")
-    two = rows.select("bucket", F.explode(every("sb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "key", "root")
-    with_text = one.unionByName(two).join(_texts_of(rows.select("key"), texts), "key")
-    return with_text.groupBy("bucket", "i", "j").applyInPandas(_linked(similarity, size), "u binary, v binary").distinct()
+    one = rows.where("root <> main").select("bucket", own("sb").alias("i"), F.explode(every("nb")).alias("j"), F.lit(0).alias("side"), "node", "root")
+    two = rows.select("bucket", F.explode(every("sb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "node", "root")
+    with_text = one.unionByName(two).join(_texts_of(s, rows.select("node"), signed, texts), "node")
+    return with_text.groupBy("bucket", "i", "j").applyInPandas(_linked(similarity, size), "u long, v long").distinct()
 
 
-def _labelled(keys: DataFrame, roots: DataFrame | None, key: str, root: str) -> DataFrame:
-    """keys with the root of one of its columns; a key without a link is its own."""
+def _labelled(rows: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
+    """rows with the root of one of its columns; a node without a link is its own."""
     if roots is None:
-        return keys.withColumn(root, F.col(key))
-    return keys.join(roots.toDF(key, "__root"), key, "left").withColumn(root, F.coalesce("__root", key)).drop("__root")
+        return rows.withColumn(root, F.col(node))
+    return rows.join(roots.toDF(node, "__root"), node, "left").withColumn(root, F.coalesce("__root", node)).drop("__root")
 
 
 def signed_rows(df: DataFrame, text_col: str, keep: list[str], size: int = SHINGLE) -> DataFrame:
-    """The columns `keep` of each row with key (MD5 of the text) and sig (null without
-    a shingle), written to the shared folder."""
-    return stored(annotate(df, text_col, "key binary, sig binary", partial(_sign, size), keep), "signed")
+    """The columns `keep` of each row with key (MD5 of the text), sig (null without a
+    shingle) and bytes, written to the shared folder."""
+    return stored(annotate(df, text_col, "key binary, sig binary, bytes long", partial(_sign, size), keep), "signed")
 
 
-def text_classes(df: DataFrame, rows: DataFrame, text_col: str, similarity: float = SIMILARITY, size: int = SHINGLE, block: int = 256) -> DataFrame | None:
-    """node and root of all texts that are linked to another; keys are MD5 values.
-    `rows` is what `signed_rows` gives for df.  None if there is no link."""
-    signed = stored(rows.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig")), "texts")
-    texts = df.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    least = least_agreement(similarity)
+def _distinct_texts(s: Scratch, rows: DataFrame, id_col: str) -> DataFrame:
+    """node, key, sig, bytes and own (least id) of each different text with a shingle.
+    Numbers are given once, as the table is written; joins then take them for keys."""
+    got = rows.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.first("bytes").alias("bytes"), F.min(F.col(f"`{id_col}`")).alias("own"))
+    return s.stored(got.withColumn("node", F.monotonically_increasing_id()), "signed")
+
+
+def _roots(s: Scratch, df: DataFrame, signed: DataFrame, text_col: str, similarity: float, size: int, block: int) -> DataFrame | None:
+    """node and root of all texts that are linked to another.  None if there is no link."""
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = df.select(F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("key"), text.alias("text"))
     bands = _banded(signed)
-    pivots = bands.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b <> last").select("bucket", "b")
-    members = stored(bands.join(pivots, "bucket").withColumnRenamed("key", "a"), "buckets")
-    pairs = stored(_estimated(members.where("a <> b").select("a", "b").distinct(), signed, least), "pairs")
-    links = None if pairs.isEmpty() else _verified(pairs.select("a", "b"), texts, similarity, size)
-    roots = None if links is None or links.isEmpty() else stored(components(links), "roots")
+    # written by itself, so that a bucket of any size can be split in the join
+    pivots = s.stored(bands.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("bucket", "b"), "pivots")
+    members = s.stored(bands.join(pivots, "bucket"), "buckets")
+    pairs = s.stored(_estimated(members.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), signed, least_agreement(similarity)), "pairs")
+    links = None if pairs.isEmpty() else _verified(s, pairs, signed, texts, similarity, size)
+    roots = None if links is None or links.isEmpty() else s.stored(components(links, s), "roots")
     # what still is apart though in one bucket
-    apart = _labelled(members.select("bucket", F.col("a").alias("key")), roots, "key", "root")
-    left = stored(_leftover(apart, texts, similarity, size, block), "links")
+    apart = _labelled(members.select("bucket", "node", "bytes"), roots, "node", "root")
+    left = s.stored(_leftover(s, apart, signed, texts, similarity, size, block), "links")
     if left.isEmpty():
         return roots
     if roots is None:
-        return stored(components(left), "roots")
+        return s.stored(components(left, s), "roots")
     # components of components: only they and the texts that were alone have new roots
     of = _labelled(_labelled(left, roots, "u", "root_u"), roots, "v", "root_v")
-    above = stored(components(of.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))), "roots")
+    above = s.stored(components(of.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), s), "roots")
     joined = _labelled(roots.withColumnRenamed("root", "mid"), above, "mid", "root").select("node", "root")
-    return stored(joined.unionByName(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
-
-
-def _class_of_keys(rows: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
-    """key, class_id, the key's least id and how often it has that, of texts with a shingle."""
-    ids = rows.where("sig is not null").groupBy("key").agg(F.min(id_col).alias("own"))
-    if roots is None:
-        return ids.select("key", F.col("own").alias("class_id"))
-    keyed = stored(_labelled(ids, roots, "key", "root"), "ids")
-    least = keyed.groupBy("root").agg(F.min("own").alias("class_id"))
-    return keyed.join(least, "root").select("key", "class_id")
+    return s.stored(joined.unionByName(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
+def text_classes(df: DataFrame, rows: DataFrame, text_col: str, id_col: str, similarity: float = SIMILARITY, size: int = SHINGLE, block: int = BLOCK_BYTES) -> DataFrame:
+    """key, own (least id of the text), class_id (least id of its class) and root (a
+    number of the class) of each different text with a shingle, written to the shared
+    folder.  `rows` is what `signed_rows` gives for df."""
+    with Scratch(df.sparkSession) as s:
+        signed = _distinct_texts(s, rows, id_col)
+        roots = _roots(s, df, signed, text_col, similarity, size, block)
+        texts = signed.select("node", "key", "own")
+        if roots is None:
+            return stored(texts.select("key", "own", F.col("own").alias("class_id"), F.col("node").alias("root")), "classes")
+        linked = s.stored(texts.join(roots, "node"), "linked")
+        least = s.stored(linked.groupBy("root").agg(F.min("own").alias("class_id")), "least")
+        linked = linked.join(least, "root").select("key", "own", "class_id", "root")
+        alone = texts.join(roots.select("node"), "node", "left_anti").select("key", "own", F.col("own").alias("class_id"), F.col("node").alias("root"))
+        return stored(linked.unionByName(alone), "classes")
 
 
 def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """id and class_id of each row."""
-    rows = signed_rows(df, text_col, [id_col], size)
-    keys = _class_of_keys(rows, text_classes(df, rows, text_col, similarity, size), id_col)
-    out = rows.withColumn("__has", F.col("sig").isNotNull()).select(id_col, "key", "__has").join(keys, "key", "left")
-    return out.select(id_col, F.when(F.col("__has"), F.col("class_id")).otherwise(F.col(id_col)).alias("class_id"))
+    """id and class_id of each row; other columns of df have no effect, whatever their names."""
+    df = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = signed_rows(df, "text", ["id"], size)
+    keys = text_classes(df, rows, "text", "id", similarity, size).select("key", "class_id")
+    out = rows.withColumn("has", F.col("sig").isNotNull()).select("id", "key", "has").join(keys, "key", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("has"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
 def filter_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """One row of each class, that of the least id; columns unchanged.  Of rows with
     equal ids and texts one stays, whichever.  Rows without a shingle all stay."""
-    rows = signed_rows(df, text_col, [id_col], size)
-    keys = _class_of_keys(rows, text_classes(df, rows, text_col, similarity, size), id_col)
-    mine = rows.where("sig is not null").groupBy("key", id_col).agg(F.count(F.lit(1)).alias("__n"))
-    # a class whose ids are all null keeps its least text
-    best = mine.join(keys, "key").where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min_by(F.struct("key", "__n"), "key").alias("__w"))
+    plain = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = signed_rows(plain, "text", ["id"], size)
+    keys = text_classes(plain, rows, "text", "id", similarity, size)
+    # texts that share the class's least id: the least key stays
+    best = keys.where("own <=> class_id").groupBy("root").agg(F.min(F.struct("key", "own")).alias("w")).select("w.*")
     key, n, cid = (free_name(df, c) for c in ("__key", "__n", "__id"))
-    best = stored(best.select(F.col("__w.key").alias(key), F.col("class_id").alias(cid), F.col("__w.__n").alias(n)), "kept")
+    mine = rows.where("sig is not null").groupBy(F.col("key").alias(key), F.col("id").alias(cid)).agg(F.count(F.lit(1)).alias(n))
+    best = stored(mine.join(best, (F.col(key) == F.col("key")) & F.col(cid).eqNullSafe(F.col("own"))).select(key, cid, n), "kept")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = df.withColumn(key, F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.unhex(F.md5(text.cast("binary")))))
     empty = keyed.where(F.col(key).isNull()).select(*[f"`{c}`" for c in df.columns])

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import remove, stored
+from .textkit import Scratch, remove, stored
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and root (its component's least node) of each node of the links (u, v).
 
-    Every step only takes the least neighbour of each node, in partial aggregates, and
-    joins it to the node's links; the links of a step are written to the shared folder.
-    Links that are null on either side are ignored, as are loops and repeated links."""
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    Every step only takes the least neighbour of each node, in partial aggregates, writes
+    that, and joins it to the node's links.  Both sides of such a join are plain tables, so
+    that Spark can split the many links of one node over tasks.  The links of a step are
+    written to the shared folder, the last ones among `scratch`'s tables if it is given.  Links that are null on either side are ignored, as are
+    loops and repeated links."""
+    keep = scratch.stored if scratch else stored
+    e = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(e)
     while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        after = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        done, e = e, stored(after.distinct(), "links")
+        with Scratch(e.sparkSession) as s:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = s.stored(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
+            large = s.stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            least = s.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least, "u")
+            after = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+            done, e = e, keep(after.distinct(), "links")
         remove(e.sparkSession, done.inputFiles()[0].rpartition("/")[0])
         now = _state(e)
         if now == state:

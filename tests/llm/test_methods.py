@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -135,33 +136,38 @@ def test_near_duplicates_on_documents(spark, sf_dir):
 
 
 def test_blocks_find_every_pair(spark, monkeypatch):
-    # nothing but the leftover search, in blocks of three
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
     texts = [_edited(base, rng.choice([1, 2, 3]), rng) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # only the search in blocks, in which hardly two texts share one
+    monkeypatch.setattr(bagminhash, "_estimated", lambda pairs, signed, least: pairs.where("false").select("a", "b"))
     rows = bagminhash.signed_rows(df, "text", ["doc_id"])
-    roots = bagminhash.text_classes(df, rows, "text", block=3)
-    want = brute_classes(list(enumerate(texts)))
-    keys = {r["doc_id"]: bytes(r["key"]) for r in rows.collect()}
-    root = {bytes(r["node"]): bytes(r["root"]) for r in roots.collect()}
-    for a in want:
-        for b in want:
-            assert (want[a] == want[b]) == (root.get(keys[a], keys[a]) == root.get(keys[b], keys[b]))
+    got = {bytes(r["key"]): r["class_id"] for r in bagminhash.text_classes(df, rows, "text", "doc_id", block=1000).collect()}
+    assert {r["doc_id"]: got[bytes(r["key"])] for r in rows.collect()} == brute_classes(list(enumerate(texts)))
 
 
 def test_similar_texts_under_an_unlike_pivot(spark, monkeypatch):
     base = [f"w{i}" for i in range(100)]
-    similar = [" ".join(base), " ".join([*base[:99], "x"])]
-    key = lambda t: hashlib.md5(t.encode()).digest()
-    pivot = next(t for k in range(1000) if key(t := " ".join(f"z{k}u{i}" for i in range(100))) < min(map(key, similar)))
-    # one bucket, and no text in it that is like its pivot
-    monkeypatch.setattr(bagminhash, "_banded", lambda signed: signed.select("key", F.lit(0).cast("long").alias("bucket")))
-    df = spark.createDataFrame(list(enumerate([*similar, pivot])), "doc_id long, text string")
+    texts = [" ".join(base), " ".join([*base[:99], "x"]), " ".join(f"z{i}" for i in range(100))]
+    # one bucket, and no text in it that is known to be like its pivot
+    monkeypatch.setattr(bagminhash, "_banded", lambda signed: signed.select("node", "bytes", F.lit(0).cast("long").alias("bucket")))
+    monkeypatch.setattr(bagminhash, "_estimated", lambda pairs, signed, least: pairs.where("false").select("a", "b"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: r[1] for r in bagminhash.classes(df).collect()}
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_near_duplicates_leave_two_tables(spark, tmp_path):
+    from orrery.llm.textkit import shared_dir
+
+    df = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(100)) + f" {k // 2}") for k in range(8)], "doc_id long, text string")
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    assert {r["class_id"] for r in bagminhash.classes(df).collect()} == {0}
+    assert sorted(x.split("-")[0] for x in set(os.listdir(at)) - before) == ["classes", "signed"]
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(1)
     errors = []
@@ -235,10 +241,28 @@ def test_decontamination_equals_brute_force(parts, items):
         assert [w.decode() for w in decontam.words(text[c:d])] == [w.decode() for w in decontam.words(text)][a:b]
 
 
-def test_decontamination_in_parts(spark, sf_dir):
+def test_decontamination_checks_the_size_of_the_benchmark(spark, sf_dir):
     docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one = decontam.digest(docs, items, keep=["doc_id"]).orderBy("doc_id").collect()
-    assert one == decontam.digest(docs, items, keep=["doc_id"], max_bytes=2000).orderBy("doc_id").collect()
+    with pytest.raises(ValueError, match="max_bytes"):
+        decontam.digest(docs, items, max_bytes=2000)
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_the_automaton_of_a_large_benchmark_is_small():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k:x}" for k in rng.integers(0, 1 << 30, 100_000)]
+    texts = [" ".join(vocabulary[k] for k in rng.zipf(1.3, 120) % 100_000) for _ in range(5500)]
+    assert sum(map(len, texts)) > 4_000_000
+    before = resident()
+    scanner = decontam.Scanner([(str(k), t) for k, t in enumerate(texts)])
+    assert resident() - before < 300 << 20
+    line = " ".join(texts[7].split()[20:40])
+    n, hits, found = scanner.scan(f"x y {line} z")
+    assert n == 23 and "7" in found and (2, 22) in hits
 
 
 @settings(max_examples=200, deadline=None)
