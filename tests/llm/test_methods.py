@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
 from collections import Counter, defaultdict
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -347,15 +349,80 @@ def test_html_main_text():
 
 def test_style_tree_removes_what_all_pages_share(spark):
     same = "<body><div class='x'>Ever the same</div><div class='body'><p>Text {n} one</p><p>Text {n} two</p></div><p class='z'>Also the same</p>"
-    rows = [(i, f"http://h{i % 2}.com/{i}", same.format(n=i)) for i in range(20)] + [(99, "http://alone.com/", same.format(n=7))]
-    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[4] == "Text 4 one\nText 4 two"
-    assert got[99] == "Ever the same\nText 7 one\nText 7 two\nAlso the same"
-    inside = [(i, "http://h.com/", PAGE.format(n=i)) for i in range(8)]
+    other = "<section><h2>Only {n}</h2><ul><li>here</ul></section>"
+    rows = [(i, f"http://h{i % 2}.com/{i}", same.format(n=i)) for i in range(40)]
+    # copies of a page are one page; a host of one page is told by the others
+    rows += [(100 + i, "http://h0.com/", same.format(n=4)) for i in range(200)] + [(99, "http://alone.com/", same.format(n=7)), (98, "http://own.com/", other.format(n=8)), (97, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got[4] == got[150] == "Text 4 one\nText 4 two" and got[99] == "Text 7 one\nText 7 two"
+    assert got[98] == "Only 8\nhere" and got[97] == ""
+    # without the tree all of it stays
+    assert html.main_text(same.format(n=4)) == "Ever the same\nText 4 one\nText 4 two\nAlso the same"
+    off = {r["page_id"]: r["text"] for r in html.extract(df, threshold=0.0).collect()}
+    assert off[4] == html.main_text(same.format(n=4))
+    inside = [(i, "http://h.com/", PAGE.format(n=i)) for i in range(40)]
     got = html.extract(spark.createDataFrame(inside, "page_id int, url string, html string")).where("page_id = 3").first()
     assert got["text"] == "T & 3\nFirst 3\nSecond 3 line" and got["n_chars"] == len(got["text"])
 
 
+def test_importances_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for host, n in (("a.com", 9), ("b.com", 3), ("c.com", 1)):
+        for _ in range(n):
+            shape = rng.choice(["<div><p>{0}</p></div>", "<div><p>{0}</p><p>{1}</p></div>", "<div><p>{0}</p><ul><li>{1}</li></ul></div>"])
+            rows.append((host, "<section>" + shape.format(rng.choice(["s", f"u{rng.random()}"]), rng.choice("xyz")) + "</section><section><h1>same</h1></section>"))
+    seen, shapes, widest, pages = defaultdict(set), defaultdict(list), Counter(), Counter()
+    for k, (host, page) in enumerate(sorted(set(rows))):
+        looks, texts = defaultdict(set), defaultdict(set)
+
+        def walk(e, path, looks=looks, texts=texts):
+            looks[path].add(tuple(dict.fromkeys(c.tag for c in e)))
+            below = ({e.text} if e.text else set()).union(*[walk(c, f"{path}/{c.tag}") for c in e])
+            texts[path] |= below
+            return below
+
+        for c in ElementTree.fromstring(f"<html>{page}</html>"):
+            walk(c, f"/{c.tag}")
+        for path, v in looks.items():
+            pages[host, path] += 1
+            shapes[host, path] += v
+            widest[host, path] = max(widest[host, path], *map(len, v))
+            for t in texts[path]:
+                seen[host, path, t].add(k)
+    want, logs = {}, defaultdict(list)
+    for (host, path, _), ks in seen.items():
+        logs[host, path].append(math.log(len(ks)))
+    for key, v in shapes.items():
+        m, n = pages[key], len(v)
+        if m > 1:
+            entropy = -sum(c / n * math.log(c / n) for c in Counter(v).values()) / math.log(n)
+            content = 1 - sum(logs[key]) / len(logs[key]) / math.log(m)
+            want[key] = (m, content + (1 - content) * (1 - 0.9 ** widest[key]) * entropy)
+    mean = {}
+    for path in {p for _, p in want}:
+        of = [(m - 1, own) for (_, p), (m, own) in want.items() if p == path]
+        mean[path] = sum(w * x for w, x in of) / sum(w for w, _ in of)
+    full = {}
+    for host, path in shapes:
+        m, own = want.get((host, path), (1, 0.0))
+        full[host, html._key(path)] = ((m - 1) * own + 8 * mean[path]) / (m + 7) if path in mean else 1.0
+    df = spark.createDataFrame([(f"http://{h}/", p) for h, p in rows], "url string, html string")
+    got = {(r["host"], r["path"]): r["importance"] for r in html.importance(df).collect()}
+    assert got == pytest.approx(full)
+
+
+def test_html_parts_of_articles():
+    assert html.main_text("<article><p>a <math><mi>x</mi></math> b</p></article>") == "a x b"
+    assert html.main_text("<form action='x'><div><p>All of the text</p></div></form>") == "All of the text"
+    assert html.main_text("<p>All of the text</p><form><p>your mail</form>") == "All of the text"
+    assert html.main_text("<p><span class='ad'><span>x</span> leak</span> ok") == "ok"
+    assert html.main_text("<div class='widget'><main><p>text</p></main></div><aside>no</aside>") == "text"
+    assert html.main_text("<article><p>text</p><div class='comments'><article class='comment'>no</article></div></article>") == "text"
+    assert html.main_text("<article><object>shown</object><dialog>too</dialog></article>") == "shown\ntoo"
+
+
 def test_html_extraction_equals_template(spark, sf_dir):
     from html import unescape
 
