@@ -1,16 +1,21 @@
 """URL filter: a blocked Bloom filter ahead of an exact hash join.
 
-A list has entries of a host, a path prefix and a verdict.  An entry fits a URL whose
-host is the entry's or a subdomain of it and whose path starts with the entry's; of
-the fitting entries the longest (host and path together) wins.  Each URL's candidates
-are its host suffixes combined with its path cut at the lengths that paths of the list
-have.  The Bloom filter, whose size grows with the list alone, lets the few
-candidates pass that may be listed; a hash join with the list removes its false
-positives.  URLs without a possible hit never reach the join.
+Two lists can be given.  Entries of the one have a host, a path prefix and a verdict; an
+entry fits a URL whose host is the entry's or a subdomain of it and whose path starts with
+the entry's; of the fitting entries the longest (host and path together) wins.  The other
+lists URLs, which are compared in their canonical form (`canonical`); it counts where no
+entry fits.
+
+A URL's keys are its canonical form and its host suffixes with its path cut behind each
+`/`; an entry's key is its host with its path cut behind the last `/`.  The Bloom filter,
+whose size grows with the lists alone, lets the few keys pass that may be listed; a hash
+join with the lists removes its false positives and compares the rest of the path.  URLs
+without a possible hit never reach the join, and each different URL reaches it once.
 
 A null URL, and one without `://`, has an empty host and path, so that no entry fits.
-Repeated rows get a verdict each.  Columns of the input with the name of an output are
-left out.  An empty list or table gives the default verdict or no rows.
+URLs of any length are judged whole; each `/` in a path makes keys.  Repeated rows get a
+verdict each.  Columns of the input with the name of an output are left out.  Empty lists or
+tables give the default verdict or no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import U64, mix, pages
+from .textkit import U64, mix, pages, stored
 
 _WORDS = 8  # of 64 bits in a block: one cache line
 OUTPUTS = ("host", "path", "rule", "verdict")
@@ -102,12 +107,64 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Each host suffix joined to the path cut at each length that it has."""
+#: Ports that a scheme needs not name.
+PORTS = {"http": "80", "https": "443", "ftp": "21"}
+
+
+def _unescaped(part: Column) -> Column:
+    """Escapes of letters, digits and -._~ decoded, others with capitals; a % that begins
+    no escape is one itself."""
+
+    def one(x: Column) -> Column:
+        code = F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
+        c = F.char(code)
+        ok = F.regexp_like(x, F.lit("^[0-9A-Fa-f]{2}"))
+        safe = (code < 128) & F.regexp_like(c, F.lit(r"^[A-Za-z0-9._~-]$"))
+        return F.when(ok & safe, F.concat(c, F.substr(x, F.lit(3)))).when(ok, F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), F.substr(x, F.lit(3)))).otherwise(F.concat(F.lit("%25"), x))
+
+    parts = F.split(part, "%", -1)
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    segments = F.split(path, "/", -1)
+    dots = lambda x: x.isin(".", "..")
+    start = F.array(F.lit("")).cast("array<string>")
+    # the first segment is the empty one before the first /
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(acc)
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), start, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    closed = F.when(dots(F.element_at(segments, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.array_join(closed, "/")
+
+
+def canonical(url: Column) -> Column:
+    """The canonical form of a URL: scheme and host in small letters, no user part, no
+    default or empty port, no dots behind the host, escapes in one spelling, no . and ..
+    segments, a path of / if there is none, and no fragment.  Null without a scheme and host."""
+    whole = r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    part = lambda k: F.regexp_extract(url, whole, k)
+    scheme = F.lower(part(1))
+    place = F.lower(F.regexp_replace(part(2), r"(?s)^.*@", ""))
+    host, port = F.regexp_replace(F.regexp_replace(place, r":\d*$", ""), r"\.+$", ""), F.regexp_extract(place, r":(\d*)$", 1)
+    usual = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PORTS.items() for x in kv]), scheme), F.lit(""))
+    path = _without_dots(F.when(part(3) == "", "/").otherwise(_unescaped(part(3))))
+    made = F.concat(scheme, F.lit("://"), host, F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port)), path, _unescaped(part(4)))
+    return F.when((scheme != "") & (host != ""), made)
+
+
+def _cuts(path: Column) -> Column:
+    """The empty path and a path cut behind each of its slashes."""
+    segments = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))))
+
+
+def _keys(host: Column, path: Column, url: Column | None) -> Column:
+    """Each host suffix with each cut of the path, and the canonical URL behind a mark."""
     labels = F.split(host, r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.array_distinct(F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull()))
-    return F.when(host != "", F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
+    rules = F.when(host != "", F.flatten(F.transform(hosts, lambda h: F.transform(_cuts(path), lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
+    return rules if url is None else F.concat(rules, F.when(url.isNotNull(), F.array(F.concat(F.lit("="), url))).otherwise(F.array().cast("array<string>")))
 
 
 def entries(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -115,46 +172,52 @@ def entries(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(list(rows), "host string, path string, verdict string")
 
 
-def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str = "allow", keep: Sequence[str] | None = None, max_filter_bytes: int = 256 << 20) -> DataFrame:
+def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str = "allow", keep: Sequence[str] | None = None, max_filter_bytes: int = 256 << 20, urls: DataFrame | None = None) -> DataFrame:
     """df's columns (or those in `keep`) with host, path, rule and verdict.
 
-    `listed` has host, path and verdict.  rule is the winning entry's host and path;
-    where none fits it is null and the verdict is `default`.  If two entries are equal
-    the least verdict counts.  Beyond `max_filter_bytes` no filter is broadcast and all
-    candidates go to the join, which gives the same rows."""
+    `listed` has host, path and verdict, `urls` (if given) url and verdict.  rule is the
+    winning entry's host and path; where none fits it is null and the verdict is that of the
+    listed URL, else `default`.  If two entries or URLs are equal the least verdict counts.
+    Beyond `max_filter_bytes` no filter is broadcast and all keys go to the join, which
+    gives the same rows."""
     spark = df.sparkSession
-    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in OUTPUTS]
-    exact = listed.where("host is not null and path is not null").groupBy(F.concat("host", "path").alias("__rule")).agg(F.min("verdict").alias("__verdict"))
-    lengths = sorted(r[0] for r in listed.where("host is not null and path is not null").select(F.char_length("path")).distinct().collect())
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c.lower() not in OUTPUTS]
+    host, path = F.col("host"), F.col("path")
+    rules = listed.where("host is not null and path is not null").select(F.concat(host, F.regexp_extract(path, r"(?s)^.*/", 0)).alias("key"), F.concat(host, path).alias("rule"), path.alias("prefix"), "verdict")
+    exact = rules
+    if urls is not None:
+        form = canonical(F.col("url").cast("string"))
+        exact = rules.unionByName(urls.select(F.concat(F.lit("="), form).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("prefix"), "verdict").where("key is not null"))
+    exact = exact.groupBy("key", "rule", "prefix").agg(F.min("verdict").alias("verdict"))
     url = F.col(f"`{url_col}`").cast("string")
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), host_of(url).alias("host"), path_of(url).alias("path"))
-    if not lengths:
-        return src.select("__row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    bloom = build_filter(exact.select(F.xxhash64("__rule").alias("h")), "h", max_filter_bytes)
-    src = src.withColumn("__keys", _candidates(F.col("host"), F.col("path"), lengths))
+    src = df.select(F.struct(*kept).alias("row"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    src = src.withColumn("keys", _keys(host, path, canonical(F.col("url")) if urls is not None else None))
+    bloom = build_filter(exact.select(F.xxhash64("key").alias("h")), "h", max_filter_bytes)
     if bloom is not None:
         shared = spark.sparkContext.broadcast((bloom.blocks, bloom.bits_per_key))
 
-        @F.pandas_udf("array<boolean>")
-        def may_have(hashes: pd.Series) -> pd.Series:
-            f = BlockedBloom(*shared.value)
-            sizes = hashes.map(len).to_numpy()
+        @F.pandas_udf("array<string>")
+        def possible(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+            if not len(keys):
+                return keys
             flat = np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64)
-            return pd.Series(np.split(f.may_have(flat), np.cumsum(sizes)[:-1])) if len(sizes) else hashes
-
-        src = src.withColumn("__may", may_have(F.transform("__keys", lambda k: F.xxhash64(k))))
-        src = src.withColumn("__keys", F.transform(F.filter(F.arrays_zip("__keys", "__may"), lambda x: x["__may"]), lambda x: x["__keys"]))
-    # the rows keep their place in the input as a number, since rows may repeat
-    src = src.withColumn("__id", F.monotonically_increasing_id())
-    hits = (
-        src.where(F.size("__keys") > 0)
-        .select("__id", F.explode("__keys").alias("__rule"))
-        .join(exact, "__rule")
-        .groupBy("__id")
-        .agg(F.max_by(F.struct("__rule", "__verdict"), F.struct(F.char_length("__rule"), F.col("__rule"))).alias("__best"))
-    )
-    out = src.select("__id", "__row", "host", "path").join(hits, "__id", "left")
-    return out.select("__row.*", "host", "path", F.col("__best.__rule").alias("rule"), F.coalesce("__best.__verdict", F.lit(default)).alias("verdict"))
+            may = np.split(BlockedBloom(*shared.value).may_have(flat), np.cumsum(hashes.map(len).to_numpy())[:-1])
+            return pd.Series([k[m] for k, m in zip(keys, may, strict=True)])
+
+        # so that filters on its result aren't moved to where Python can't be called
+        possible = possible.asNondeterministic()
+        src = src.withColumn("keys", possible("keys", F.transform("keys", lambda k: F.xxhash64(k))))
+    # verdicts belong to URLs, of which each different one is looked up once
+    wanted = src.where(F.size("keys") > 0).select("url", "path", F.explode("keys").alias("key")).distinct()
+    fits = F.col("prefix").isNull() | F.startswith("path", F.col("prefix"))
+    best = F.max_by(F.struct("rule", "verdict"), F.struct(F.coalesce(F.char_length("rule"), F.lit(-1)), F.col("rule")))
+    hits = wanted.join(exact, "key").where(fits).groupBy("url").agg(best.alias("best")).withColumnRenamed("url", "hit")
+    out = lambda d, rule, verdict: d.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+    none = F.lit(None).cast("string")
+    free = out(src.where(F.size("keys") == 0), none, none)
+    # a plain table, so that one URL's rows can be split in the join
+    found = src.where(F.size("keys") > 0).join(stored(hits, "hits"), F.col("url") == F.col("hit"), "left")
+    return free.unionByName(out(found, F.col("best.rule"), F.col("best.verdict")))
 
 
 #: (host, path, verdict)

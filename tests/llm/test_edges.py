@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import gzip
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import bagminhash, bpe, compaction, decontam, html, langid, quality, toxicity, urlfilter, warc
-from orrery.llm.textkit import fresh_dir
+from orrery.llm.textkit import Scratch, fresh_dir
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
 TEXTS = [None, "", "   \n\t ", "a", "one two three", "é" * 3, "x" * 5000, LONG, "one two three", "ein Satz\nein Satz\nmit Wörtern", "🙂 �  \u00a0"]
@@ -97,7 +100,7 @@ def test_langid_unknown(spark):
 def test_warc_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://x/\r\nWARC/1.0 %41", ""), (None, "u", "p"), (3, "u", "p\r\n\r\nWARC/1.1\r\n"), (4, "u", "p\r\n\r\nWARC/1.1\r\n"), (4, "u", "é" * 99_999)], "page_id long, url string, html string")
     at = fresh_dir(spark, "warc")
-    warc.write_archive(df, at, max_records=2)
+    warc.write_archive(df, at, file_bytes=1)
     raw = warc.read_archive(spark, at)
     got = warc.resolve(raw)
     rows = {(r["id"], r["payload_bytes"]): r for r in got.collect()}
@@ -116,6 +119,27 @@ def test_warc_edges(spark):
     assert warc.read_archive(spark, small).where("record_type = 'revisit'").count() == 1
 
 
+def test_warc_of_one_hot_payload(spark):
+    n = 400
+    df = spark.createDataFrame([(i, f"http://h/{i}", "hot" if i % 2 else f"own {i % 300}") for i in range(n)], "page_id long, url string, html string")
+    want = {i: ("revisit", 1) if i % 2 and i > 1 else ("revisit", i - 300) if i >= 300 and not i % 2 else ("response", None) for i in range(n)}
+    with Scratch(spark) as s:
+        rows = df.select(F.col("page_id").alias("id"), F.sha1("html").alias("payload_digest"), F.octet_length("html").alias("payload_bytes"), F.col("html").alias("payload"), "url")
+        for size in (1, 1 << 20):
+            out = warc.decide(s, rows, max_filter_bytes=size).collect()
+            assert {r["id"]: (r["record_type"], r["refers_to"]) for r in out} == want and len(out) == n
+            assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in out)
+
+
+def test_warc_records_are_http_responses(spark):
+    at = fresh_dir(spark, "warc")
+    warc.write_archive(spark.createDataFrame([(7, "http://h/a", "é"), (9, "http://h/b", "é")], "page_id long, url string, html string"), at)
+    raw = b"".join(gzip.decompress(r["content"]) for r in spark.read.format("binaryFile").load(at).where("length > 0").collect())
+    assert raw.count(b"WARC/1.1\r\n") == 2 and raw.count(b"HTTP/1.1 200 OK\r\n") == 1 and raw.count(b"WARC-Refers-To: <urn:uuid:") == 1
+    ids = re.findall(rb"WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})>", raw)
+    assert len(set(ids)) == 2 and not re.search(rb"WARC-Date: (?!20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ\r)", raw)
+
+
 def test_compaction(spark):
     store = compaction.ShardStore(spark, fresh_dir(spark, "store"), target_bytes=1 << 20, fan_in=3)
     assert store.manifest().version == 0
@@ -148,6 +172,48 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in none.collect()} == {"block"}
 
 
+CANONICAL = {
+    "HTTP://Me:pw@Example.COM.:80": "http://example.com/",
+    "https://example.com:443/a/./b/../c?x=%7e#frag": "https://example.com/a/c?x=~",
+    "http://example.com:8080/%41%2f%2F%zz": "http://example.com:8080/A%2F%2F%25zz",
+    "http://example.com/../..": "http://example.com/",
+    "http://example.com/a/..": "http://example.com/",
+    "http://example.com/a//b/": "http://example.com/a//b/",
+    "ftp://h:21/x": "ftp://h/x",
+    "http://h:/x": "http://h/x",
+    "http:///x": None,
+    "no url": None,
+    None: None,
+}
+
+
+def test_canonical_urls(spark):
+    df = spark.createDataFrame([(u,) for u in CANONICAL], "url string")
+    got = {r["url"]: r["c"] for r in df.select("url", urlfilter.canonical(F.col("url")).alias("c")).collect()}
+    assert got == CANONICAL
+    again = df.where(urlfilter.canonical(F.col("url")).isNotNull()).select(urlfilter.canonical(F.col("url")).alias("c"))
+    assert again.where(urlfilter.canonical(F.col("c")) != F.col("c")).count() == 0
+
+
+def test_listed_urls(spark):
+    listed = spark.createDataFrame([("http://bad.org:80/x%79", "block"), ("http://bad.org/xy#z", "block"), ("http://www.example.com/en/a", "block"), (None, "block")], "url string, verdict string")
+    urls = ["http://BAD.org./xy", "http://u@bad.org/a/../xy?", "http://bad.org/xy/", "http://www.example.com/en/a", None, "http://bad.org./xy"] + [f"http://ok{i}.org/{i}/" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for size in (256 << 20, 0):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(df, urlfilter.entries(spark, urlfilter.RULES), urls=listed, max_filter_bytes=size).collect()}
+        assert len(got) == len(urls)
+        assert {i for i, v in got.items() if v[1] == "block"} == {0, 5}
+        assert got[3] == ("www.example.com/en/", "allow")
+
+
+def test_rules_within_a_segment(spark):
+    rules = urlfilter.entries(spark, [("a.com", "/foo", "block"), ("a.com", "/foo/ba", "allow"), ("a.com", "", "allow"), ("com", "/foo/b", "block")])
+    urls = ["http://a.com/foobar", "http://x.a.com/foo/bar/z", "http://a.com/fo", "http://b.com/foo/b", "http://b.com/foo/", "http://b.com/foo/b"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["page_id"]: r["rule"] for r in urlfilter.judge(df, rules).collect()}
+    assert got == {0: "a.com/foo", 1: "a.com/foo/ba", 2: "a.com", 3: "com/foo/b", 4: None, 5: "com/foo/b"}
+
+
 def test_bloom_has_no_false_negatives():
     import numpy as np
 
