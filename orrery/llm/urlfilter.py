@@ -215,8 +215,9 @@ def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str =
     out = lambda d, rule, verdict: d.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
     none = F.lit(None).cast("string")
     free = out(src.where(F.size("keys") == 0), none, none)
-    # a plain table, so that one URL's rows can be split in the join
-    found = src.where(F.size("keys") > 0).join(stored(hits, "hits"), F.col("url") == F.col("hit"), "left")
+    # a plain table, so that one URL's rows can be split in the join; never broadcast, since it
+    # grows with the URLs
+    found = src.where(F.size("keys") > 0).join(stored(hits, "hits").hint("merge"), F.col("url") == F.col("hit"), "left")
     return free.unionByName(out(found, F.col("best.rule"), F.col("best.verdict")))
 
 
