@@ -51,9 +51,8 @@ HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MAX_FILTER_BYTES = 256 << 20
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 SHA-1 of binary data: 20 bits at a time, as 5 hex digits."""
-    hexed = F.sha1(data)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: 20 bits at a time, as 5 of them."""
     parts = [F.lpad(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -205,7 +204,7 @@ def decide(s: Scratch, rows: DataFrame, min_bytes: int = 0, max_filter_bytes: in
 
 def write_records(rows: DataFrame, path: str, max_records: int, compression: str = "gzip") -> None:
     """Writes records; rows has the columns of RECORD."""
-    writer = rows.select(_records(rows, uuid.uuid4().hex).alias("value")).write.option("lineSep", END).option("compression", compression)
+    writer = rows.select(_records(rows, uuid.uuid4().hex).alias("value")).write.option("lineSep", END).option("compression", compression).option("zlib.compress.level", "BEST_SPEED")
     writer.option("maxRecordsPerFile", max_records).text(path)
 
 
@@ -222,10 +221,11 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     date = F.date_format(F.to_utc_timestamp(F.col(f"`{date_col}`") if date_col else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), date.alias("date"), payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("payload_digest", F.sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     with Scratch(df.sparkSession) as s:
         size = df.select(F.octet_length(payload).alias("bytes"), F.lit(1).alias("n"))
-        write_records(decide(s, rows, min_bytes), path, _per_file(size, file_bytes))
+        # hex digests are turned into base32 once, when all else is decided
+        write_records(decide(s, rows, min_bytes).withColumn("payload_digest", base32(F.col("payload_digest"))), path, _per_file(size, file_bytes))
 
 
 def resolve(records: DataFrame) -> DataFrame:
