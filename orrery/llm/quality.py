@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-A rule rejects a text by a condition on its statistics.  Rules share no work, so
-the order in which they run decides only the cost: `plan` measures each rule's
-seconds and rejections on a bounded sample and orders the rules by rejections per
-second; `Cascade` then runs every rule only on the texts that all rules before it
-let pass.  The verdict, that no rule rejects, is the same in any order.
+A rule rejects a text by a condition on its statistics.  The order in which rules run
+decides only the cost: `plan` measures each rule's seconds and rejections on a bounded
+sample and orders the rules by rejections per second (equal ones by name); `Cascade` then
+runs every rule only on the texts that all rules before it let pass.  What a run computes
+for every text anyway costs its rules nothing, and isn't measured.  The verdict, that no
+rule rejects, is the same in any order.
 
 Null, empty and white-space texts have no word: all their counts are 0 and the base
-rule rejects them.  An empty table gives an empty result with the same columns.
+rule rejects them.  Texts of any length are judged whole.  An empty table gives an empty result with the same columns.
 Repeated rows are judged one by one.
 """
 
@@ -192,14 +193,21 @@ class Measured:
         return self.rejected / max(self.seconds_per_text, 1e-12)
 
 
-def measure(texts: Sequence[str | None], rules: Sequence[Rule] = RULES) -> list[Measured]:
-    """Cost and selectivity of each rule alone; without texts both are 0."""
+#: Statistics that `judge` reports and so computes for every text.
+REPORTED = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(texts: Sequence[str | None], rules: Sequence[Rule] = RULES, known: Sequence[str] = ()) -> list[Measured]:
+    """Cost and selectivity of each rule alone, where the statistics `known` are there
+    already; without texts both are 0."""
     n, out = max(1, len(texts)), []
     parts = list(chunks(pa.array(texts, pa.string())))
     for rule in rules:
         spent = rejected = 0.0
         for c in parts:
             s = Stats(c)
+            for name in known:
+                getattr(s, name)
             began = time.perf_counter()
             hit = rule.rejects(s)
             spent += time.perf_counter() - began
@@ -208,15 +216,16 @@ def measure(texts: Sequence[str | None], rules: Sequence[Rule] = RULES) -> list[
     return out
 
 
-def plan(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 1000, sample_chars: int = 20_000) -> tuple[list[Rule], list[Measured]]:
+def plan(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 1000, sample_chars: int = 20_000, known: Sequence[str] = ()) -> tuple[list[Rule], list[Measured]]:
     """The rules by rejections per second, best first, and what was measured.
 
-    At most `sample_rows` texts of a random sample are measured, and of each its first
-    `sample_chars` characters: only the order of the rules depends on them."""
+    About `sample_rows` texts, a random sample of all and never more than twice as many, are
+    measured, and of each its first `sample_chars` characters: only the order of the rules
+    depends on them."""
     t = F.substring(F.col(f"`{text_col}`").cast("string"), 1, sample_chars).alias("t")
-    share = min(1.0, 1.2 * sample_rows / max(1, df.count()))
-    rows = df.select(t).sample(share, seed=5).limit(sample_rows).collect()
-    got = measure([r["t"] for r in rows], rules)
+    share = min(1.0, sample_rows / max(1, df.count()))
+    rows = df.select(t).sample(share, seed=5).limit(2 * sample_rows).collect()
+    got = measure([r["t"] for r in rows], rules, known)
     worth = {m.name: m.worth for m in got}
     return sorted(rules, key=lambda r: (-worth[r.name], r.name)), got
 
@@ -274,7 +283,7 @@ def judge(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None =
     The base statistics are computed for each text; the other rules run as a cascade
     on texts that the base rule passes.  Rules default to `plan`'s order of RULES.
     Columns of df with the name of an output are left out."""
-    rules = plan(df, text_col)[0] if rules is None else rules
+    rules = plan(df, text_col, known=REPORTED)[0] if rules is None else rules
     return annotate(df, text_col, f"{BASE}, kept boolean", partial(_judge, rules), keep)
 
 
