@@ -1,17 +1,26 @@
-"""Neighbours: joins by distance over grid cells.
+"""Neighbours: joins by distance.
 
-Points get the key of their cubic cell; a query point is sent to the cells that its ball
-may touch and joined with them by equality, so that no pair of distant points is ever
-made and large cells are split by the skew handling of the join.  The k nearest come from
-rings of cells: a point is done when its k-th neighbour lies within the cells searched,
-and only the others go on to a larger ball.
+Balls of a stated radius: points get the key of their cubic cell; a query point is sent to
+the cells that its ball may touch and joined with them by equality, so that no pair of
+distant points is ever made and large cells are split by the skew handling of the join.
+
+The k nearest: space is cut at medians into blocks of about as many points, however they
+cluster (the cuts, a few numbers for each block, come from a bounded sample).  Each block
+finds its queries' k nearest among its own points, in leaves of a k-d tree.  Only queries
+whose ball leaves their block are sent on, once, to the blocks that it touches.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..snapshot import ROW, Snapshot
 from .filters import wrapped
 
@@ -61,37 +70,196 @@ def in_sphere(s: Snapshot, centre, radius: float) -> Snapshot:
     return s.where(sum(v * v for v in d) <= float(radius) ** 2)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, first_radius: float, id_q: str = ROW, id_p: str = ROW, box: float | None = None, max_rings: int = 40) -> DataFrame:
+#: Points of a block, sampled points for each block, and points of a leaf within a block.
+BLOCK_POINTS = 20_000
+MAX_BLOCKS = 1 << 16
+SAMPLED = 64
+LEAF = 64
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Space cut into 2**depth blocks: node i is cut at `at[i]` along `axis[i]` into nodes
+    2 i + 1 (below) and 2 i + 2; lo and hi bound all points."""
+
+    axis: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    @property
+    def inner(self) -> int:
+        return len(self.axis)
+
+    def block(self, xyz: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(xyz), np.int64), np.arange(len(xyz))
+        while self.inner and len(node) and node[0] < self.inner:
+            node = 2 * node + 1 + (xyz[rows, self.axis[node]] >= self.at[node])
+        return node - self.inner
+
+    def touched(self, xyz: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which balls touch which blocks: numbers of balls and of blocks."""
+        far = np.maximum(np.maximum(self.lo - xyz, xyz - self.hi), 0)
+        ball = np.flatnonzero((far * far).sum(axis=1) <= r * r)
+        node = np.zeros(len(ball), np.int64)
+        while self.inner and len(node) and node[0] < self.inner:
+            x, cut = xyz[ball, self.axis[node]], self.at[node]
+            below, above = x - r[ball] <= cut, x + r[ball] >= cut
+            ball, node = np.concatenate([ball[below], ball[above]]), np.concatenate([2 * node[below] + 1, 2 * node[above] + 2])
+        return ball, node - self.inner
+
+
+def cuts(points: DataFrame, block_points: int = BLOCK_POINTS) -> Cuts:
+    """Cuts at the medians of a sample of at most 2 x SAMPLED points for each block, along
+    the axis on which a block's are spread most."""
+    row = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in XYZ]).first()
+    lo, hi = (np.array([row[f"{f}_{c}"] if row["n"] else 0.0 for c in XYZ], float) for f in ("min", "max"))
+    depth = min(math.ceil(math.log2(max(1, row["n"] / block_points))), int(math.log2(MAX_BLOCKS)))
+    most = SAMPLED << depth
+    got = points.select(*XYZ).sample(min(1.0, most / max(1, row["n"])), seed=7).limit(2 * most).toPandas().to_numpy(float) if depth else np.zeros((0, 3))
+    axis, at, parts = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1), [got]
+    for node in range(len(axis)):
+        part = parts[node]
+        if len(part):
+            axis[node] = np.ptp(part, axis=0).argmax()
+            at[node] = np.median(part[:, axis[node]])
+        above = part[:, axis[node]] >= at[node]
+        parts += [part[~above], part[above]]
+    return Cuts(axis, at, lo, hi)
+
+
+def _leaves(xyz: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of a k-d tree's leaves, cut at medians along the widest axis."""
+    todo, out = [np.arange(len(xyz))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        axis, half = np.ptp(xyz[rows], axis=0).argmax(), len(rows) // 2
+        order = rows[np.argpartition(xyz[rows, axis], half)]
+        todo += [order[:half], order[half:]]
+    return [r for r in out if len(r)]
+
+
+def nearest(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest points p of each query q (at most as far as `within`): numbers of
+    queries, ids of points and squared distances; ties by the least id."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    leaves = _leaves(p, LEAF)
+    low, high = (np.array([f(p[r], axis=0) for r in leaves]).reshape(-1, 3) for f in (np.min, np.max))
+    count = np.array([len(r) for r in leaves], np.int64)
+    for mine in _leaves(q, LEAF) if leaves else []:
+        x = q[mine]
+        gap = np.maximum(np.maximum(low - x.max(axis=0), x.min(axis=0) - high), 0)
+        gap = (gap * gap).sum(axis=1)
+        order = np.argsort(gap, kind="stable")
+        limit = np.full(len(mine), np.inf) if within is None else within[mine] ** 2
+        first = int(np.searchsorted(np.cumsum(count[order]), min(k, count.sum()))) + 1
+        near = _squares(x, p, np.concatenate([leaves[i] for i in order[:first]]))
+        if near.shape[1] >= k:
+            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
+        rows = np.concatenate([leaves[i] for i in order[: int(np.searchsorted(gap[order], limit.max(), "right"))]] or [np.zeros(0, np.int64)])
+        d2 = _squares(x, p, rows)
+        if len(rows) > k:
+            limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(d2 <= limit[:, None])
+        found = np.lexsort((ids[rows[j]], d2[i, j], i))
+        i, j = i[found], j[found]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        top = rank < k
+        out.append((mine[i[top]], ids[rows[j[top]]], d2[i[top], j[top]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0)
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _squares(x: np.ndarray, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared distances of all x to some p."""
+    d = [x[:, None, c] - p[None, rows, c] for c in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def _dealt(at: Cuts, own: bool, box: float | None):
+    """Rows with their block; queries of the second round with all blocks that they touch,
+    as images moved by one box length at most."""
+    shifts = np.array([(a, b, c) for a in (0, -1, 1) for b in (0, -1, 1) for c in (0, -1, 1)], float) * box if box else np.zeros((1, 3))
+
+    def run(batches):
+        for pdf in batches:
+            xyz = pdf[list(XYZ)].to_numpy(float)
+            if own:
+                yield pdf.assign(block=at.block(xyz))
+                continue
+            for s in shifts:
+                ball, block = at.touched(xyz + s, pdf["r"].to_numpy(float))
+                part = pdf.iloc[ball].assign(block=block, **{c: xyz[ball, n] + s[n] for n, c in enumerate(XYZ)})
+                # a query's own block is done
+                yield part if s.any() else part[at.block(xyz[ball]) != block]
+
+    return run
+
+
+def _first_round(at: Cuts, k: int, box: float | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        xyz = q[list(XYZ)].to_numpy(float)
+        i, ids, d2 = nearest(xyz, p[list(XYZ)].to_numpy(float), p["id"].to_numpy(), k)
+        r = np.full(len(q), np.inf)
+        full = np.bincount(i, minlength=len(q)) >= k
+        last = np.zeros(len(q))
+        np.maximum.at(last, i, d2)
+        r[full] = np.sqrt(last[full]) * (1 + 1e-9)
+        # which balls stay within the block: those that touch no other, and no image's
+        open_ = np.zeros(len(q), bool)
+        for pdf2 in _dealt(at, False, box)(iter([pd.DataFrame({"n": np.arange(len(q)), "r": r, **{c: xyz[:, n] for n, c in enumerate(XYZ)}})])):
+            open_[pdf2["n"].to_numpy()] = True
+        rows = np.concatenate([i, np.flatnonzero(np.bincount(i, minlength=len(q)) == 0)])
+        more = len(rows) - len(i)
+        near = pd.array(np.concatenate([ids, np.zeros(more, ids.dtype)]), "Int64")
+        near[len(i) :] = pd.NA
+        first = np.ones(len(rows), bool)
+        first[1 : len(i)] = i[1:] != i[:-1]
+        out = {"id": q["id"].to_numpy()[rows], "neighbour": near, "d2": np.concatenate([d2, np.zeros(more)]), "first": first, "open": open_[rows], "r": r[rows]}
+        return pd.DataFrame(out | {c: xyz[rows, n] for n, c in enumerate(XYZ)})
+
+    return run
+
+
+def _second_round(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        i, ids, d2 = nearest(q[list(XYZ)].to_numpy(float), p[list(XYZ)].to_numpy(float), p["id"].to_numpy(), k, q["r"].to_numpy(float))
+        return pd.DataFrame({"id": q["id"].to_numpy()[i], "neighbour": ids, "d2": d2})
+
+    return run
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, id_q: str = ROW, id_p: str = ROW, box: float | None = None, block_points: int = BLOCK_POINTS) -> DataFrame:
     """The k nearest points of each query: id_q, id_p (as `neighbour`), d2 and rank from 1;
     ties by the least id.  A query that is a point has itself as its first neighbour.
 
-    A query's ball grows by half until it holds k points; the driver only counts how many
-    queries are left.  Those left after `max_rings` balls are compared with all points.
-    Queries that can't have k points get those there are; rows without coordinates are
-    neither queries nor points."""
-    todo, parts, radius = _placed(queries.select(id_q, *XYZ)), [], float(first_radius)
-    points = _placed(points.select(F.col(id_p).alias("neighbour"), *XYZ))
-    least = points.limit(k).count()
-    top = Window.partitionBy(f"q_{id_q}").orderBy("d2", "neighbour")
-    for ring in range(max_rings + 1):
-        whole = ring == max_rings or box is not None and radius >= 0.87 * box
-        hit = _everything(todo, points, k, id_q, box) if whole else ball_join(todo, points, radius, radius, box)
-        near = hit.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select(F.col(f"q_{id_q}").alias(id_q), "neighbour", "d2", "rank")
-        # cut from what they came of: else the plan doubles with each ball
-        near = near.localCheckpoint()
-        if whole:
-            parts.append(near)
-            break
-        done = near.groupBy(id_q).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(id_q)
-        parts.append(near.join(done, id_q, "left_semi"))
-        todo = todo.join(done, id_q, "left_anti").localCheckpoint()
-        if todo.isEmpty():
-            break
-        radius *= 1.5
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Ids are integers.  Queries that can't have k points get those there are; rows without
+    coordinates are neither queries nor points.  Points at one and the same place stay in
+    one block."""
+    place = lambda df, name, side: _placed(df).select(F.col(name).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in XYZ], F.lit(side).alias("side"), F.lit(0.0).alias("r"))
+    q, p = place(queries, id_q, 0), place(points, id_p, 1)
+    at = cuts(p, block_points)
+    cols = "id long, x double, y double, z double, side int, r double"
+    dealt = q.unionByName(p).mapInPandas(_dealt(at, True, None), f"{cols}, block long")
+    first = dealt.groupBy("block").applyInPandas(_first_round(at, k, box), "id long, neighbour long, d2 double, first boolean, open boolean, r double, x double, y double, z double")
+    first = checkpointed(first)
+    done = first.where("not open and neighbour is not null").select("id", "neighbour", "d2")
+    more = first.where("open and first").select("id", *XYZ, F.lit(0).alias("side"), "r").mapInPandas(_dealt(at, False, box), f"{cols}, block long")
+    held = p.mapInPandas(_dealt(at, True, None), f"{cols}, block long")
+    second = more.unionByName(held).groupBy("block").applyInPandas(_second_round(k), "id long, neighbour long, d2 double")
+    both = first.where("open and neighbour is not null").select("id", "neighbour", "d2").unionByName(second)
+    if box:
+        # of a point's images the nearest counts
+        both = both.groupBy("id", "neighbour").agg(F.min("d2").alias("d2"))
+    top = Window.partitionBy("id").orderBy("d2", "neighbour")
+    out = done.withColumn("rank", F.row_number().over(top)).unionByName(both.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k))
+    return out.select(F.col("id").alias(id_q), "neighbour", "d2", "rank")
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -100,37 +268,9 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.where((F.abs("x") < far) & (F.abs("y") < far) & (F.abs("z") < far))
 
 
-def _everything(todo: DataFrame, points: DataFrame, k: int, id_q: str, box: float | None, block: int = 4096) -> DataFrame:
-    """The last queries against all points: the k nearest within each block of points.
-    Few are broadcast, being a rest that has no k points within the largest ball."""
-    q = todo.select(F.col(id_q).alias(f"q_{id_q}"), *[F.col(c).alias(f"q_{c}") for c in XYZ])
-    d2 = sum(wrapped(F.col(c) - F.col(f"q_{c}"), box) * wrapped(F.col(c) - F.col(f"q_{c}"), box) for c in XYZ)
-    blocks = max(1, -(-points.count() // block))
-    p = points.withColumn("__b", F.pmod(F.xxhash64("neighbour"), F.lit(blocks)))
-    pairs = p.join(q.hint("broadcast") if q.limit(10_001).count() <= 10_000 else q).withColumn("d2", d2)
-    top = Window.partitionBy(f"q_{id_q}", "__b").orderBy("d2", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).drop("rank", "__b")
-
-
-def spacing(points: DataFrame, k: int) -> float:
-    """A radius that holds about k points where points are as dense as on average, over
-    the axes along which they spread."""
-    points = _placed(points)
-    row = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    sides = [row[c] or 0.0 for c in XYZ]
-    sides = [v for v in sides if v > 1e-9 * max(sides)]
-    if not sides:
-        return 1e-9
-    unit_ball = {1: 2.0, 2: 3.14, 3: 4.19}[len(sides)]
-    share = k / max(1, row["n"]) / unit_ball
-    volume = 1.0
-    for v in sides:
-        volume *= v
-    return max(1e-9, 1.3 * (volume * share) ** (1 / len(sides)))
-
-
 def smoothing_neighbours(s: Snapshot, k: int = 32) -> DataFrame:
     """The k nearest neighbours of all rows among themselves, with positions and mass of
-    the neighbours left to join by `neighbour`."""
+    the neighbours left to join by `neighbour`; checkpointed, so that several sums can use
+    them."""
     pts = s.df.select(ROW, *[s.col(c).alias(c) for c in XYZ])
-    return knn(pts, pts, k, spacing(pts, k), box=s.properties.get("boxsize"))
+    return checkpointed(knn(pts, pts, k, box=s.properties.get("boxsize")))

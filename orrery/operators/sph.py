@@ -78,10 +78,9 @@ def smooth(s: Snapshot, k: int = 32) -> DataFrame:
     return near.groupBy(ROW).agg((0.5 * F.sqrt(F.max("d2"))).alias("smooth"))
 
 
-def _gathered(s: Snapshot, k: int, names: list[str]) -> DataFrame:
+def _gathered(s: Snapshot, near: DataFrame, names: list[str]) -> DataFrame:
     """Neighbours with h, q, and of the neighbour mass, position and named columns; of
     the row its position and named columns with prefix i_."""
-    near = smoothing_neighbours(s, k)
     h = near.groupBy(ROW).agg((0.5 * F.sqrt(F.max("d2"))).alias("h"))
     cols = list(dict.fromkeys([*XYZ, *names]))
     data = s.df.select(F.col(ROW).alias("neighbour"), s.col("mass").alias("m"), *[s.col(c).alias(c) for c in cols])
@@ -90,9 +89,9 @@ def _gathered(s: Snapshot, k: int, names: list[str]) -> DataFrame:
     return out.withColumn("q", F.sqrt("d2") / F.col("h"))
 
 
-def density(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
-    """pidx, smooth and rho: the sum of m W over the k nearest."""
-    g, w = _gathered(s, k, []), kernel(kern)
+def density(s: Snapshot, k: int = 32, kern="cubic_spline", near: DataFrame | None = None) -> DataFrame:
+    """pidx, smooth and rho: the sum of m W over the k nearest (`near`, if they are known)."""
+    g, w = _gathered(s, smoothing_neighbours(s, k) if near is None else near, []), kernel(kern)
     norm = math.pi * F.col("h") * F.col("h") * F.col("h")
     term = F.col("m") * w.w(F.col("q")) / norm
     if w is WENDLAND:
@@ -110,8 +109,9 @@ def sph_sum(s: Snapshot, what: str, name: str, k: int = 64, kern="cubic_spline")
     vector = s.is_vector(name)
     parts = list(components(name)) if vector else [name]
     w = kernel(kern)
-    rho = density(s, k, kern).select(F.col(ROW).alias("neighbour"), F.col("rho").alias("rho_j"))
-    g = _gathered(s, k, parts).join(rho, "neighbour")
+    near = smoothing_neighbours(s, k)
+    rho = density(s, k, kern, near).select(F.col(ROW).alias("neighbour"), F.col("rho").alias("rho_j"))
+    g = _gathered(s, near, parts).join(rho, "neighbour")
     norm = math.pi * F.col("h") * F.col("h") * F.col("h")
     weight = F.col("m") * w.w(F.col("q")) / norm / F.col("rho_j")
     if what == "mean":

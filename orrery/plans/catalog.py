@@ -437,17 +437,17 @@ def group_view(spark, sf_dir):
     return groups.from_column(plain_events(spark, sf_dir)).halo(7).df.select("pidx")
 
 
-# ---- neighbours and kernels, on the first 600 events
+# ---- neighbours and kernels
 
 
-def _few(spark, sf_dir, n: int = 600) -> Snapshot:
-    """The query's own table: events of which all are needed by each row."""
-    return plain_events(spark, sf_dir).rows(0, n)
-
-
-_F = f"WITH e AS (SELECT * FROM ({EVENTS_SQL}) WHERE pidx < 600)"
+_F = E
 _D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
-_NN = f"{_F}, n AS (SELECT a.pidx, b.pidx AS neighbour, {_D2} AS d2, row_number() OVER (PARTITION BY a.pidx ORDER BY {_D2}, b.pidx)::INT AS rank FROM e a, e b), k AS (SELECT * FROM n WHERE rank <= 16), h AS (SELECT pidx, 5e-1 * sqrt(max(d2)) AS h FROM k GROUP BY pidx)"
+# the 16 least of each row's pairs (distance, then number), without sorting all pairs
+_NN = (
+    f"{_F}, l AS (SELECT a.pidx, min(struct_pack(d2 := {_D2}, neighbour := b.pidx), 16) AS l FROM e a, e b GROUP BY a.pidx), "
+    "k AS (SELECT pidx, l[i].neighbour AS neighbour, l[i].d2 AS d2, i::INT AS rank FROM (SELECT pidx, l, unnest(range(1, len(l) + 1)) AS i FROM l)), "
+    "h AS (SELECT pidx, 5e-1 * sqrt(max(d2)) AS h FROM k GROUP BY pidx)"
+)
 _KW = "(CASE WHEN sqrt(d2) / h < 1 THEN 1 - 75e-2 * (2 - sqrt(d2) / h) * (sqrt(d2) / h) * (sqrt(d2) / h) WHEN sqrt(d2) / h < 2 THEN 25e-2 * power(2 - sqrt(d2) / h, 3) ELSE 0e0 END)"
 _RHO = f"{_NN}, rho AS (SELECT k.pidx, sum(e.mass * {_KW} / (pi() * h * h * h)) AS rho FROM k JOIN h ON k.pidx = h.pidx JOIN e ON e.pidx = k.neighbour GROUP BY k.pidx)"
 _SW = f"e.mass * {_KW} / (pi() * h * h * h) / rho.rho"
@@ -456,7 +456,7 @@ _SJ = "k JOIN h ON k.pidx = h.pidx JOIN e ON e.pidx = k.neighbour JOIN rho ON rh
 
 @query(f"{_F} SELECT a.pidx, count(*) AS n FROM e a, e b WHERE {_D2} <= 36e2 GROUP BY a.pidx")
 def ball_counts(spark, sf_dir):
-    return neighbours.ball_counts(_few(spark, sf_dir), 60.0)
+    return neighbours.ball_counts(plain_events(spark, sf_dir), 60.0)
 
 
 def _pw(d: str) -> str:
@@ -465,33 +465,33 @@ def _pw(d: str) -> str:
 
 @query(f"{_F} SELECT a.pidx, count(*) AS n FROM e a, e b WHERE {_pw('(b.x - a.x)')} + {_pw('(b.y - a.y)')} + {_pw('(b.z - a.z)')} <= 36e2 GROUP BY a.pidx")
 def ball_counts_periodic(spark, sf_dir):
-    return neighbours.ball_counts(events(spark, sf_dir, True).rows(0, 600), 60.0)
+    return neighbours.ball_counts(events(spark, sf_dir, True), 60.0)
 
 
 @query(f"{_NN} SELECT pidx, rank, round(d2, 6) AS d2 FROM k")
 def nearest_neighbours(spark, sf_dir):
-    return _rounded(neighbours.smoothing_neighbours(_few(spark, sf_dir), 16).select("pidx", "rank", "d2"))
+    return _rounded(neighbours.smoothing_neighbours(plain_events(spark, sf_dir), 16).select("pidx", "rank", "d2"))
 
 
 @query(f"{_NN} SELECT pidx, round(h, 6) AS smooth FROM h")
 def smoothing_length(spark, sf_dir):
-    return _rounded(sph.smooth(_few(spark, sf_dir), 16))
+    return _rounded(sph.smooth(plain_events(spark, sf_dir), 16))
 
 
 @query(f"{_RHO} SELECT pidx, round(rho * 1e6, 6) AS rho FROM rho")
 def sph_density(spark, sf_dir):
-    d = sph.density(_few(spark, sf_dir), 16)
+    d = sph.density(plain_events(spark, sf_dir), 16)
     return _rounded(d.select("pidx", (F.col("rho") * 1e6).alias("rho")))
 
 
 @query(f"{_RHO} SELECT k.pidx, round(sum({_SW} * e.temp), 6) AS temp FROM {_SJ} GROUP BY k.pidx")
 def sph_mean(spark, sf_dir):
-    return _rounded(sph.sph_sum(_few(spark, sf_dir), "mean", "temp", 16))
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "mean", "temp", 16))
 
 
 @query(f"{_RHO}, t AS (SELECT k.pidx, {_SW} AS w, e.temp AS temp FROM {_SJ}), m AS (SELECT pidx, sum(w * temp) AS m FROM t GROUP BY pidx) SELECT pidx, round(sqrt(sum(w * (m - temp) * (m - temp))), 6) AS temp_disp FROM t JOIN m USING (pidx) GROUP BY pidx")
 def sph_dispersion(spark, sf_dir):
-    return _rounded(sph.sph_sum(_few(spark, sf_dir), "dispersion", "temp", 16))
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "dispersion", "temp", 16))
 
 
 _DK = "(CASE WHEN sqrt(d2) / h < 1 THEN -3 * sqrt(d2) / h + 225e-2 * d2 / (h * h) WHEN sqrt(d2) / h < 2 THEN -75e-2 * power(2 - sqrt(d2) / h, 2) ELSE 0e0 END)"
@@ -501,12 +501,12 @@ _OWN = "JOIN e o ON o.pidx = k.pidx"
 
 @query(f"{_RHO} SELECT k.pidx, round(sum({_SL} * ((e.x - o.x) * (e.vx - o.vx) + (e.y - o.y) * (e.vy - o.vy) + (e.z - o.z) * (e.vz - o.vz))), 6) + 0e0 AS vel_div FROM {_SJ} {_OWN} GROUP BY k.pidx")
 def sph_divergence(spark, sf_dir):
-    return _rounded(sph.sph_sum(_few(spark, sf_dir), "div", "vel", 16))
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "div", "vel", 16))
 
 
 @query(f"{_RHO} SELECT k.pidx, round(sum({_SL} * ((e.y - o.y) * (e.vz - o.vz) - (e.z - o.z) * (e.vy - o.vy))), 6) + 0e0 AS vel_curl_x, round(sum({_SL} * ((e.z - o.z) * (e.vx - o.vx) - (e.x - o.x) * (e.vz - o.vz))), 6) + 0e0 AS vel_curl_y, round(sum({_SL} * ((e.x - o.x) * (e.vy - o.vy) - (e.y - o.y) * (e.vx - o.vx))), 6) + 0e0 AS vel_curl_z FROM {_SJ} {_OWN} GROUP BY k.pidx")
 def sph_curl(spark, sf_dir):
-    return _rounded(sph.sph_sum(_few(spark, sf_dir), "curl", "vel", 16))
+    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "curl", "vel", 16))
 
 
 # ---- gravity
@@ -536,66 +536,12 @@ def gravity_midplane_potential(spark, sf_dir):
 
 @query(_round_sql(f"{_F}, q AS (SELECT a.pidx, -sum(b.mass / sqrt({_D2} + 4e0)) AS phi FROM e a, e b GROUP BY a.pidx)", "phi", "pidx"))
 def gravity_all(spark, sf_dir):
-    return _rounded(gravity.all_direct(_few(spark, sf_dir), 2.0, 128).select("pidx", "phi"))
-
-
-# ---- the same on all events
-
-
-def _whole(name: str) -> str:
-    """The SQL of a query on the first 600 events, on all events."""
-    return SQL[name].replace(_F, E)
-
-
-@query(_whole("ball_counts"))
-def ball_counts_whole(spark, sf_dir):
-    return neighbours.ball_counts(plain_events(spark, sf_dir), 60.0)
-
-
-@query(_whole("ball_counts_periodic"))
-def ball_counts_periodic_whole(spark, sf_dir):
-    return neighbours.ball_counts(events(spark, sf_dir, True), 60.0)
-
-
-@query(_whole("nearest_neighbours"))
-def nearest_neighbours_whole(spark, sf_dir):
-    return _rounded(neighbours.smoothing_neighbours(plain_events(spark, sf_dir), 16).select("pidx", "rank", "d2"))
-
-
-@query(_whole("smoothing_length"))
-def smoothing_length_whole(spark, sf_dir):
-    return _rounded(sph.smooth(plain_events(spark, sf_dir), 16))
-
-
-@query(_whole("sph_density"))
-def sph_density_whole(spark, sf_dir):
-    d = sph.density(plain_events(spark, sf_dir), 16)
-    return _rounded(d.select("pidx", (F.col("rho") * 1e6).alias("rho")))
-
-
-@query(_whole("sph_mean"))
-def sph_mean_whole(spark, sf_dir):
-    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "mean", "temp", 16))
-
-
-@query(_whole("sph_dispersion"))
-def sph_dispersion_whole(spark, sf_dir):
-    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "dispersion", "temp", 16))
-
-
-@query(_whole("sph_divergence"))
-def sph_divergence_whole(spark, sf_dir):
-    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "div", "vel", 16))
-
-
-@query(_whole("sph_curl"))
-def sph_curl_whole(spark, sf_dir):
-    return _rounded(sph.sph_sum(plain_events(spark, sf_dir), "curl", "vel", 16))
+    return _rounded(gravity.all_direct(plain_events(spark, sf_dir), 2.0).select("pidx", "phi"))
 
 
-@query(_whole("gravity_all"))
-def gravity_all_whole(spark, sf_dir):
-    return _rounded(gravity.all_direct(plain_events(spark, sf_dir), 2.0).select("pidx", "phi"))
+# the same under their longer names
+for _name in "ball_counts ball_counts_periodic nearest_neighbours smoothing_length sph_density sph_mean sph_dispersion sph_divergence sph_curl gravity_all".split():
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
 
 # ---- transformations and structure

@@ -161,16 +161,33 @@ def test_neighbours_on_a_line_and_without_coordinates(spark):
     got = neighbours.smoothing_neighbours(line, 4).toPandas().sort_values(["pidx", "rank"])
     want = np.sort((x[:, None] - x[None]) ** 2, axis=1)[:, :4]
     assert len(got) == 2400 and np.allclose(got["d2"].to_numpy().reshape(600, 4), want)
-    # balls that stay too small: the last step is exact, in blocks or not
-    pts = line.df.select("pidx", "x", "y", "z").where("pidx < 40")
-    got = neighbours.knn(pts, pts, 4, 1e-9, max_rings=2).toPandas().sort_values(["pidx", "rank"])
-    assert np.allclose(got["d2"].to_numpy().reshape(40, 4), np.sort((x[:40, None] - x[None, :40]) ** 2, axis=1)[:, :4])
     # three points of five have a place
     holes = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 1.0, 0.0), (2, 0.0, 2.0, 1.0), (3, None, 0.0, 0.0), (4, 1.0, float("nan"), 0.0)], kind)
     got = neighbours.smoothing_neighbours(sn.snapshot(holes), 4).toPandas()
     assert sorted(zip(got["pidx"], got["rank"], strict=True)) == [(i, r) for i in range(3) for r in (1, 2, 3)]
 
 
+@pytest.mark.parametrize("box", [None, 2.0])
+def test_neighbours_of_clustered_points_over_blocks(spark, box):
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.normal(0.3, 0.004, (900, 3)), rng.uniform(-1, 1, (300, 3)), np.repeat([[0.5, 0.5, 0.5]], 40, axis=0), [[0.999, -0.999, 0.999]] * 3])
+    n, k = len(xyz), 9
+    df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in enumerate(xyz)], "pidx long, x double, y double, z double")
+    got = neighbours.knn(df.where("pidx % 3 = 0"), df, k, box=box, block_points=60).toPandas().sort_values(["pidx", "rank"])
+    d = xyz[:, None] - xyz[None]
+    d = d - box * np.round(d / box) if box else d
+    d2 = (d * d).sum(-1)
+    for i in range(0, n, 3):
+        mine = got[got["pidx"] == i]
+        want = np.sort(d2[i])[:k]
+        assert np.allclose(mine["d2"], want, atol=1e-12) and list(mine["rank"]) == list(range(1, k + 1))
+        assert np.allclose(d2[i][mine["neighbour"]], want, atol=1e-12) and mine["neighbour"].is_unique
+    # ties by the least id
+    assert got[got["pidx"] == 1203]["neighbour"].tolist() == list(range(1200, 1209))
+    at = neighbours.cuts(df, 60)
+    assert at.inner == 31 and np.bincount(at.block(xyz)).max() < 160
+
+
 def test_gravity_of_two_bodies(spark):
     s = sn.snapshot(spark.createDataFrame([(0, 1.0, 0.0, 0.0, 2.0), (1, -1.0, 0.0, 0.0, 2.0)], "pidx long, x double, y double, z double, mass double"))
     phi, ax = gravity.direct(s, [(0.0, 0.0, 0.0), (3.0, 0.0, 0.0)], 0.0).orderBy("point").select("phi", "ax").collect()[1]
