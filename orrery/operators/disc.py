@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from ..snapshot import Snapshot
 from . import gravity
-from .profile import Profile, gravity_constant, kappa
-
-#: Square parsecs in a square arcsecond at 10 pc.
-PC2_PER_ARCSEC2 = 2.3504430539466191e-09
-
+from .profile import PC2_PER_ARCSEC2, Profile, gravity_constant, kappa
 
 def stability(p: Profile, eps: float | None = None) -> DataFrame:
     """bin, rbins, v_circ, omega, kappa, Toomre's Q and X of the second arm mode.

@@ -9,6 +9,7 @@ bin.  Counts close the last bin, weighted sums leave it half open.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..snapshot import Snapshot, components, numbered
-from ..units import G
+from ..units import G, as_unit
 
 _registry: dict[str, Callable[[Profile], Column]] = {}
 
@@ -141,10 +142,11 @@ class Profile:
         """bin, rbins and the named quantities: column means, `_disp`, `_rms`, `_med`,
         `d_` gradients, and registered properties.  One aggregate serves them all; the
         rest works on the bins."""
+        bands = {n: m for n in names if n not in _registry and (m := _BAND.fullmatch(n))}
         registered = [n for n in names if n in _registry]
         gradients = [n for n in names if n.startswith("d_") and n not in _registry]
         medians = [n for n in names if n.endswith("_med")]
-        plain = [n for n in names if n not in registered + gradients + medians]
+        plain = [n for n in names if n not in [*registered, *gradients, *medians, *bands]]
         need = dict.fromkeys(plain)
         for n in registered:
             need |= dict.fromkeys(getattr(_registry[n], "needs", ("mass",)))
@@ -152,8 +154,15 @@ class Profile:
             base = n[2:]
             need |= dict.fromkeys(getattr(_registry[base], "needs", ("mass",)) if base in _registry else (base,))
         need = dict.fromkeys([*need, "n"])
-        sums = self._rows.groupBy("bin").agg(*[c.alias(k) for k, c in self._sums(list(need)).items()])
+        light = {f"__light_{m[2] or 'v'}": F.sum(self.half_open(F.pow(F.lit(10.0), -0.4 * self.s.col(f"{m[2] or 'v'}_mag")))) for m in bands.values()}
+        sums = self._rows.groupBy("bin").agg(*[c.alias(k) for k, c in (self._sums(list(need)) | light).items()])
         out = self.bins().join(F.broadcast(sums), "bin", "left")
+        asked = [*registered, *[n[2:] for n in gradients if n[2:] in _registry]]
+        for source in dict.fromkeys(x for n in asked for x in getattr(_registry[n], "midplane", ())):
+            out = out.join(F.broadcast(self._midplane(source)), "bin", "left")
+        for n, m in bands.items():
+            mag = -2.5 * F.log10(f"__light_{m[2] or 'v'}")
+            out = out.withColumn(n, mag if m[1] == "magnitudes" else mag + 2.5 * F.log10(F.col("binsize") * self._square_arcseconds()))
         for k in ("n", "mass", "weight_fn"):
             if k in out.columns:
                 out = out.withColumn(k, F.coalesce(k, F.lit(0)))
@@ -170,6 +179,25 @@ class Profile:
             cols += [c for c in components(n)] if n not in out.columns else [n]
         return out.select("bin", "rbins", *cols)
 
+    def _midplane(self, source: str) -> DataFrame:
+        """bin and a quantity of the gravity in the plane z = 0 at the bins' middles: the
+        circular speed from the profile's rows or from all rows of its ancestor within three
+        times the last middle, or the potential."""
+        from . import gravity
+        from .filters import Sphere
+
+        mids = [(a + b) / 2 for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+        if source == POTENTIAL:
+            return gravity.midplane_potential(self.s, mids).select(F.col("k").alias("bin"), F.col("pot").alias(source))
+        s = self.s if source == SPEED else self.s.ancestor().where(Sphere(3 * mids[-1]))
+        return gravity.rotation_curve(s, mids).select(F.col("k").alias("bin"), F.col("v_circ").alias(source))
+
+    def _square_arcseconds(self) -> float:
+        """Square arcseconds at 10 pc in a unit of area; positions without a unit are in kpc."""
+        pos = self.s.unit("pos")
+        pc = 1e3 if pos.dimensionless else pos.ratio("pc", **self.s.context())
+        return pc * pc / PC2_PER_ARCSEC2
+
     def median(self, name: str) -> DataFrame:
         """Upper median of each bin: the value of rank n // 2, without weights.  Ranks
         are exact; values are spread over tasks by bin and value."""
@@ -203,19 +231,42 @@ class Profile:
             out.append(F.max(F.when(at, v)).alias(f"q{int(round(x * 100))}"))
         return cum.groupBy("bin").agg(*out)
 
-    def fourier(self, m_max: int = 6, phi_bins: int = 100, least: int = 100) -> DataFrame:
+    def fourier(self, m_max: int = 6, phi_bins: int = 100, least: int = 100, delta: float | None = None) -> DataFrame:
         """Coefficients c_m of the azimuthal mass distribution of bins with more than
-        `least` rows: bin, m, re, im, amplitude, phase."""
+        `least` rows: bin, m, re, im, amplitude, phase; with `delta`, a time in units of
+        position by velocity, also dphi_dt: how fast phases turn as rows go on for so long."""
         step = 2 * math.pi / phi_bins
         rows = self._rows.where(F.col("__x") < F.lit(self.edges[-1]))
-        phi = F.least(F.floor((self.s.col("az") + math.pi) / step), F.lit(phi_bins - 1))
-        hist = rows.groupBy("bin", phi.alias("k")).agg(F.sum(self.s.col("mass")).alias("w"), F.count(F.lit(1)).alias("c"))
-        many = hist.groupBy("bin").agg(F.sum("c").alias("all"), F.sum("w").alias("total")).where(F.col("all") > least)
+        place = lambda a: F.least(F.floor((a + math.pi) / step), F.lit(phi_bins - 1))
+        at = [place(self.s.col("az"))]
+        if delta is not None:
+            (x, y, _), (vx, vy, _) = self.s.vector("pos"), self.s.vector("vel")
+            at.append(place(F.atan2(y + vy * float(delta), x + vx * float(delta))))
+        both = rows.select("bin", self.s.col("mass").alias("m"), F.posexplode(F.array(*at)).alias("late", "k"))
+        hist = both.groupBy("bin", "late", "k").agg(F.sum("m").alias("w"), F.count(F.lit(1)).alias("c"))
+        many = hist.where("late = 0").groupBy("bin").agg(F.sum("c").alias("all"), F.sum("w").alias("total")).where(F.col("all") > least)
         mid = (F.col("k") + 0.5) * step - math.pi
         ms = self.s.spark.range(m_max + 1).select(F.col("id").cast("int").alias("m"))
         hist = hist.join(F.broadcast(many), "bin").join(F.broadcast(ms))
-        out = hist.groupBy("bin", "m").agg(F.sum(F.col("w") * F.cos(F.col("m") * mid) / F.col("total")).alias("re"), F.sum(-F.col("w") * F.sin(F.col("m") * mid) / F.col("total")).alias("im"))
-        return out.withColumn("amplitude", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).withColumn("phase", F.atan2("im", "re"))
+        part = lambda late, wave: F.sum(F.when(F.col("late") == late, F.col("w") * wave / F.col("total")))
+        wave = [F.cos(F.col("m") * mid), -F.sin(F.col("m") * mid)]
+        out = hist.groupBy("bin", "m").agg(part(0, wave[0]).alias("re"), part(0, wave[1]).alias("im"), part(1, wave[0]).alias("re1"), part(1, wave[1]).alias("im1"))
+        out = out.withColumn("amplitude", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).withColumn("phase", F.atan2("im", "re"))
+        if delta is None:
+            return out.drop("re1", "im1")
+        turn = F.atan2("im1", "re1") - F.col("phase")
+        turn = F.when(turn > math.pi, turn - 2 * math.pi).when(turn < -math.pi, turn + 2 * math.pi).otherwise(turn)
+        return out.withColumn("dphi_dt", turn / float(delta)).drop("re1", "im1")
+
+    def pattern_frequency(self, delta: float | str = "0.1 Myr", least: int = 100) -> DataFrame:
+        """bin and the pattern speed: half of the rate at which the m = 2 phase turns.
+        Phases are those of exp(-i m az), so that a turn towards larger az is negative."""
+        pos, vel = self.s.unit("pos"), self.s.unit("vel")
+        if isinstance(delta, str):
+            time = as_unit(delta)
+            # without units the number counts
+            delta = float(delta.split()[0]) if pos.dimensionless or vel.dimensionless else time.ratio(pos / vel, **self.s.context())
+        return self.fourier(2, least=least, delta=delta).where("m = 2").select("bin", (F.col("dphi_dt") / 2).alias("pattern_frequency"))
 
     def to_rows(self, table: DataFrame, name: str, target: Snapshot | None = None, log_x: bool = True, log_y: bool = True) -> DataFrame:
         """A profile's quantity interpolated onto rows (of the target or the profile's
@@ -322,20 +373,77 @@ def beta(p: Profile) -> Column:
 beta.needs = ("vx_disp", "vy_disp", "vz_disp", "vr_disp")
 
 
-@profile_property
+#: Columns that `_midplane` joins.
+SPEED, TOTAL_SPEED, POTENTIAL = "__speed", "__total_speed", "__potential"
+#: Square parsecs in a square arcsecond at 10 pc.
+PC2_PER_ARCSEC2 = 2.3504430539466191e-09
+_BAND = re.compile(r"(magnitudes|sb)(?:[,_](\w+))?")
+
+
+def _from_midplane(*sources: str, needs: Sequence[str] = ("mass",)):
+    """Registers a property that takes joined quantities of the plane's gravity."""
+
+    def add(fn):
+        fn.midplane, fn.needs = sources, tuple(needs)
+        return profile_property(fn)
+
+    return add
+
+
+@_from_midplane(SPEED)
 def v_circ(p: Profile) -> Column:
-    """Circular speed of the enclosed mass; `gravity.rotation_curve` has that of a disc."""
-    return rotation_curve_spherical(p)
+    """Circular speed of the profile's rows in the plane z = 0."""
+    return F.col(SPEED)
 
 
-@profile_property
+@_from_midplane(TOTAL_SPEED)
+def v_circ_total(p: Profile) -> Column:
+    """Circular speed of all rows of the snapshot that the profile's is a view of."""
+    return F.col(TOTAL_SPEED)
+
+
+@_from_midplane(POTENTIAL)
+def pot(p: Profile) -> Column:
+    """Potential in the plane z = 0."""
+    return F.col(POTENTIAL)
+
+
+@_from_midplane(TOTAL_SPEED, POTENTIAL)
+def E_circ(p: Profile) -> Column:  # noqa: N802
+    """Energy of circular orbits."""
+    return 0.5 * F.col(TOTAL_SPEED) * F.col(TOTAL_SPEED) + F.col(POTENTIAL)
+
+
+@_from_midplane(SPEED)
 def omega(p: Profile) -> Column:
-    return v_circ(p) / F.col("rbins")
+    return F.col(SPEED) / F.col("rbins")
 
 
-@profile_property
+@_from_midplane(TOTAL_SPEED)
 def j_circ(p: Profile) -> Column:
-    return v_circ(p) * F.col("rbins")
+    return F.col(TOTAL_SPEED) * F.col("rbins")
+
+
+def _kappa(p: Profile) -> Column:
+    """Epicyclic frequency; NaN where orbits aren't stable."""
+    o2 = omega(p) * omega(p)
+    return F.sqrt(F.col("rbins") * gradient(o2, F.col("dr"), p.n_bins) + 4 * o2)
+
+
+_kappa.__name__ = "kappa"
+_from_midplane(SPEED)(_kappa)
+
+
+@_from_midplane(SPEED, needs=("mass", "vr_disp"))
+def Q(p: Profile) -> Column:  # noqa: N802
+    """Toomre's stability."""
+    return F.try_divide(F.col("vr_disp") * _kappa(p), 3.36 * gravity_constant(p.s) * density(p))
+
+
+@_from_midplane(SPEED)
+def X(p: Profile) -> Column:  # noqa: N802
+    """Stability to the second arm mode."""
+    return F.try_divide(_kappa(p) * _kappa(p) * F.col("rbins"), 4 * math.pi * gravity_constant(p.s) * density(p))
 
 
 def inclined(angle: float) -> Callable[[Snapshot], Column]:
