@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -512,6 +513,39 @@ def sph_curl(spark, sf_dir):
 # ---- gravity
 
 _POINTS = [(float(i * 20 - 190), float(i * 13 - 100), float(i * 7 - 60)) for i in range(20)]
+#: Rings of which the plane's gravity is asked: number, middle, width and area.
+_RINGS = [(k, 40.0 + 80.0 * k, 80.0, math.pi * ((80.0 * k + 80.0) ** 2 - (80.0 * k) ** 2)) for k in range(3)]
+_MID = (
+    f"{E}, g(k, r, dr, area) AS (VALUES {', '.join(f'({k}, {r!r}::DOUBLE, {d!r}::DOUBLE, {a!r}::DOUBLE)' for k, r, d, a in _RINGS)}), c(cx, cy) AS (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)), "
+    "p AS (SELECT k, r, r * cx AS px, r * cy AS py FROM g, c), "
+    "d AS (SELECT k, r, px, py, mass AS m, px - x AS dx, py - y AS dy, 1 / sqrt((px - x) * (px - x) + (py - y) * (py - y) + z * z) AS inv FROM p, e), "
+    "a AS (SELECT k, r, px, py, sum(m * inv) AS s, sum(m * (px * dx + py * dy) * inv * inv * inv) AS f FROM d GROUP BY ALL), "
+    "v AS (SELECT k, r, sqrt(greatest(avg(f), 0e0)) AS v, avg(-s) AS pot FROM a GROUP BY k, r), "
+    f"i AS (SELECT floor({RXY} / 80e0)::INT AS k, sum(mass) AS mass, sum(mass * (x * vx + y * vy + z * vz) / {R}) / sum(mass) AS m1, sum(mass * power((x * vx + y * vy + z * vz) / {R}, 2)) / sum(mass) AS m2 FROM e WHERE {RXY} < 24e1 GROUP BY 1), "
+    "o AS (SELECT k, r, v, pot, v / r AS omega, power(v / r, 2) AS o2, dr, mass / area AS density, sqrt(greatest(m2 - m1 * m1, 0e0)) AS vr_disp FROM v JOIN g USING (k, r) JOIN i USING (k)), "
+    "w AS (SELECT *, r * coalesce((lead(o2) OVER t - lag(o2) OVER t) / 2 / dr, (lead(o2) OVER t - o2) / dr, (o2 - lag(o2) OVER t) / dr) + 4 * o2 AS k2 FROM o WINDOW t AS (ORDER BY k)), "
+    "q AS (SELECT k AS bin, v AS v_circ, v AS v_circ_total, pot, omega, v * r AS j_circ, 5e-1 * v * v + pot AS E_circ, CASE WHEN k2 < 0 THEN 'nan'::DOUBLE ELSE sqrt(greatest(k2, 0e0)) END AS kappa, density, vr_disp, r FROM w)"
+)
+
+
+@query(_round_sql(f"{_MID}, z AS (SELECT *, vr_disp * kappa / (336e-2 * density) AS Q, kappa * kappa * r / (4 * pi() * density) AS X FROM q)", "v_circ, v_circ_total, pot, omega, j_circ, E_circ, kappa, Q, X", "bin", "z"))
+def profile_midplane(spark, sf_dir):
+    p = Profile(plain_events(spark, sf_dir), edges=[0.0, 80.0, 160.0, 240.0], ndim=2)
+    return _rounded(p.table("v_circ", "v_circ_total", "pot", "omega", "j_circ", "E_circ", "kappa", "Q", "X").drop("rbins"))
+
+
+@query(_round_sql(f"{E}, l AS (SELECT floor({RXY} / 80e0)::INT AS bin, -25e-1 * log10(sum(power(1e1, -4e-1 * (temp * 1e-3)))) AS m FROM e WHERE {RXY} < 24e1 GROUP BY 1), q AS (SELECT bin, m AS mag, m + 25e-1 * log10(pi() * (power(80e0 * bin + 80e0, 2) - power(80e0 * bin, 2)) * 1e6 / 2.3504430539466191e-9) AS sb FROM l)", "mag, sb", "bin"))
+def profile_light(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    p = Profile(s.with_column("b_mag", s.col("temp") * 1e-3), edges=[0.0, 80.0, 160.0, 240.0], ndim=2)
+    return _rounded(p.table("magnitudes,b", "sb_b").select("bin", F.col("`magnitudes,b`").alias("mag"), F.col("sb_b").alias("sb")))
+
+
+@query(f"{E}, g AS (SELECT pidx, row_number() OVER (ORDER BY pidx) - 1 AS i, count(*) OVER () AS n FROM e WHERE family = 'gas' AND temp > 5e3) SELECT pidx FROM g WHERE i >= 20 AND i < n - 30 AND (i - 20) % 4 = 0")
+def view_slice_of_view(spark, sf_dir):
+    return plain_events(spark, sf_dir).where(filters.HighPass("temp", 5e3)).gas[20:-30:4].df.select("pidx")
+
+
 _PV = f"{E}, p(point, px, py, pz) AS (VALUES {', '.join(f'({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)' for i, (x, y, z) in enumerate(_POINTS))}), d AS (SELECT point, mass AS m, px - x AS dx, py - y AS dy, pz - z AS dz, 1 / sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z) + 4e0) AS inv FROM p, e)"
 
 

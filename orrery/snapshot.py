@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .units import NO_UNIT, Unit, as_unit
 
-#: Families and their aliases.
+#: Families and their aliases.
 FAMILIES: dict[str, tuple[str, ...]] = {
     "dm": ("d", "dark"),
     "star": ("stars", "st", "s"),
@@ -33,7 +33,7 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "cloud": (),
 }
 VECTORS = {"pos": ("x", "y", "z"), "vel": ("vx", "vy", "vz")}
-#: Cosmology that a snapshot without its own has.
+#: Cosmology that a snapshot without its own has.
 COSMOLOGY = {"a": 1.0, "h": 0.6766, "omegaM0": 0.3111, "omegaL0": 0.6889, "omegaB0": 0.049, "sigma8": 0.8102, "ns": 0.9665, "running": 0.0}
 ROW = "pidx"
 
@@ -257,31 +257,66 @@ class Snapshot:
         view = replace(self, df=self.df.where(F.col("family").isin(*full)), base=self)
         return replace(view, properties=view.properties | {"__families": tuple(full)})
 
-    @property
-    def gas(self) -> Snapshot:
-        return self.family("gas")
-
-    @property
-    def star(self) -> Snapshot:
-        return self.family("star")
-
-    @property
-    def dm(self) -> Snapshot:
-        return self.family("dm")
-
     def families(self) -> DataFrame:
         """Families in the order of their first rows, with their sizes."""
         return self.df.groupBy("family").agg(F.min(ROW).alias("first"), F.count(F.lit(1)).alias("n"))
 
-    def rows(self, start: int = 0, stop: int | None = None, step: int = 1) -> Snapshot:
-        """A slice of the file's row order.  Of a whole snapshot only; a view's rows keep
-        their numbers in the file."""
-        mask = F.col(ROW) >= start
+    def _placed(self) -> DataFrame:
+        """The rows' numbers in the file and their places (from 0) in this snapshot."""
+        if self.base is None:
+            return self.df.select(ROW, F.col(ROW).alias("place"))
+        return numbered(self.df.select(ROW), ROW, "place")
+
+    def _at(self, places: DataFrame) -> Snapshot:
+        return replace(self, df=self.df.join(places.select(ROW), ROW, "left_semi"), base=self)
+
+    def rows(self, start: int | None = None, stop: int | None = None, step: int | None = None) -> Snapshot:
+        """A slice of this snapshot's own row order, as of a sequence: negative numbers count
+        from the end, and a view's rows are numbered anew.  Steps are positive."""
+        step = 1 if step is None else step
+        if step < 1:
+            raise ValueError("steps of slices are positive")
+        start = 0 if start is None else start
+        if start < 0 or stop is not None and stop < 0:
+            start, stop, _ = slice(start, stop).indices(self.df.count())
+        place = F.col(ROW) if self.base is None else F.col("place")
+        mask = place >= start
         if stop is not None:
-            mask &= F.col(ROW) < stop
+            mask &= place < stop
         if step != 1:
-            mask &= F.pmod(F.col(ROW) - start, F.lit(step)) == 0
-        return self.where(mask)
+            mask &= F.pmod(place - start, F.lit(step)) == 0
+        return self.where(mask) if self.base is None else self._at(self._placed().where(mask))
+
+    def take(self, places: Sequence[int] | DataFrame) -> Snapshot:
+        """The rows at places of this snapshot: a list, or the only column of a frame.
+        Negative ones of a list count from the end; a place outside is an error."""
+        if not isinstance(places, DataFrame):
+            n, found = self.df.count(), [int(p) for p in places]
+            if any(not -n <= p < n for p in found):
+                raise IndexError(f"places are from {-n} to {n - 1}")
+            places = self.spark.createDataFrame([(p % n,) for p in set(found)], "place long")
+        return self._at(self._placed().join(places.toDF("place").distinct(), "place", "left_semi"))
+
+    def __getitem__(self, what):
+        """A column or vector by name, or a view by slice, filter, boolean column, family or
+        places."""
+        if isinstance(what, str):
+            if not self.has_key(what) and not self.is_vector(what) and family_name(what) in FAMILIES:
+                return self.family(what)
+            return self.vector(what) if self.is_vector(what) else self.col(what)
+        if isinstance(what, slice):
+            return self.rows(what.start, what.stop, what.step)
+        if isinstance(what, Column) or hasattr(what, "column"):
+            return self.where(what)
+        if isinstance(what, int):
+            return self.take([what])
+        return self.take(what)
+
+    def __getattr__(self, name: str):
+        """Families by name or alias."""
+        if not name.startswith("_") and family_name(name) in FAMILIES:
+            return self.family(name)
+        raise AttributeError(name)
 
     def ids(self, ids: DataFrame, column: str = "iord") -> Snapshot:
         """The rows whose id is in the only column of another frame."""
@@ -361,11 +396,24 @@ def numbered(df: DataFrame, by: str, name: str, parts: int | None = None) -> Dat
     return ranged.join(F.broadcast(offsets.drop("__n")), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before")
 
 
+def contiguous(df: DataFrame, name: str) -> DataFrame:
+    """df with the place of each row in the order of its partitions, from 0 without gaps:
+    its place in its partition behind the rows of the partitions before."""
+    at = F.monotonically_increasing_id()
+    rows = df.withColumn("__p", F.shiftright(at, 33)).withColumn("__i", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row for each partition
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    from pyspark.sql import Window
+
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
+
+
 def snapshot(df: DataFrame, units: dict | None = None, properties: dict | None = None, ragged: dict | None = None) -> Snapshot:
     """A snapshot of a DataFrame.  Rows without `pidx` get one in the order of the file's
-    partitions; without `family` all are dark matter."""
+    partitions, without gaps (of a file, or another source that gives its rows in one order); without `family` all are dark matter."""
     if ROW not in df.columns:
-        df = df.withColumn(ROW, F.monotonically_increasing_id())
+        df = contiguous(df, ROW)
     if "family" not in df.columns:
         df = df.withColumn("family", F.lit("dm"))
     s = Snapshot(df, {k: as_unit(v) for k, v in (units or {}).items()}, dict(properties or {}), {k: frozenset(v) for k, v in (ragged or {}).items()})

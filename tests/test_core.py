@@ -188,6 +188,34 @@ def test_neighbours_of_clustered_points_over_blocks(spark, box):
     assert at.inner == 31 and np.bincount(at.block(xyz)).max() < 160
 
 
+def test_slices_of_views(spark):
+    s = sn.snapshot(spark.range(1000, numPartitions=4).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "gas").otherwise("dm").alias("family")))
+    places = lambda v: [int(r["x"]) for r in v.df.orderBy("x").collect()]
+    assert places(s.rows(0, 600)) == list(range(600)) and s.df.agg(F.max("pidx")).first()[0] == 999
+    gas = s.where(F.col("x") >= 30).gas
+    own = [k for k in range(30, 1000) if k % 3 == 0]
+    assert places(gas.rows(0, 10)) == own[:10]
+    assert places(gas[5:-3:7]) == own[5:-3:7] and places(gas[-4:]) == own[-4:] and places(gas[:2000]) == own
+    assert places(gas[[0, 3, -1]]) == [own[0], own[3], own[-1]] and places(gas[1]) == [own[1]]
+    assert places(gas[2:50][3:5]) == own[5:7]
+    assert places(s[F.col("x") < 2]) == [0, 1] and places(s["gas"]) == places(s.g) == list(range(0, 1000, 3))
+    assert s.df.select(s["x"]).count() == 1000 and s.neutrino.df.count() == 0
+    with pytest.raises(IndexError):
+        gas[[len(own)]]
+    with pytest.raises(AttributeError):
+        s.nothing
+
+
+def test_pattern_speed(spark):
+    # a bar that turns as a solid
+    rng = np.random.default_rng(1)
+    r, phi = rng.uniform(1, 2, 4000), np.concatenate([rng.normal(0.5, 0.2, 2000), rng.normal(0.5 - np.pi, 0.2, 2000)])
+    rows = [(i, float(a * np.cos(f)), float(a * np.sin(f)), 0.0, float(-0.3 * a * np.sin(f)), float(0.3 * a * np.cos(f)), 0.0, 1.0) for i, (a, f) in enumerate(zip(r, phi, strict=True))]
+    s = sn.snapshot(spark.createDataFrame(rows, "pidx long, x double, y double, z double, vx double, vy double, vz double, mass double"))
+    got = Profile(s, edges=[1.0, 1.5, 2.0]).pattern_frequency(0.5).collect()
+    assert [x["pattern_frequency"] for x in got] == pytest.approx([-0.3, -0.3], abs=0.01)
+
+
 def test_gravity_of_two_bodies(spark):
     s = sn.snapshot(spark.createDataFrame([(0, 1.0, 0.0, 0.0, 2.0), (1, -1.0, 0.0, 0.0, 2.0)], "pidx long, x double, y double, z double, mass double"))
     phi, ax = gravity.direct(s, [(0.0, 0.0, 0.0), (3.0, 0.0, 0.0)], 0.0).orderBy("point").select("phi", "ax").collect()[1]
