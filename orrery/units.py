@@ -137,6 +137,27 @@ class Unit:
             return False
         return True
 
+    def dimensionless_constant(self, **values: float) -> float:
+        """The number that this unit is; an error if a dimension is left."""
+        return self.ratio(Unit(), **values)
+
+    def dimensionality(self) -> str:
+        """The dimensions in words, such as `length**2 time**-1`; h and a stay."""
+        words = {"m": "length", "s": "time", "kg": "mass", "K": "temperature", "rad": "angle"}
+        return " ".join(words.get(b, b) + ("" if e == 1 else f"**{e}") for b, e in sorted(self.dims.items()))
+
+    def latex(self) -> str:
+        """As TeX: a decimal factor and base units in roman."""
+        out = []
+        if self.scale != 1 or not self.dims:
+            mantissa, power = f"{self.scale:.6e}".split("e")
+            mantissa = mantissa.rstrip("0").rstrip(".")
+            ten = rf"10^{{{int(power)}}}"
+            out.append(mantissa if int(power) == 0 else ten if mantissa == "1" else rf"{mantissa}\times {ten}")
+        for b, e in sorted(self.dims.items()):
+            out.append(rf"\mathrm{{{b}}}" + ("" if e == 1 else f"^{{{e}}}"))
+        return r"\,".join(out)
+
     def dimensional_project(self, basis) -> list[Fraction]:
         """Exponents of the basis units that give this unit's dimensions, exactly."""
         basis = [as_unit(b) for b in basis]
@@ -194,6 +215,17 @@ def as_unit(x) -> Unit:
     return parse(x) if isinstance(x, str) else Unit(float(x))
 
 
+def is_unit_like(x) -> bool:
+    """Whether something is a unit, has one, or is text that names one."""
+    if isinstance(x, str):
+        try:
+            parse(x)
+        except (UnitsError, ValueError):
+            return False
+        return True
+    return isinstance(x, Unit) or isinstance(getattr(x, "unit", None), Unit)
+
+
 def define(name: str, value) -> Unit:
     """A new named unit."""
     _names[name] = as_unit(value)
