@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..snapshot import ROW, Snapshot
+from ..snapshot import ROW, Snapshot, numbered
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,74 @@ class Catalogue:
 
 
 def ranked(sizes: DataFrame) -> DataFrame:
-    """halo, n and rank by n: the order of numbers that catalogues by length have."""
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "halo")))
+    """halo, n and rank by n (from 1): the order of numbers that catalogues by length have.
+    Ranks are counted by range, no task sorts all groups."""
+    keyed = sizes.withColumn("__k", F.struct(-F.col("n"), F.col("halo")))
+    return numbered(keyed, "__k", "rank").drop("__k").withColumn("rank", (F.col("rank") + 1).cast("int"))
+
+
+def numbering(halos: DataFrame, how: str = "file-order", size: str = "n", own: str = "ID") -> DataFrame:
+    """halo (the place in the file, from 0) and number: `file-order` is that place, `v1`
+    counts from 1; `length-order` ranks by size, the largest first and equal ones in
+    their order (from 0; `length-order-v1` from 1); `own` takes a column of numbers."""
+    if how in ("file-order", "v1"):
+        return halos.select("halo", (F.col("halo") + (1 if how == "v1" else 0)).cast("long").alias("number"))
+    if how == "own":
+        return halos.select("halo", F.col(own).cast("long").alias("number"))
+    if how not in ("length-order", "length-order-v1"):
+        raise ValueError(f"no numbering {how!r}")
+    got = ranked(halos.select("halo", F.col(size).alias("n")))
+    return got.select("halo", (F.col("rank") - (0 if how.endswith("v1") else 1)).cast("long").alias("number"))
+
+
+def renumbered(c: Catalogue, numbers: DataFrame) -> Catalogue:
+    """A catalogue under other numbers (halo, number); parents go along, and one that has
+    no number becomes null.  Two groups of one number are an error."""
+    if numbers.groupBy("number").count().where("count > 1").limit(1).count():
+        raise ValueError("two groups have one number")
+    swap = numbers.select("halo", F.col("number").alias("__to"))
+    members = c.members.join(swap, "halo").select(F.col("__to").alias("halo"), ROW)
+    halos = c.halos.join(swap, "halo").drop("halo").withColumnRenamed("__to", "halo")
+    if "parent" in halos.columns:
+        up = numbers.select(F.col("halo").alias("parent"), F.col("number").alias("__up"))
+        halos = halos.join(up, "parent", "left").drop("parent").withColumnRenamed("__up", "parent")
+    return Catalogue(c.s, members, halos)
+
+
+def places(numbers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """number and halo (the place) of wanted numbers; a number that no group has is a
+    KeyError that names up to ten."""
+    keys = wanted.toDF("number").distinct()
+    lost = [r[0] for r in keys.join(numbers, "number", "left_anti").orderBy("number").limit(10).collect()]
+    if lost:
+        raise KeyError(f"no such groups: {lost}")
+    return keys.join(numbers.select("number", "halo"), "number")
+
+
+def with_parents(c: Catalogue, own: str, parent: str, none: int = -1) -> Catalogue:
+    """A catalogue whose groups name their parent by an id of their own, such as a track:
+    `parent` is the number of the group that has the id, null for `none` and lost ones."""
+    ids = c.halos.select(F.col(own).alias("__id"), F.col("halo").alias("parent"))
+    kept = c.halos.drop("parent") if parent != "parent" else c.halos.withColumnRenamed("parent", "__named")
+    named = F.when(F.col("__named" if parent == "parent" else parent) != none, F.col("__named" if parent == "parent" else parent))
+    return Catalogue(c.s, c.members, kept.withColumn("__id", named).join(ids, "__id", "left").drop("__id", "__named"))
+
+
+def hosted(subhalos: Catalogue, hosts: Catalogue, column: str = "HostHaloId") -> Catalogue:
+    """Groups of one finder under the groups of another: the second's groups and, as
+    their children, the first's, whose numbers move behind the hosts' greatest.  `from`
+    has the number that a group had.  Groups that name no host (null or negative) stay
+    without a parent; one that names a group that isn't there is an error."""
+    named = F.when(F.col(column) >= 0, F.col(column).cast("long"))
+    kids = subhalos.halos.select(F.col("halo").alias("from"), named.alias("parent"))
+    if kids.where("parent IS NOT NULL").join(hosts.halos.select(F.col("halo").alias("parent")), "parent", "left_anti").limit(1).count():
+        raise ValueError("a group names a host that isn't in the catalogue of hosts")
+    base = (hosts.halos.agg(F.max("halo")).first()[0] or 0) + 1 - (subhalos.halos.agg(F.min("halo")).first()[0] or 0)
+    shift = lambda c: (F.col(c) + F.lit(base)).cast("long")
+    top = hosts.halos.select(F.col("halo").cast("long").alias("halo"), F.col("halo").cast("long").alias("from"), F.lit(None).cast("long").alias("parent"))
+    halos = top.unionByName(kids.select(shift("from").alias("halo"), F.col("from").cast("long").alias("from"), "parent"))
+    members = hosts.members.select(F.col("halo").cast("long").alias("halo"), ROW).unionByName(subhalos.members.select(shift("halo").alias("halo"), ROW))
+    return Catalogue(hosts.s, members, halos)
 
 
 def from_column(s: Snapshot, column: str = "grp", ignore: int | None = None) -> Catalogue:
@@ -83,13 +149,49 @@ def from_ids(s: Snapshot, members: DataFrame, halos: DataFrame | None = None, ke
 def from_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
     """Groups from the place of their first row and their length (halo, offset, length):
     a range join of which each row knows its coarse cell of rows."""
-    cell = 1 << 16
-    spans = halos.where("length > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("offset") / cell), F.floor((F.col("offset") + F.col("length") - 1) / cell))))
-    rows = s.df.select(ROW, F.floor(F.col(ROW) / cell).alias("cell"))
-    hit = rows.join(spans, "cell").where((F.col(ROW) >= F.col("offset")) & (F.col(ROW) < F.col("offset") + F.col("length")))
+    hit = _within(s.df.select(ROW, F.col(ROW).alias("at")), halos.select("halo", "offset", "length"))
     return Catalogue(s, hit.select("halo", ROW), halos)
 
 
+def _within(rows: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their place `at` with the spans (offset, length) of equal keys that hold
+    them, by coarse cells of places."""
+    cell = 1 << 16
+    spans = spans.where("length > 0").withColumn("__c", F.explode(F.sequence(F.floor(F.col("offset") / cell), F.floor((F.col("offset") + F.col("length") - 1) / cell))))
+    rows = rows.withColumn("__c", F.floor(F.col("at") / cell))
+    return rows.join(spans, [*keys, "__c"]).where((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("length"))).drop("__c")
+
+
+def from_family_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
+    """Groups from places and lengths for each family (halo, family, offset, length),
+    where places count the rows of a family in order, wherever they lie in the file."""
+    keyed = s.df.select(ROW, "family").withColumn("__k", F.struct("family", ROW))
+    placed = numbered(keyed, "__k", "__all").drop("__k")
+    # one row for each family
+    first = placed.groupBy("family").agg(F.min("__all").alias("__first"))
+    rows = placed.join(F.broadcast(first), "family").select(ROW, "family", (F.col("__all") - F.col("__first")).alias("at"))
+    hit = _within(rows, halos.select("halo", "family", "offset", "length"), "family")
+    return Catalogue(s, hit.select("halo", ROW), halos.select("halo").distinct())
+
+
+def from_id_runs(s: Snapshot, halos: DataFrame, bound: DataFrame, unbound: DataFrame | None = None, key: str = "iord") -> Catalogue:
+    """Groups whose members stand one group after the other in lists of ids (at, id): a
+    group's run is (offset, length), and in the list of unbound ones, which count if it is
+    given, (offset_unbound, length_unbound).  Ids that no row has are left out."""
+    hit = _within(bound, halos.select("halo", "offset", "length")).select("halo", "id")
+    if unbound is not None:
+        more = halos.select("halo", F.col("offset_unbound").alias("offset"), F.col("length_unbound").alias("length"))
+        hit = hit.unionByName(_within(unbound, more).select("halo", "id")).distinct()
+    return from_ids(s, hit.withColumnRenamed("id", key), halos, key)
+
+
+def run_lengths(halos: DataFrame, total: int, offset: str = "offset", length: str = "length") -> DataFrame:
+    """Groups (halo numbers without gaps, in file order) with the lengths of their runs: to
+    the next group's offset, and to the list's end for the last."""
+    after = halos.select((F.col("halo") - 1).alias("halo"), F.col(offset).alias("__next"))
+    return halos.join(after, "halo", "left").withColumn(length, F.coalesce("__next", F.lit(total)) - F.col(offset)).drop("__next")
+
+
 def mass_function(masses: DataFrame, volume: float, least: float = 8.0, most: float = 15.0, step: float = 0.1) -> DataFrame:
     """Groups by decade of mass: bin, mid (log mass), n, phi (per volume and dex), err."""
     nbins = int(round((most - least) / step))
