@@ -131,15 +131,18 @@ def age(s: Snapshot) -> Column:
     return F.lit(float(s.prop("time"))) - s.col("tform")
 
 
+#: Particles for each nucleus of an ion: itself and its electrons.
+IONS = {"HI": 1.0, "HII": 2.0, "HeI": 1.0, "HeII": 2.0, "HeIII": 3.0}
+
+
 @derived()
 def mu(s: Snapshot) -> Column:
     """Mean molecular mass: from electrons, else from ions, else from temperature."""
     if s.has_key("ElectronAbundance"):
         x = 1 - HELIUM
         return F.lit(4.0) / (1 + 3 * x + 4 * x * s.col("ElectronAbundance"))
-    ions = {"HI": 1.0, "HII": 2.0, "HeI": 1.0, "HeII": 2.0, "HeIII": 3.0}
-    if all(k in s.df.columns for k in ions):
-        return 1 / sum(n * s.col(k) for k, n in ions.items())
+    if all(k in s.df.columns for k in IONS):
+        return 1 / sum(n * s.col(k) for k, n in IONS.items())
     neutral, ionised = 4 / (4 - 3 * HELIUM), 4 / (8 - 5 * HELIUM)
     return F.when(s.col("temp") < 1e4, neutral).otherwise(ionised)
 
@@ -156,13 +159,14 @@ def u(s: Snapshot) -> Column:
 
 @derived()
 def temp(s: Snapshot) -> Column:
-    """From u, with the mean molecular mass settled in five steps."""
+    """From u: by electrons or ions if they are there, else with the mean molecular mass
+    of five rounds from 1 on (between two states the fifth counts)."""
     scale = (GAMMA - 1) / _gas(s)
-    if s.has_key("ElectronAbundance"):
+    if s.has_key("ElectronAbundance") or all(k in s.df.columns for k in IONS):
         return s.col("u") * s.col("mu") * scale
     neutral, ionised = 4 / (4 - 3 * HELIUM), 4 / (8 - 5 * HELIUM)
-    t = s.col("u") * scale * 0.59
-    for _ in range(5):
+    t = s.col("u") * scale
+    for _ in range(4):
         t = s.col("u") * scale * F.when(t < 1e4, neutral).otherwise(ionised)
     return t
 
@@ -184,6 +188,15 @@ def aform(s: Snapshot) -> Column:
     return scale_factor_column(s, s.col("tform"))
 
 
+@derived()
+def tform(s: Snapshot) -> Column:
+    """The age at the scale factor of formation; null where that isn't positive."""
+    from .cosmology import age_column
+
+    a = s.col("aform")
+    return F.when(a > 0, age_column(s, 1 / a - 1))
+
+
 @derived()
 def zeldovich_offset_x(s: Snapshot) -> Column:
     return _zeldovich(s, 0)

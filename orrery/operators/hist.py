@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,31 @@ def hist2d(s: Snapshot, x: str, y: str, nx: int = 100, ny: int = 100, x_range=No
     return got.agg(h.alias("h"))
 
 
+def density_temperature(s: Snapshot, rho_unit=None, phases: str = "split", **kwargs) -> DataFrame:
+    """ix, iy and h of the gas by the decades of density and temperature.
+
+    Rows with a hot phase (`uHot`, `MassHot`) count once for each phase, at the density
+    that its share of the energy gives (`split`), or once at `Tinc` (`merge`).  Other
+    settings as for `hist2d`; rows whose density or temperature isn't positive and
+    finite have no decade and are left out."""
+    if phases not in ("split", "merge"):
+        raise ValueError(f"no phases {phases!r}")
+    g = s.family("gas")
+    rho = g.col("rho") if rho_unit is None else g.in_units("rho", rho_unit)
+    df = g.df.withColumn("__rho", rho.cast("double"))
+    if phases == "merge" and "Tinc" in g.keys():
+        df = df.withColumn("__t", F.col("Tinc").cast("double"))
+    elif phases == "split" and {"uHot", "MassHot"} <= set(g.keys()):
+        u, hot, t = g.col("u"), F.col("uHot"), g.col("temp")
+        energy = hot * F.col("MassHot") + u * (g.col("mass") - F.col("MassHot"))
+        two = [F.struct((F.col("__rho") * F.try_divide(energy, g.col("mass") * v)).alias("r"), w.alias("t")) for v, w in ((u, t), (hot, F.try_divide(t, u) * hot))]
+        df = df.withColumn("__phase", F.explode(F.array(*two))).withColumn("__rho", F.col("__phase.r")).withColumn("__t", F.col("__phase.t")).drop("__phase")
+    else:
+        df = df.withColumn("__t", g.col("temp").cast("double"))
+    good = [(F.col(c) > 0) & (F.col(c) < float("inf")) for c in ("__rho", "__t")]
+    return hist2d(replace(g, df=df.where(good[0] & good[1])), "__rho", "__t", x_log=True, y_log=True, **kwargs)
+
+
 def smoothed(h: DataFrame, nx: int, ny: int, n_rows: int, spread: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """A histogram on its grid convolved with a Gaussian of Scott's width n^(-1/6) times
     the spread of the values in cells.  The grid has nx * ny numbers."""

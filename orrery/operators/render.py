@@ -88,6 +88,15 @@ def grid(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: in
     return out.groupBy("px", "py", "pz").agg(F.sum(F.col("q") * F.col("m") / F.col("rho") * w).alias("value")).where("value <> 0")
 
 
+def velocity_image(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: int = 128, arrows: int = 40, vector: str = "vel", project: bool = False, **kwargs) -> tuple[DataFrame, DataFrame]:
+    """The image of a quantity, and px, py, vx, vy of a coarser image of a vector's first
+    two components; pixels that only one of them reaches have 0 for the other."""
+    field = image(s, quantity, width, n, project, **kwargs)
+    parts = [image(s, c, width, arrows, project, **kwargs).withColumnRenamed("value", k) for c, k in zip(s.vector(vector)[:2], ("vx", "vy"), strict=True)]
+    both = parts[0].join(parts[1], ["px", "py"], "full")
+    return field, both.select("px", "py", F.coalesce("vx", F.lit(0.0)).alias("vx"), F.coalesce("vy", F.lit(0.0)).alias("vy"))
+
+
 def ring_pixel(theta: Column, phi: Column, nside: int) -> Column:
     """Number of the equal-area sky pixel (ring order) that holds a direction."""
     z, za = F.cos(theta), F.abs(F.cos(theta))

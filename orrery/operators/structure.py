@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..snapshot import ROW, Snapshot
 from . import transform
-from .profile import bin_of, equal_edges, gravity_constant, interpolated
+from .filters import Disc
+from .profile import Profile, bin_of, equal_edges, gravity_constant, interpolated
 
 
 def com(s: Snapshot) -> np.ndarray:
@@ -221,6 +222,15 @@ def circular_j(s: Snapshot, per_bin: int = 1000, quantile: float = 0.99) -> Snap
     return s.with_column("te", s.col("te")).with_column("j_circ", interpolated(s.col("te"), xs, ys))
 
 
+def circular_j_by_curve(s: Snapshot, radius: float, height: float, per_bin: int = 1000) -> DataFrame:
+    """pidx and j_circ: the mid-plane's circular angular momentum in rings of equally many
+    rows of a disc, interpolated to all rows by their cylindrical radius.  Meaningful
+    where the rows lie in a thin disc."""
+    disc = s.where(Disc(radius, height))
+    p = Profile(disc, type="equaln", nbins=max(2, disc.df.count() // per_bin))
+    return p.to_rows(p.table("j_circ"), "j_circ", s)
+
+
 def decompose(s: Snapshot, j_least: float = 0.8, j_most: float = 1.1, e_cut: float | None = None, per_bin: int = 500) -> Snapshot:
     """With `decomp`: 1 thin disc, 2 halo, 3 bulge, 4 thick disc, 5 pseudo-bulge.
 
