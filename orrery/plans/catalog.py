@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import quantity
 from ..operators import bridge, filters, gravity, groups, hist, neighbours, profile, render, sph, structure, transform
 from ..operators.profile import Profile
 from ..snapshot import Snapshot
 from ..sources import lattice
+from ..units import as_unit
 from .views import EVENTS_SQL, LINEITEM_SQL, events, items, plain_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +723,58 @@ def transform_hubble(spark, sf_dir):
     return _rounded(s.df.select("pidx", (F.col("x") + 0.02 * (F.col("vx") - 0.07 * F.col("x"))).alias("x"), "vx"))
 
 
+@query(f"{E}, f AS (SELECT pidx, family, row_number() OVER (PARTITION BY family ORDER BY pidx) - 1 AS place FROM e), h AS (SELECT c_custkey AS halo, CASE WHEN c_custkey % 2 = 0 THEN 'gas' ELSE 'dm' END AS family, (c_custkey - 1) * 3 AS o, 5 + c_custkey % 4 AS l FROM customer) SELECT halo, pidx FROM h JOIN f ON h.family = f.family AND place >= o AND place < o + l")
+def group_family_offsets(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    h = c.select(k.alias("halo"), F.when(k % 2 == 0, "gas").otherwise("dm").alias("family"), ((k - 1) * 3).alias("offset"), (F.lit(5) + k % 4).alias("length"))
+    return groups.from_family_offsets(plain_events(spark, sf_dir), h).members.select("halo", "pidx")
+
+
+@query(f"{E}, n AS (SELECT grp AS halo, count(*) AS n FROM e GROUP BY grp) SELECT halo, row_number() OVER (ORDER BY n DESC, halo) - 1 AS number FROM n")
+def group_numbering(spark, sf_dir):
+    s = plain_events(spark, sf_dir)
+    return groups.numbering(groups.from_column(s).sizes().select("halo", "n"), "length-order")
+
+
+@query(f"{E}, n AS (SELECT grp AS halo, count(*) AS n FROM e GROUP BY grp), k AS (SELECT halo, row_number() OVER (ORDER BY n DESC, halo) AS number FROM n) SELECT number AS halo, pidx FROM e JOIN k ON k.halo = e.grp")
+def group_renumbered(spark, sf_dir):
+    c = groups.from_column(plain_events(spark, sf_dir))
+    return groups.renumbered(c, groups.numbering(c.sizes().select("halo", "n"), "length-order-v1")).members.select("halo", "pidx")
+
+
+# ---- columns with units
+
+
+@query(_round_sql(f"{E}, q AS (SELECT pidx, sqrt(vx * vx + vy * vy + vz * vz) * 1e3 AS speed, x + 1e3 AS shifted, 5e-1 * mass * (vx * vx + vy * vy + vz * vz) AS energy FROM e WHERE x > 1e-1)", "speed, shifted, energy", "pidx"))
+def quantity_expressions(spark, sf_dir):
+    s = events(spark, sf_dir)
+    x, m = quantity.quantity(s, "x"), quantity.quantity(s, "mass")
+    speed = quantity.norm(quantity.vector(s, "vel"))
+    cols = {"speed": speed.in_units("m s^-1"), "shifted": x + as_unit("Mpc"), "energy": 0.5 * m * speed**2}
+    return _rounded(s.where(x > "100 pc").df.select("pidx", *[q.column.alias(n) for n, q in cols.items()]))
+
+
+@query(f"{E} SELECT pidx, round(sum(mass) OVER (ORDER BY pidx ROWS UNBOUNDED PRECEDING), 6) + 0e0 AS mass FROM e")
+def quantity_cumsum(spark, sf_dir):
+    return _rounded(quantity.cumsum(quantity.quantity(events(spark, sf_dir), "mass"), "mass"))
+
+
+@query(f"{E}, w AS (SELECT pidx, x, lag(x) OVER (ORDER BY pidx) AS a, lead(x) OVER (ORDER BY pidx) AS b FROM e) SELECT pidx, round((coalesce(b, x) - coalesce(a, x)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) / 2e0, 6) + 0e0 AS gradient FROM w")
+def quantity_gradient(spark, sf_dir):
+    return _rounded(quantity.gradient(quantity.quantity(events(spark, sf_dir), "x"), 2.0)[0])
+
+
+@query(f"{E}, w AS (SELECT pidx, lead(temp) OVER (ORDER BY pidx) - temp AS d FROM e) SELECT pidx, round(d, 6) + 0e0 AS diff FROM w WHERE d IS NOT NULL")
+def row_differences(spark, sf_dir):
+    return _rounded(quantity.difference(plain_events(spark, sf_dir), "temp"))
+
+
+@query(f"{E}, g AS (SELECT log10(rho) AS r, log10(temp) AS t FROM e WHERE family = 'gas'), b AS (SELECT min(r) AS r0, max(r) AS r1, min(t) AS t0, max(t) AS t1 FROM g) SELECT least(floor((r - r0) * (13 / (r1 - r0))), 12)::INT AS ix, least(floor((t - t0) * (11 / (t1 - t0))), 10)::INT AS iy, count(*)::DOUBLE AS h FROM g, b GROUP BY ALL")
+def density_temperature(spark, sf_dir):
+    return hist.density_temperature(plain_events(spark, sf_dir), nx=13, ny=11)
+
+
 # ---- larger tables
 
 _L = f"WITH e AS ({LINEITEM_SQL})"
