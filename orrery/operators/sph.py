@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..snapshot import ROW, Snapshot, components
+from ..snapshot import ROW, Snapshot, components, numbered
 from .filters import wrapped
 from .neighbours import XYZ, smoothing_neighbours
 
@@ -133,3 +133,74 @@ def sph_sum(s: Snapshot, what: str, name: str, k: int = 64, kern="cubic_spline")
         cross = [d[(i + 1) % 3] * v[(i + 2) % 3] - d[(i + 2) % 3] * v[(i + 1) % 3] for i in range(3)]
         return g.groupBy(ROW).agg(*[F.sum(scale * c).alias(f"{name}_curl_{x}") for c, x in zip(cross, XYZ, strict=True)])
     raise ValueError(what)
+
+
+#: Columns that depend on a snapshot's other rows: they are computed over the whole
+#: snapshot that a view comes from, so that they are the same in all views.
+_stable: dict[str, Callable[..., DataFrame]] = {}
+
+
+def stable(*columns: str):
+    """Registers a function of a snapshot that gives pidx and the named columns."""
+
+    def add(fn):
+        for c in columns:
+            _stable[c] = fn
+        return fn
+
+    return add
+
+
+def with_stable(s: Snapshot, *columns: str, **settings) -> Snapshot:
+    """A view with columns such as smooth, rho, v_mean_x, v_disp, v_curl_x or v_div.
+
+    Each function runs once over the whole snapshot and is joined by row; the smoothing
+    functions take `k` and `kern`.  Rows that it gives nothing for (no coordinates) get
+    null.  A name that isn't registered is a KeyError."""
+    lost = [c for c in columns if c not in _stable]
+    if lost:
+        raise KeyError(f"no stable columns {lost}")
+    whole, df = s.ancestor(), s.df
+    for fn in dict.fromkeys(_stable[c] for c in columns):
+        own = [c for c in columns if _stable[c] is fn]
+        df = df.drop(*own).join(fn(whole, **settings).select(ROW, *own), ROW, "left")
+    return replace(s, df=df, ragged={c: f for c, f in s.ragged.items() if c not in columns})
+
+
+@stable("smooth", "rho")
+def _smooth_and_rho(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return density(s, k, kern)
+
+
+@stable("v_mean_x", "v_mean_y", "v_mean_z")
+def _v_mean(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return sph_sum(s, "mean", "vel", k, kern).toDF(ROW, "v_mean_x", "v_mean_y", "v_mean_z")
+
+
+@stable("v_disp")
+def _v_disp(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return sph_sum(s, "dispersion", "vel", k, kern).toDF(ROW, "v_disp")
+
+
+@stable("v_div")
+def _v_div(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return sph_sum(s, "div", "vel", k, kern).toDF(ROW, "v_div")
+
+
+@stable("v_curl_x", "v_curl_y", "v_curl_z")
+def _v_curl(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return sph_sum(s, "curl", "vel", k, kern).toDF(ROW, "v_curl_x", "v_curl_y", "v_curl_z")
+
+
+@stable("vorticity_x", "vorticity_y", "vorticity_z")
+def _vorticity(s: Snapshot, k: int = 32, kern="cubic_spline") -> DataFrame:
+    return _v_curl(s, k, kern).toDF(ROW, "vorticity_x", "vorticity_y", "vorticity_z")
+
+
+@stable("iord_argsort")
+def row_order_of_ids(s: Snapshot) -> DataFrame:
+    """pidx (a place) and the row that stands there when rows are in the order of ids,
+    equal ids in the order of rows."""
+    ids = numbered(s.df.select(ROW, F.struct("iord", ROW).alias("__k")), "__k", "place").select("place", F.col(ROW).alias("iord_argsort"))
+    here = numbered(s.df.select(ROW), ROW, "place")
+    return here.join(ids, "place").select(ROW, "iord_argsort")

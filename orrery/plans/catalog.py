@@ -12,7 +12,7 @@ from ..functions import quantity
 from ..operators import bridge, filters, gravity, groups, hist, neighbours, profile, render, sph, structure, transform
 from ..operators.profile import Profile
 from ..snapshot import Snapshot
-from ..sources import lattice
+from ..sources import lattice, names
 from ..units import as_unit
 from .views import EVENTS_SQL, LINEITEM_SQL, events, items, plain_events
 
@@ -775,6 +775,23 @@ def density_temperature(spark, sf_dir):
     return hist.density_temperature(plain_events(spark, sf_dir), nx=13, ny=11)
 
 
+@query(f"{E}, i AS (SELECT row_number() OVER (ORDER BY grp, pidx) - 1 AS place, pidx FROM e), h AS (SELECT row_number() OVER (ORDER BY pidx) - 1 AS place, pidx FROM e) SELECT h.pidx, i.pidx AS iord_argsort FROM h JOIN i USING (place)")
+def row_order_of_ids(spark, sf_dir):
+    # user ids, which many rows share, stand in for the ids
+    s = plain_events(spark, sf_dir)
+    return sph.row_order_of_ids(s.with_column("iord", F.col("grp")))
+
+
+@query(f"{E}, t AS (SELECT CASE family WHEN 'gas' THEN 0 WHEN 'dm' THEN 1 ELSE 4 END AS t, family, iord, x, vy, mass, CASE WHEN family = 'star' THEN NULL ELSE rho END AS rho FROM e) SELECT row_number() OVER (ORDER BY t, iord) - 1 AS pidx, family, iord, round(x, 6) + 0e0 AS x, round(vy, 6) + 0e0 AS vy, mass, rho FROM t")
+def code_tables(spark, sf_dir):
+    """Events as the tables of a code, and back under the usual names."""
+    e = plain_events(spark, sf_dir).df
+    vec = lambda *c: F.array(*[F.col(k) for k in c])
+    cols = [vec("x", "y", "z").alias("Coordinates"), vec("vx", "vy", "vz").alias("Velocities"), F.col("iord").alias("ParticleIDs"), F.col("mass").alias("Masses")]
+    tables = {kind: e.where(F.col("family") == f).select(*cols, *([F.col("rho").alias("Densities")] if f != "star" else [])) for kind, f in (("PartType0", "gas"), ("PartType1", "dm"), ("PartType4", "star"))}
+    return _rounded(names.from_tables(spark, tables, "swift").df.select("pidx", "family", "iord", "x", "vy", "mass", "rho"))
+
+
 # ---- larger tables
 
 _L = f"WITH e AS ({LINEITEM_SQL})"
