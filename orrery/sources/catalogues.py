@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import glob
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.groups import Catalogue, from_column, from_ids
-from ..snapshot import ROW, Snapshot
+from ..operators.groups import Catalogue, from_column, from_ids, numbering, renumbered
+from ..snapshot import ROW, Snapshot, contiguous
 
 
 def tags(s: Snapshot, path: str, column: str = "grp", ignore: int | None = -1) -> Catalogue:
-    """Groups from a text file of the number of rows and then a group for each row."""
-    lines = s.spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\s+").alias("w"))
-    rows = lines.select(F.posexplode("w")).where("pos > 0").select((F.col("pos") - 1).cast("long").alias(ROW), F.col("col").cast("long").alias(column))
+    """Groups from a text file of the number of rows and then a group for each row, in any
+    lines.  The file is split by lines, and its words are numbered through."""
+    words = s.spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("w")).where("w <> ''")
+    rows = contiguous(words, "at").where("at > 0").select((F.col("at") - 1).alias(ROW), F.col("w").cast("long").alias(column))
     from dataclasses import replace
 
     t = replace(s, df=s.df.drop(column).join(rows, ROW, "left"))
@@ -24,20 +27,23 @@ def tags(s: Snapshot, path: str, column: str = "grp", ignore: int | None = -1) -
 def _members(batches):
     for pdf in batches:
         for content in pdf["content"]:
-            rows, at, lines = [], 0, bytes(content).decode().split("\n")
-            lines = [x for x in lines if x.strip()]
-            groups, at = int(lines[0].split()[0]), 1
-            for g in range(groups):
-                n = int(lines[at].split()[0])
-                ids = np.array([x.split()[0] for x in lines[at + 1 : at + 1 + n]], np.int64)
-                rows.append(pd.DataFrame({"halo": np.full(n, g, np.int64), "iord": ids}))
-                at += 1 + n
+            rows, at, g = [], 0, 0
+            lines = [x for x in bytes(content).decode().split("\n") if x.strip()]
+            while at < len(lines):
+                groups, at = int(lines[at].split()[0]), at + 1
+                for g in range(g, g + groups):
+                    n = int(lines[at].split()[0])
+                    ids = np.array([x.split()[0] for x in lines[at + 1 : at + 1 + n]], np.int64)
+                    rows.append(pd.DataFrame({"halo": np.full(n, g, np.int64), "iord": ids}))
+                    at += 1 + n
+                g += 1 if groups else 0
             yield pd.concat(rows) if rows else pd.DataFrame({"halo": np.zeros(0, np.int64), "iord": np.zeros(0, np.int64)})
 
 
 def member_lists(spark: SparkSession, path: str) -> DataFrame:
     """halo (from 0) and iord from text: the number of groups, then each group's size and
-    a line for each of its members, the id first."""
+    a line for each of its members, the id first; more such blocks may follow.  The file
+    is one value of one task."""
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members, "halo long, iord long")
 
 
@@ -55,13 +61,67 @@ def property_table(spark: SparkSession, path: str) -> DataFrame:
     return numbered(cols, "__i", "halo").drop("__i")
 
 
-def from_files(s: Snapshot, members: str, properties: str | None = None) -> Catalogue:
+def from_files(s: Snapshot, members: str, properties: str | None = None, numbers: str | None = None) -> Catalogue:
     """Groups by lists of ids and, if given, a table of properties; a property `hostHalo`
-    becomes the parent, by its place in the column `ID`."""
+    becomes the parent, by its place in the column `ID`.
+
+    `numbers` is a numbering of `groups.numbering` (`own` takes `ID`, lengths are the
+    column `npart` or else the lists'); None keeps places in the file."""
     halos = None
     if properties:
         halos = property_table(s.spark, properties)
         if {"hostHalo", "ID"} <= set(halos.columns):
             ids = halos.select(F.col("ID").alias("hostHalo"), F.col("halo").alias("parent"))
             halos = halos.join(ids, "hostHalo", "left")
-    return from_ids(s, member_lists(s.spark, members), halos)
+    c = from_ids(s, member_lists(s.spark, members), halos)
+    if numbers is None:
+        return c
+    known = c.halos if "npart" in c.halos.columns else c.halos.join(c.members.groupBy("halo").agg(F.count(F.lit(1)).alias("npart")), "halo", "left").na.fill(0, ["npart"])
+    if numbers == "own" and "ID" not in known.columns:
+        numbers = "file-order"
+    return renumbered(c, numbering(known, numbers, "npart"))
+
+
+def _beside(path: str, *ends: str) -> list[str]:
+    """Files whose names are a path and an ending."""
+    return [f for e in ends for f in sorted(glob.glob(f"{glob.escape(path)}{e}"))]
+
+
+def _ahf(s: Snapshot, path: str, **options) -> Catalogue | None:
+    members, halos = _beside(path, "*.AHF_particles"), _beside(path, "*.AHF_halos")
+    return from_files(s, members[0], halos[0] if halos else None, **({"numbers": "own"} | options)) if members else None
+
+
+def _amiga(s: Snapshot, path: str, **options) -> Catalogue | None:
+    found = _beside(path, ".amiga.grp")
+    return tags(s, found[0], "amiga_grp", **({"ignore": 0} | options)) if found else None
+
+
+def _hop(s: Snapshot, path: str, **options) -> Catalogue | None:
+    found = _beside(path, ".hop.grp")
+    return tags(s, found[0], "hop_grp", **({"ignore": -1} | options)) if found else None
+
+
+def _tags(s: Snapshot, path: str, **options) -> Catalogue | None:
+    found = _beside(path, ".grp")
+    return tags(s, found[0], **options) if found else None
+
+
+def _column(s: Snapshot, path: str, column: str = "grp", ignore: int | None = None) -> Catalogue | None:
+    return from_column(s, column, ignore) if s.has_key(column) else None
+
+
+#: Kinds of catalogues in the order in which they are tried.
+KINDS = {"ahf": _ahf, "amiga": _amiga, "hop": _hop, "tags": _tags, "column": _column}
+
+
+def halos(s: Snapshot, path: str = "", kind: str | None = None, **options) -> Catalogue:
+    """The catalogue beside a snapshot's path, or of its own column `grp`; with `kind`, of
+    that kind.  OSError if there is none, KeyError for a kind that isn't known."""
+    for name in KINDS if kind is None else (kind,):
+        if name != "column" and not path:
+            continue
+        found = KINDS[name](s, path, **options)
+        if found is not None:
+            return found
+    raise OSError(f"no groups beside {path!r}" + (f" of kind {kind}" if kind else ""))
