@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..snapshot import ROW, Snapshot, numbered
+from ..snapshot import ROW, Snapshot, numbered, ranged
 from ..units import NO_UNIT, Unit, UnitsError, as_unit
 
 #: Functions of columns: name to (function, rule from the units of its arguments to its own).
@@ -255,12 +255,11 @@ def cumsum(q: Quantity, name: str = "cumsum", df: DataFrame | None = None) -> Da
     Rows are split by ranges of pidx and summed within them; the sums of the ranges, one
     number each, are added up before.  No task sees all rows.  Nulls add nothing."""
     rows = (df or q.s.df).select(ROW, q.column.cast("double").alias("__v"))
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), ROW).withColumn("__p", F.spark_partition_id())
-    before = ranged.groupBy("__p").agg(F.coalesce(F.sum("__v"), F.lit(0.0)).alias("__t"))
+    parts = ranged(rows, ROW)
+    before = parts.groupBy("__p").agg(F.coalesce(F.sum("__v"), F.lit(0.0)).alias("__t"))
     before = before.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__b"))
     run = F.sum("__v").over(Window.partitionBy("__p").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn(name, F.coalesce(run, F.lit(0.0))).join(F.broadcast(before), "__p").select(ROW, (F.col(name) + F.col("__b")).alias(name))
+    return parts.withColumn(name, F.coalesce(run, F.lit(0.0))).join(F.broadcast(before), "__p").select(ROW, (F.col(name) + F.col("__b")).alias(name))
 
 
 def gradient(q: Quantity, spacing: Quantity | float = 1.0) -> tuple[DataFrame, Unit | None]:

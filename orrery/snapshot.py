@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .units import NO_UNIT, Unit, as_unit
@@ -381,19 +381,36 @@ class Snapshot:
         return self.df.agg(*[(F.sum(m * c) / F.sum(m)).alias(k) for k, c in cols.items()])
 
 
+def _literal(v) -> Column:
+    return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()]) if isinstance(v, Row) else F.lit(v)
+
+
+def ranged(df: DataFrame, by: str, parts: int | None = None) -> DataFrame:
+    """df with `__p`, the number of the range of `by` that a row lies in.
+
+    The ranges' least values (one for each shuffle partition) are found once and are literals
+    in the plan: a range is a function of the key alone, so that plans which use it twice, or
+    tasks that run again, agree.  Nulls lie in the first range, equal keys in one."""
+    n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(by).where(F.col(by).isNotNull()).repartitionByRange(n, by).withColumn("__p", F.spark_partition_id())
+    lows = keys.groupBy("__p").agg(F.min(by).alias("low")).orderBy("low").collect()[1:]
+    if not lows:
+        return df.withColumn("__p", F.lit(0))
+    marks = F.array(*[_literal(r["low"]) for r in lows]).cast(f"array<{df.schema[by].dataType.simpleString()}>")
+    return df.withColumn("__p", F.size(F.filter(marks, lambda m: m <= F.col(by))))
+
+
 def numbered(df: DataFrame, by: str, name: str, parts: int | None = None) -> DataFrame:
     """df with the rank (from 0) of each row in the order of `by`.
 
-    Rows are range-partitioned and numbered within their ranges; the ranges' sizes, one
-    number each, give the offsets.  No task sees all rows."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), by).sortWithinPartitions(by)
-    ranged = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    first = ranged.groupBy("__p").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-
-    offsets = first.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(offsets.drop("__n")), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before")
+    Rows are numbered within ranges; the ranges' sizes, one number each, give the offsets.
+    No task sees all rows."""
+    rows = ranged(df, by, parts)
+    # one row for each range
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    at = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1)
+    return at.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
 
 
 def contiguous(df: DataFrame, name: str) -> DataFrame:
@@ -403,8 +420,6 @@ def contiguous(df: DataFrame, name: str) -> DataFrame:
     rows = df.withColumn("__p", F.shiftright(at, 33)).withColumn("__i", at.bitwiseAND(F.lit((1 << 33) - 1)))
     # one row for each partition
     sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     return rows.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
 

@@ -176,3 +176,13 @@ def test_runs_of_ids(spark, s):
     unbound = spark.createDataFrame([(0, 80), (1, 100)], "at long, id long")
     more = groups.from_id_runs(s, halos, bound, unbound)
     assert {tuple(r) for r in more.members.collect()} == {(0, 5), (0, 6), (0, 7), (0, 20), (1, 0), (1, 1)}
+
+
+def test_ranks_of_many_rows(spark):
+    # more rows than a range partitioner samples; the extra column and the struct key are used twice
+    df = spark.range(6000).select((F.col("id") * 7919 % 6000).alias("k"), F.rand(1).alias("v")).repartition(5)
+    got = sn.numbered(df, "k", "at", 8).toPandas()
+    assert sorted(got["at"]) == list(range(6000)) and (got["k"] == got["at"]).all()
+    keyed = df.withColumn("s", F.struct((-F.col("k")).alias("a"), F.lit("x").alias("b")))
+    got = sn.numbered(keyed, "s", "at").select("k", "at").toPandas()
+    assert (got["at"] == 5999 - got["k"]).all()
