@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, compaction, decontam, html, langid, quality, toxicity, urlfilter, warc
+from . import bagminhash, bpe, compaction, decontam, divergence, html, langid, mixing, prefix_trie, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_near_duplicates": bagminhash.op9_near_duplicates,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_source_mix": mixing.op13_source_mix,
 }
 SQL = {
     "op4_warc_revisits": warc.OP4_SQL,
@@ -23,4 +26,7 @@ SQL = {
     "op7_url_filter": urlfilter.OP7_SQL,
     "op8_decontamination": decontam.OP8_SQL,
     "op9_near_duplicates": bagminhash.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_source_mix": mixing.OP13_SQL,
 }
