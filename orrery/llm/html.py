@@ -11,13 +11,14 @@ on all pages, so that their importance is near 0.  Few pages tell little: the im
 a node on m pages is taken as the mean of its own with a weight of m - 1 and that of the
 path on all hosts (mean over hosts, by m - 1) with a weight of `PRIOR`.  A path that no
 host has on two pages has importance 1.  Branches of low importance are removed from each
-page, whatever they are.
+page, whatever they are; the tree counts all elements, also those below.
 
 What a tree can't tell is decided by the page: elements that are no content by their tag,
-role, class or id are removed (reader comments differ from page to page).  A form that has
+role, class or id are removed (reader comments differ from page to page).  A class or id
+says so as a whole (`share-buttons`, not `share-price`).  A form that has
 more than half of the page's text is a wrapper and stays, and so does an element with such a
-name around the only `article` or `main`.  If no branch of a page is of low importance, as
-on a host of a kind of its own, and it has `article` or `main`, its text is what these hold.
+name around the only `article` or `main`.  If text in an `article` or `main` is left, the
+page's text is what these hold, whether or not branches were removed.
 
 The text of a block is its characters with references decoded and runs of white space
 made one space, trimmed; blocks are joined by line feeds in page order.  A null page is
@@ -65,15 +66,21 @@ _PARTS = set(
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation "
     "navi footer popup modal overlay widget widgets login signup signin search pagination pager toolbar skip masthead topbar copyright disclaimer paywall form discussion feedback".split()
 )
-#: Such names inside longer ones, with their separators left out.
-_INSIDE = re.compile(r"sidebar|comment(?!ar)|advert|sponsor|newsletter|breadcrumb|cookie|popup|pagination|disqus|masthead|subscri|navbar|dropdown")
-_BESIDE = {"has", "with", "no", "without"}
+#: Words beside them that only say where or how such a part is shown.
+_PLAIN = set(
+    "container box boxes wrapper wrap list block blocks bar area section item items inner outer left right top bottom main site page button buttons btn slot unit panel group row col column "
+    "content header title link links icon icons count text js wp global primary secondary module holder region zone label sticky fixed side entry post dropdown".split()
+)
+_ANY = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
+#: A name that consists of such words, one of _PARTS among them, with its separators left out.
+_NAMES = re.compile(rf"(?:{_ANY(_PLAIN)})*?(?:{_ANY(_PARTS)})(?:{_ANY(_PLAIN | _PARTS)})*")
+_HEADS = re.compile(rf"(?:{_ANY(_PLAIN)})*?header(?:{_ANY(_PLAIN | _PARTS)})*")
+_LETTERS = re.compile(r"[\s_\-:0-9]+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "note"}
 #: Opening one of these closes an open one of the others, up to a container.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"ul", "ol", "dl", "table", "menu", "select"}
 _DIGITS = re.compile(r"\d+")
-_SPLIT = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -98,11 +105,10 @@ def _facts(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool, bool]:
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                words = [w.lower() for w in _SPLIT.split(value) if w]
-                # a wrapper that says what lies beside the text holds the text itself
-                if _BESIDE.isdisjoint(words) and (not _PARTS.isdisjoint(words) or _INSIDE.search("".join(words))) and not (landmark and tag == "main"):
+                whole = [_LETTERS.sub("", w).lower() for w in value.split()]
+                if not (landmark and tag == "main") and any(map(_NAMES.fullmatch, whole)):
                     named = True
-                if not inside and ("header" in words and tag in ("div", "section", "table")):
+                if not inside and tag in ("div", "section", "table") and any(map(_HEADS.fullmatch, whole)):
                     named = True
                 if value and (not name or key == "class"):
                     name = ("." if key == "class" else "#") + _DIGITS.sub("0", value.split()[0] if value.split() else "")
@@ -130,16 +136,16 @@ Text = tuple[str, list[Node]]
 
 def blocks(page: str) -> tuple[list[Text], list[Node]]:
     """Texts of a page in order, each with the elements it lies in, and all elements with
-    their children's labels; without those that are no content by their tag."""
+    their children's labels."""
     root = Node("html", "html", "", False, False, False)
     stack, texts, nodes, held = [root], [], [root], []
     at, end = 0, len(page)
 
     def close() -> None:
         if held:
-            if not stack[-1].dropped and (text := " ".join("".join(held).split())):
+            if text := " ".join("".join(held).split()):
                 texts.append((text, stack[1:]))
-                for n in stack:
+                for n in stack if not stack[-1].dropped else ():
                     n.size += len(text)
             held.clear()
 
@@ -150,7 +156,7 @@ def blocks(page: str) -> tuple[list[Text], list[Node]]:
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not stack[-1].dropped:
+        if stop > at:
             piece = page[at:stop]
             held.append(unescape(piece) if "&" in piece else piece)
         if not m:
@@ -158,7 +164,7 @@ def blocks(page: str) -> tuple[list[Text], list[Node]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not stack[-1].dropped:
+            if m[0].startswith("<![CDATA["):
                 held.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
         tag = tag.lower()
@@ -212,8 +218,7 @@ def blocks(page: str) -> tuple[list[Text], list[Node]]:
             node.named, node.dropped = False, up.dropped
         up.children.append(label)
         stack.append(node)
-        if not node.dropped:
-            nodes.append(node)
+        nodes.append(node)
     close()
     return texts, nodes
 
@@ -224,7 +229,8 @@ def _key(text: str) -> int:
 
 
 def content(texts: list[Text], nodes: list[Node]) -> list[Text]:
-    """The texts that lie in no element which is no content by its role, class or id."""
+    """The texts that lie in no element which is no content by its tag, role, class or id."""
+    texts, nodes = [(t, inside) for t, inside in texts if not (inside and inside[-1].dropped)], [n for n in nodes if not n.dropped]
     total = nodes[0].size
     lies = lambda inside: any(n.named for n in inside)
     # without a landmark outside of such elements, those around one are wrappers
@@ -318,9 +324,8 @@ def main_text(page: str | None, low: frozenset | set | Sequence[int] = ()) -> st
     texts = content(texts, nodes)
     if flagged:
         texts = [(t, inside) for t, inside in texts if not any(n.path in flagged for n in inside)]
-    elif any(n.landmark for n in nodes):
-        texts = [(t, inside) for t, inside in texts if inside and inside[-1].landmark]
-    return "\n".join(t for t, _ in texts)
+    held = [(t, inside) for t, inside in texts if inside and inside[-1].landmark]
+    return "\n".join(t for t, _ in held or texts)
 
 
 def _extract(names: list[str]):
