@@ -12,7 +12,10 @@ or writer leaves behind is in no manifest and goes with `vacuum`.
 
 Rows are kept as they are, repeated rows and nulls included.  An empty arrival adds no
 shard; a store without shards reads as an empty table of the arrival's columns.  Arrivals
-may bring further columns: a version is read with the columns of all its shards.
+may bring further columns: a version is read with the columns of all its shards.  An arrival
+whose column has another type than the store's, or a name that differs from it in the case
+of its letters only, is refused with a TypeError before anything is committed.  Null, empty
+and long texts are values like others.
 """
 
 from __future__ import annotations
@@ -47,6 +50,22 @@ class Manifest:
     shards: tuple[Shard, ...]
 
 
+def _plain(kind: T.DataType) -> str:
+    """A type without what shards may differ in: nullability and comments."""
+    return kind.simpleString()
+
+
+def _joined(now: Manifest, new: T.StructType) -> T.StructType:
+    """The columns of a version and of an arrival; TypeError if they don't go together."""
+    known = T.StructType.fromJson(json.loads(now.schema)) if now.schema else T.StructType()
+    there = {f.name.lower(): f for f in known}
+    for f in new:
+        old = there.get(f.name.lower())
+        if old is not None and (old.name != f.name or _plain(old.dataType) != _plain(f.dataType)):
+            raise TypeError(f"column {f.name} {_plain(f.dataType)} of the arrival is {old.name} {_plain(old.dataType)} in the store")
+    return T.StructType([*known, *[f for f in new if f.name.lower() not in there]])
+
+
 class ShardStore:
     """Shards below a folder that all executors reach."""
 
@@ -103,12 +122,12 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Adds df's rows as shards; the new version."""
+        _joined(self.manifest(), df.schema)
         shards = tuple(self._write(df))
         while True:
             now = self.manifest()
-            known = T.StructType.fromJson(json.loads(now.schema)) if now.schema else T.StructType()
-            names = {f.name for f in known}
-            schema = T.StructType([*known, *[f for f in df.schema if f.name not in names]])
+            # another writer may have brought columns meanwhile
+            schema = _joined(now, df.schema)
             try:
                 self._commit(Manifest(now.version + 1, schema.json(), now.shards + shards))
                 return now.version + 1
