@@ -7,13 +7,14 @@ lists URLs, which are compared in their canonical form (`canonical`); it counts
 entry fits.
 
 A URL's keys are its canonical form and its host suffixes with its path cut behind each
-`/`; an entry's key is its host with its path cut behind the last `/`.  The Bloom filter,
+`/`; an entry's key is its host with its path cut behind the last `/`.  No key is made with
+more labels or slashes than the entries have.  The Bloom filter,
 whose size grows with the lists alone, lets the few keys pass that may be listed; a hash
 join with the lists removes its false positives and compares the rest of the path.  URLs
 without a possible hit never reach the join, and each different URL reaches it once.
 
 A null URL, and one without `://`, has an empty host and path, so that no entry fits.
-URLs of any length are judged whole; each `/` in a path makes keys.  Repeated rows get a
+URLs of any length are judged whole.  Repeated rows get a
 verdict each.  Columns of the input with the name of an output are left out.  Empty lists or
 tables give the default verdict or no rows.
 """
@@ -127,15 +128,20 @@ def _unescaped(part: Column) -> Column:
 
 
 def _without_dots(path: Column) -> Column:
-    """A path without . and .. segments."""
+    """A path without . and .. segments, put together from its end; `up` counts segments
+    that are still to be left out."""
     segments = F.split(path, "/", -1)
-    dots = lambda x: x.isin(".", "..")
-    start = F.array(F.lit("")).cast("array<string>")
+    closed = F.element_at(segments, -1).isin(".", "..")
+    start = F.struct(F.lit(0).alias("up"), F.when(closed, "/").otherwise("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        out = F.when(x.isin(".", "..") | (acc["up"] > 0), acc["out"]).otherwise(F.concat(F.lit("/"), x, acc["out"]))
+        up = F.when(x == "..", acc["up"] + 1).when((x == ".") | (acc["up"] == 0), acc["up"]).otherwise(acc["up"] - 1)
+        return F.struct(up.alias("up"), out.alias("out"))
+
     # the first segment is the empty one before the first /
-    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(acc)
-    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), start, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
-    closed = F.when(dots(F.element_at(segments, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(closed, "/")
+    plain = F.aggregate(F.reverse(F.slice(segments, F.lit(2), F.size(segments))), start, step)["out"]
+    return F.when(F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)")), plain).otherwise(path)
 
 
 def canonical(url: Column) -> Column:
@@ -153,17 +159,23 @@ def canonical(url: Column) -> Column:
     return F.when((scheme != "") & (host != ""), made)
 
 
-def _cuts(path: Column) -> Column:
-    """The empty path and a path cut behind each of its slashes."""
-    segments = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))))
+def _slashes(path: Column) -> Column:
+    return F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def _cuts(path: Column, most: int) -> Column:
+    """The empty path and a path cut behind each of its first `most` slashes."""
+    upto = lambda i: F.concat(F.call_function("substring_index", path, F.lit("/"), i), F.lit("/"))
+    return F.transform(F.sequence(F.lit(0), F.least(_slashes(path), F.lit(most))), lambda i: F.when(i == 0, "").otherwise(upto(i)))
 
 
-def _keys(host: Column, path: Column, url: Column | None) -> Column:
-    """Each host suffix with each cut of the path, and the canonical URL behind a mark."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rules = F.when(host != "", F.flatten(F.transform(hosts, lambda h: F.transform(_cuts(path), lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
+def _keys(host: Column, path: Column, url: Column | None, labels: int, slashes: int) -> Column:
+    """Each host suffix of at most so many labels with each cut of the path behind at most so
+    many slashes, and the canonical URL behind a mark."""
+    dots = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit("")))
+    # negative counts of substring_index take from the end
+    hosts = F.transform(F.sequence(F.lit(1), F.least(dots + 1, F.lit(max(1, labels)))), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    rules = F.when(host != "", F.flatten(F.transform(hosts, lambda h: F.transform(_cuts(path, slashes), lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
     return rules if url is None else F.concat(rules, F.when(url.isNotNull(), F.array(F.concat(F.lit("="), url))).otherwise(F.array().cast("array<string>")))
 
 
@@ -191,7 +203,9 @@ def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str =
     exact = exact.groupBy("key", "rule", "prefix").agg(F.min("verdict").alias("verdict"))
     url = F.col(f"`{url_col}`").cast("string")
     src = df.select(F.struct(*kept).alias("row"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    src = src.withColumn("keys", _keys(host, path, canonical(F.col("url")) if urls is not None else None))
+    dots = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit("")))
+    most = listed.agg(F.max(dots), F.max(_slashes(path))).first()
+    src = src.withColumn("keys", _keys(host, path, canonical(F.col("url")) if urls is not None else None, (most[0] or 0) + 1, most[1] or 0))
     bloom = build_filter(exact.select(F.xxhash64("key").alias("h")), "h", max_filter_bytes)
     if bloom is not None:
         shared = spark.sparkContext.broadcast((bloom.blocks, bloom.bits_per_key))
