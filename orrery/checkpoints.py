@@ -1,24 +1,35 @@
-"""Checkpoints in the folder that all executors share."""
+"""Checkpoints and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors reach.  Where it is unset
+    a local session (as in tests) gets one of its own; a cluster has to name it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + os.path.join(tempfile.gettempdir(), f"orrery-{os.getpid()}")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, so that what follows neither repeats it nor
-    depends on the executors that made it.  Where the setting is missing a local session
-    (as in tests) gets a folder of its own; a cluster has to name one."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
-    if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = "file://" + os.path.join(tempfile.gettempdir(), f"orrery-{os.getpid()}")
-        sc.setCheckpointDir(at)
+    """df written to the shared folder, so that what follows neither repeats it nor depends
+    on the executors that made it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

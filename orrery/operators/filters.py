@@ -18,6 +18,7 @@ from ..snapshot import Snapshot, family_name
 from ..units import Unit
 
 Quantity = float | str | Unit
+Corner = tuple[Column, Column, Column]
 
 
 class Filter:
@@ -35,10 +36,19 @@ class Filter:
     def __invert__(self) -> Filter:
         return Not(self)
 
-    def touches_cells(self, centres: tuple[Column, Column, Column], size: Column | float) -> Column:
-        """Whether the region may touch cubic cells; true where that isn't known."""
+    def touches(self, s: Snapshot | None, lo: Corner, hi: Corner) -> Column:
+        """Whether rows between two corners (closed) may be in the region; true where that
+        isn't known.  Without a snapshot numbers are plain and space has no period."""
         return F.lit(True)
 
+    def covers(self, s: Snapshot | None, lo: Corner, hi: Corner) -> Column:
+        """Whether all rows between two corners are in the region; false where that isn't known."""
+        return F.lit(False)
+
+    def touches_cells(self, centres: Corner, size: Column | float, s: Snapshot | None = None) -> Column:
+        """Whether the region may touch cubic cells."""
+        return self.touches(s, tuple(c - size / 2 for c in centres), tuple(c + size / 2 for c in centres))
+
 
 def wrapped(d: Column, box: float | None) -> Column:
     """A coordinate difference through one minimum-image step."""
@@ -47,8 +57,26 @@ def wrapped(d: Column, box: float | None) -> Column:
     return F.when(d > box / 2, d - box).when(d < -box / 2, d + box).otherwise(d)
 
 
-def _box(s: Snapshot) -> float | None:
-    return s.properties.get("boxsize")
+def _box(s: Snapshot | None) -> float | None:
+    return None if s is None else s.properties.get("boxsize")
+
+
+def _number(s: Snapshot | None, q: Quantity) -> float:
+    return float(q) if s is None else s.value_in(q, "pos")
+
+
+def _near(lo: Corner, hi: Corner, at, box: float | None) -> list[Column]:
+    """How far, along each axis, a point is from the nearest image of an interval."""
+    gap = lambda a, b, v: F.greatest(a - v, F.lit(v) - b, F.lit(0.0))
+    return [F.least(*[gap(a, b, float(v) + k * (box or 0.0)) for k in ((0, -1, 1) if box else (0,))]) if box else gap(a, b, float(v)) for a, b, v in zip(lo, hi, at, strict=True)]
+
+
+def _far(lo: Corner, hi: Corner, at) -> list[Column]:
+    return [F.greatest(b - float(v), F.lit(float(v)) - a) for a, b, v in zip(lo, hi, at, strict=True)]
+
+
+#: What is covered is so by more than rounding.
+_SURE = 1 - 1e-12
 
 
 @dataclass(frozen=True)
@@ -67,8 +95,11 @@ class And(Filter):
     def column(self, s):
         return self.a.column(s) & self.b.column(s)
 
-    def touches_cells(self, centres, size):
-        return self.a.touches_cells(centres, size) & self.b.touches_cells(centres, size)
+    def touches(self, s, lo, hi):
+        return self.a.touches(s, lo, hi) & self.b.touches(s, lo, hi)
+
+    def covers(self, s, lo, hi):
+        return self.a.covers(s, lo, hi) & self.b.covers(s, lo, hi)
 
 
 @dataclass(frozen=True)
@@ -79,8 +110,11 @@ class Or(Filter):
     def column(self, s):
         return self.a.column(s) | self.b.column(s)
 
-    def touches_cells(self, centres, size):
-        return self.a.touches_cells(centres, size) | self.b.touches_cells(centres, size)
+    def touches(self, s, lo, hi):
+        return self.a.touches(s, lo, hi) | self.b.touches(s, lo, hi)
+
+    def covers(self, s, lo, hi):
+        return self.a.covers(s, lo, hi) | self.b.covers(s, lo, hi)
 
 
 @dataclass(frozen=True)
@@ -93,6 +127,12 @@ class Not(Filter):
     def column(self, s):
         return ~F.coalesce(self.a.column(s), F.lit(False))
 
+    def touches(self, s, lo, hi):
+        return ~self.a.covers(s, lo, hi)
+
+    def covers(self, s, lo, hi):
+        return ~self.a.touches(s, lo, hi)
+
 
 @dataclass(frozen=True)
 class Sphere(Filter):
@@ -112,10 +152,13 @@ class Sphere(Filter):
         bounds = [(c > x - r) & (c < x + r) for c, x in zip(s.vector("pos"), self.cen, strict=True)]
         return reduce(Column.__and__, bounds) & inside
 
-    def touches_cells(self, centres, size):
-        r = float(self.radius)
-        near = [F.greatest(F.abs(c - float(x)) - size / 2, F.lit(0.0)) for c, x in zip(centres, self.cen, strict=True)]
-        return sum(v * v for v in near) <= r * r
+    def touches(self, s, lo, hi):
+        r = _number(s, self.radius)
+        return sum(v * v for v in _near(lo, hi, self.cen, _box(s))) <= r * r
+
+    def covers(self, s, lo, hi):
+        r = _number(s, self.radius)
+        return F.lit(False) if _box(s) else sum(v * v for v in _far(lo, hi, self.cen)) < r * r * _SURE
 
 
 @dataclass(frozen=True)
@@ -131,7 +174,7 @@ class Cuboid(Filter):
     z2: Quantity | None = None
 
     def bounds(self, s) -> list[tuple[float, float]]:
-        num = lambda q: s.value_in(q, "pos")
+        num = lambda q: _number(s, q)
         x1 = num(self.x1)
         y1 = x1 if self.y1 is None else num(self.y1)
         z1 = x1 if self.z1 is None else num(self.z1)
@@ -150,10 +193,17 @@ class Cuboid(Filter):
                 parts.append((c > lo) & (c < hi))
         return reduce(Column.__and__, parts)
 
-    def touches_cells(self, centres, size):
-        lo = [float(v) for v in (self.x1, self.y1 if self.y1 is not None else self.x1, self.z1 if self.z1 is not None else self.x1)]
-        hi = [-v if q is None else float(q) for v, q in zip(lo, (self.x2, self.y2, self.z2), strict=True)]
-        return reduce(Column.__and__, [(c + size / 2 >= a) & (c - size / 2 <= b) for c, a, b in zip(centres, lo, hi, strict=True)])
+    def touches(self, s, lo, hi):
+        sides = self.bounds(s)
+        if not _box(s):
+            return reduce(Column.__and__, [(b >= x1) & (a <= x2) for a, b, (x1, x2) in zip(lo, hi, sides, strict=True)])
+        near = _near(lo, hi, [(x1 + x2) / 2 for x1, x2 in sides], _box(s))
+        return reduce(Column.__and__, [d <= (x2 - x1) / 2 for d, (x1, x2) in zip(near, sides, strict=True)])
+
+    def covers(self, s, lo, hi):
+        if _box(s):
+            return F.lit(False)
+        return reduce(Column.__and__, [(a > x1) & (b < x2) for a, b, (x1, x2) in zip(lo, hi, self.bounds(s), strict=True)])
 
 
 @dataclass(frozen=True)
@@ -168,6 +218,16 @@ class Disc(Filter):
         r, h = s.value_in(self.radius, "pos"), s.value_in(self.height, "pos")
         return (x * x + y * y < r * r) & (F.abs(z) < h)
 
+    def touches(self, s, lo, hi):
+        r, h = _number(s, self.radius), _number(s, self.height)
+        x, y, z = _near(lo, hi, self.cen, _box(s))
+        return (x * x + y * y <= r * r) & (z <= h)
+
+    def covers(self, s, lo, hi):
+        r, h = _number(s, self.radius), _number(s, self.height)
+        x, y, z = _far(lo, hi, self.cen)
+        return F.lit(False) if _box(s) else (x * x + y * y < r * r * _SURE) & (z < h * _SURE)
+
 
 @dataclass(frozen=True)
 class BandPass(Filter):

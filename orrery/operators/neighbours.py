@@ -56,11 +56,102 @@ def ball_join(queries: DataFrame, points: DataFrame, radius: float | Column, lar
     return out.where(F.col("d2") <= F.col("__r") * F.col("__r")).drop("__r", *[f"__c{c}" for c in XYZ])
 
 
-def ball_counts(s: Snapshot, radius: float) -> DataFrame:
-    """Rows within a radius of each row, itself among them."""
-    pts = s.df.select(ROW, *[s.col(c).alias(c) for c in XYZ])
-    hit = ball_join(pts, pts.select(*XYZ), radius, radius, s.properties.get("boxsize"))
-    return hit.groupBy(F.col(f"q_{ROW}").alias(ROW)).agg(F.count(F.lit(1)).alias("n"))
+def ball_counts(s: Snapshot, radius: float, block_points: int | None = None) -> DataFrame:
+    """Rows within a radius of each row (closed), itself among them.
+
+    No pair of rows is made: balls go to the blocks that they touch, and there whole
+    branches of a k-d tree are counted or left out against whole branches of balls; only
+    leaves that a surface cuts compare points.  What is shuffled grows with the balls and the
+    blocks that they touch, not with the pairs.  Rows without coordinates have no count.  In
+    a periodic box the radius is less than half a box, else pairs are made."""
+    box = s.properties.get("boxsize")
+    pts = s.df.select(ROW, *[s.col(c).cast("double").alias(c) for c in XYZ])
+    if box and 2 * radius >= box:
+        hit = ball_join(pts, pts.select(*XYZ), radius, radius, box)
+        return hit.groupBy(F.col(f"q_{ROW}").alias(ROW)).agg(F.count(F.lit(1)).alias("n"))
+    pts = _placed(pts)
+    at = cuts(pts, block_points or BLOCK_POINTS)
+    side = lambda k: pts.select(F.col(ROW).cast("long").alias("id"), *XYZ, F.lit(k).alias("side"), F.lit(float(radius)).alias("r"))
+    cols = "id long, x double, y double, z double, side int, r double, block long"
+    balls = side(0).mapInPandas(_dealt(at, False, box, False), cols)
+    held = side(1).mapInPandas(_dealt(at, True, None), cols)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        n = counts_within(q[list(XYZ)].to_numpy(float), p[list(XYZ)].to_numpy(float), radius)
+        return pd.DataFrame({ROW: q["id"].to_numpy(), "n": n})
+
+    return balls.unionByName(held).groupBy("block").applyInPandas(count, f"{ROW} long, n long").groupBy(ROW).agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Points in the order of a balanced k-d tree: node k of level l holds the points
+    from (k n >> l) up to (k + 1) n >> l, within lo[l][k] and hi[l][k]."""
+
+    order: np.ndarray
+    lo: list[np.ndarray]
+    hi: list[np.ndarray]
+
+    @property
+    def depth(self) -> int:
+        return len(self.lo) - 1
+
+    def begin(self, level: int, node: np.ndarray) -> np.ndarray:
+        return node * len(self.order) >> level
+
+
+def tree(xyz: np.ndarray, leaf: int) -> Tree:
+    """Cut at medians along the widest axis until nodes have at most `leaf` points."""
+    n = len(xyz)
+    depth, order = max(0, math.ceil(math.log2(n / leaf))), np.arange(n)
+    for level in range(depth):
+        for k in range(1 << level):
+            a, m, b = k * n >> level, (2 * k + 1) * n >> level + 1, (k + 1) * n >> level
+            rows = order[a:b]
+            part = xyz[rows, np.ptp(xyz[rows], axis=0).argmax()]
+            order[a:b] = rows[np.argpartition(part, m - a)]
+    first = [np.arange(1 << level) * n >> level for level in range(depth + 1)]
+    return Tree(order, *[[f.reduceat(xyz[order], at, axis=0) for at in first] for f in (np.minimum, np.maximum)])
+
+
+def counts_within(q: np.ndarray, p: np.ndarray, r: float) -> np.ndarray:
+    """How many points p lie at most r from each point q."""
+    out = np.zeros(len(q), np.int64)
+    if not len(q) or not len(p):
+        return out
+    a, b, r2 = tree(q, LEAF), tree(p, LEAF), r * r
+    # what whole branches add, where it begins and ends
+    more = np.zeros(len(q) + 1, np.int64)
+    i = j = np.zeros(1, np.int64)
+    last = max(a.depth, b.depth)
+    for step in range(last + 1):
+        u, v = min(step, a.depth), min(step, b.depth)
+        gap = np.maximum(np.maximum(b.lo[v][j] - a.hi[u][i], a.lo[u][i] - b.hi[v][j]), 0)
+        far = np.maximum(b.hi[v][j] - a.lo[u][i], a.hi[u][i] - b.lo[v][j])
+        near2, far2 = ((d * d) @ np.ones(3) for d in (gap, far))
+        inside = far2 <= r2 * (1 - 1e-12)
+        size = b.begin(v, j[inside] + 1) - b.begin(v, j[inside])
+        np.add.at(more, a.begin(u, i[inside]), size)
+        np.subtract.at(more, a.begin(u, i[inside] + 1), size)
+        open_ = ~inside & (near2 <= r2 * (1 + 1e-12))
+        i, j = i[open_], j[open_]
+        if step < a.depth:
+            i, j = np.concatenate([2 * i, 2 * i + 1]), np.concatenate([j, j])
+        if step < b.depth:
+            i, j = np.concatenate([i, i]), np.concatenate([2 * j, 2 * j + 1])
+    x, y = q[a.order], p[b.order]
+    span = np.arange(LEAF)
+    for k in range(0, len(i), 256):
+        m, n = (t.begin(t.depth, node[k : k + 256])[:, None] + span for t, node in ((a, i), (b, j)))
+        there = [at < t.begin(t.depth, node[k : k + 256] + 1)[:, None] for t, node, at in ((a, i, m), (b, j, n))]
+        m, n = np.minimum(m, len(x) - 1), np.minimum(n, len(y) - 1)
+        d = [x[m, c][:, :, None] - y[n, c][:, None, :] for c in range(3)]
+        hit = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= r2) & there[0][:, :, None] & there[1][:, None, :]
+        np.add.at(out, m[there[0]], hit.sum(axis=2)[there[0]])
+    result = np.empty_like(out)
+    result[a.order] = out + np.cumsum(more[:-1])
+    return result
 
 
 def in_sphere(s: Snapshot, centre, radius: float) -> Snapshot:
@@ -146,6 +237,13 @@ def nearest(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int, within: np.nd
     """The k nearest points p of each query q (at most as far as `within`): numbers of
     queries, ids of points and squared distances; ties by the least id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # of points at one place no query gets more than the k of least ids
+    place = np.lexsort((ids, *p.T))
+    new = np.ones(len(p), bool)
+    new[1:] = (p[place[1:]] != p[place[:-1]]).any(axis=1)
+    at = np.arange(len(p))
+    keep = place[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+    p, ids = p[keep], ids[keep]
     leaves = _leaves(p, LEAF)
     low, high = (np.array([f(p[r], axis=0) for r in leaves]).reshape(-1, 3) for f in (np.min, np.max))
     count = np.array([len(r) for r in leaves], np.int64)
@@ -180,9 +278,9 @@ def _squares(x: np.ndarray, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def _dealt(at: Cuts, own: bool, box: float | None):
-    """Rows with their block; queries of the second round with all blocks that they touch,
-    as images moved by one box length at most."""
+def _dealt(at: Cuts, own: bool, box: float | None, done: bool = True):
+    """Rows with their block; balls with all blocks that they touch (but their own, if that
+    is done), as images moved by one box length at most."""
     shifts = np.array([(a, b, c) for a in (0, -1, 1) for b in (0, -1, 1) for c in (0, -1, 1)], float) * box if box else np.zeros((1, 3))
 
     def run(batches):
@@ -194,8 +292,7 @@ def _dealt(at: Cuts, own: bool, box: float | None):
             for s in shifts:
                 ball, block = at.touched(xyz + s, pdf["r"].to_numpy(float))
                 part = pdf.iloc[ball].assign(block=block, **{c: xyz[ball, n] + s[n] for n, c in enumerate(XYZ)})
-                # a query's own block is done
-                yield part if s.any() else part[at.block(xyz[ball]) != block]
+                yield part if s.any() or not done else part[at.block(xyz[ball]) != block]
 
     return run
 

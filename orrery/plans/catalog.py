@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed, fresh_dir
 from ..functions import quantity
 from ..operators import bridge, filters, gravity, groups, hist, neighbours, profile, render, sph, structure, transform
 from ..operators.profile import Profile
-from ..snapshot import Snapshot
-from ..sources import lattice, names
+from ..snapshot import Snapshot, snapshot
+from ..sources import cells, lattice, names, spatial
 from ..units import as_unit
 from .views import EVENTS_SQL, LINEITEM_SQL, events, items, plain_events
 
@@ -127,6 +128,42 @@ def _filter(name: str) -> None:
 for _name in FILTERS:
     _filter(_name)
 
+# ---- regions of stored snapshots
+
+
+def _indexed(name: str) -> None:
+    f, where, box = FILTERS[name]
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = fresh_dir(spark, "store")
+        spatial.write(events(spark, sf_dir, box), at, 2000)
+        return spatial.open_store(spark, at).where(f).df.select("pidx", "family")
+
+    fn.__name__ = f"filter_{name}_indexed"
+    query(f"{E} SELECT pidx, family FROM e WHERE {where}")(fn)
+
+
+for _name in ("sphere", "sphere_periodic", "cuboid", "annulus"):
+    _indexed(_name)
+
+_GRID_CELL = "cast(floor((x + 25e1) / 5e1) as bigint) + 10 * cast(floor((y + 25e1) / 5e1) as bigint) + 100 * cast(floor((z + 25e1) / 5e1) as bigint)"
+
+
+@query(f"{E}, c AS (SELECT pidx, {_GRID_CELL} AS cell, x, y, z FROM e), k AS (SELECT DISTINCT cell, cell % 10 * 5e1 - 225e0 AS a, cell // 10 % 10 * 5e1 - 225e0 AS b, cell // 100 * 5e1 - 225e0 AS c FROM c) SELECT pidx FROM c JOIN k ON c.cell = k.cell WHERE power(greatest(abs(a - 1e1) - 25e0, 0e0), 2) + power(greatest(abs(b) - 25e0, 0e0), 2) + power(greatest(abs(k.c + 3e1) - 25e0, 0e0), 2) <= 49e2")
+def region_cells(spark, sf_dir):
+    """Events in the order of a grid's cells, and the whole cells that a sphere touches."""
+    s = plain_events(spark, sf_dir)
+    placed = s.df.withColumn("cell", F.expr(_GRID_CELL)).withColumnRenamed("pidx", "event")
+    counts = checkpointed(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    at = cells.table(counts, ["cell"]).withColumns({"x": F.col("cell") % 10 * 50.0 - 225.0, "y": F.floor(F.col("cell") / 10) % 10 * 50.0 - 225.0, "z": F.floor(F.col("cell") / 100) * 50.0 - 225.0})
+    order = F.row_number().over(Window.partitionBy("cell").orderBy("event")) - 1
+    rows = placed.join(at.select("cell", "first"), "cell").withColumn("pidx", F.col("first") + order)
+    path = fresh_dir(spark, "cells")
+    rows.repartitionByRange("pidx").sortWithinPartitions("pidx").write.parquet(path)
+    stored = snapshot(spark.read.parquet(path))
+    return cells.take_region(stored, at, filters.Sphere(70.0, (10.0, 0.0, -30.0)), 50.0).df.select(F.col("event").alias("pidx"))
+
+
 # ---- views and set operations
 
 
@@ -575,11 +612,6 @@ def gravity_all(spark, sf_dir):
     return _rounded(gravity.all_direct(plain_events(spark, sf_dir), 2.0).select("pidx", "phi"))
 
 
-# the same under their longer names
-for _name in "ball_counts ball_counts_periodic nearest_neighbours smoothing_length sph_density sph_mean sph_dispersion sph_divergence sph_curl gravity_all".split():
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
-
-
 # ---- transformations and structure
 
 
@@ -676,10 +708,12 @@ def physical_units(spark, sf_dir):
     return _rounded(events(spark, sf_dir).physical_units("pc", "m s^-1", "Msol").df.select("pidx", "x", "vx", "temp"))
 
 
-@query("WITH r AS (SELECT unnest(range(600))::BIGINT AS pidx) SELECT pidx, (pidx % 10) + 5e-1 AS x, ((pidx // 10) % 12) + 5e-1 AS y, (pidx // 120) + 5e-1 AS z FROM r")
+@query("SELECT event_id AS pidx, (event_id % 10) + 5e-1 AS x, ((event_id // 10) % 12) + 5e-1 AS y, (event_id // 120) + 5e-1 AS z, value * 1e-2 AS dx FROM events")
 def lattice_places(spark, sf_dir):
+    """Events as displacements of the places that their numbers have on a lattice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "pidx")
     x, y, z = lattice.places(F.col("pidx"), 10, 12, 5)
-    return spark.range(600).withColumnRenamed("id", "pidx").select("pidx", x.alias("x"), y.alias("y"), z.alias("z"))
+    return e.select("pidx", x.alias("x"), y.alias("y"), z.alias("z"), (F.col("value") * 1e-2).alias("dx"))
 
 
 @query(f"{E}, h AS (SELECT c_custkey AS halo, (c_custkey - 1) * 7 AS o, 10 + c_custkey % 5 AS l FROM customer) SELECT halo, pidx FROM h JOIN e ON pidx >= o AND pidx < o + l")
