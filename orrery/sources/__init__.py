@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..snapshot import Snapshot
-from . import ascii_table, gadget, hdf5, parquet, tipsy
+from . import ascii_table, gadget, hdf5, parquet, ramses, tipsy
 
-FORMATS = {"parquet": parquet, "gadget": gadget, "hdf5": hdf5, "ascii": ascii_table, "tipsy": tipsy}
+FORMATS = {"ramses": ramses, "parquet": parquet, "gadget": gadget, "hdf5": hdf5, "ascii": ascii_table, "tipsy": tipsy}
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, **options) -> Snapshot:
