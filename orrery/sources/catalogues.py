@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import glob
+import os
+import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.groups import Catalogue, from_column, from_ids, numbering, renumbered
 from ..snapshot import ROW, Snapshot, contiguous
+from . import group_files
 
 
 def tags(s: Snapshot, path: str, column: str = "grp", ignore: int | None = -1) -> Catalogue:
@@ -24,27 +25,11 @@ def tags(s: Snapshot, path: str, column: str = "grp", ignore: int | None = -1) -
     return from_column(t, column, ignore)
 
 
-def _members(batches):
-    for pdf in batches:
-        for content in pdf["content"]:
-            rows, at, g = [], 0, 0
-            lines = [x for x in bytes(content).decode().split("\n") if x.strip()]
-            while at < len(lines):
-                groups, at = int(lines[at].split()[0]), at + 1
-                for g in range(g, g + groups):
-                    n = int(lines[at].split()[0])
-                    ids = np.array([x.split()[0] for x in lines[at + 1 : at + 1 + n]], np.int64)
-                    rows.append(pd.DataFrame({"halo": np.full(n, g, np.int64), "iord": ids}))
-                    at += 1 + n
-                g += 1 if groups else 0
-            yield pd.concat(rows) if rows else pd.DataFrame({"halo": np.zeros(0, np.int64), "iord": np.zeros(0, np.int64)})
-
-
 def member_lists(spark: SparkSession, path: str) -> DataFrame:
     """halo (from 0) and iord from text: the number of groups, then each group's size and
-    a line for each of its members, the id first; more such blocks may follow.  The file
-    is one value of one task."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members, "halo long, iord long")
+    a line for each of its members, the id first; more such blocks may follow.  A first pass
+    notes where lists begin, and pieces of them are read by many tasks."""
+    return group_files.text_lists(spark, path)
 
 
 def property_table(spark: SparkSession, path: str) -> DataFrame:
@@ -107,12 +92,38 @@ def _tags(s: Snapshot, path: str, **options) -> Catalogue | None:
     return tags(s, found[0], **options) if found else None
 
 
+def _tables(s: Snapshot, path: str, **options) -> Catalogue | None:
+    """A folder `groups_015` beside a snapshot `snap_015`, or beside the folder that it is in."""
+    number = path.rstrip("/").rpartition("_")[2]
+    for place in (path, f"{os.path.dirname(path)}/groups_{number}", f"{os.path.dirname(os.path.dirname(path))}/groups_{os.path.basename(os.path.dirname(path)).rpartition('_')[2]}"):
+        try:
+            return group_files.tables(s, place, **options)
+        except OSError:
+            continue
+    return None
+
+
+def _stars(s: Snapshot, path: str, **options) -> Catalogue | None:
+    stem = f"{os.path.dirname(path)}/halos"
+    return group_files.stars(s, stem, **options) if group_files.star_files(stem) else None
+
+
+def _bricks(s: Snapshot, path: str, **options) -> Catalogue | None:
+    m = re.search(r"output_(\d{5})", path)
+    if not m:
+        return None
+    for place in (path, f"{path}/Halos", f"{os.path.dirname(path)}/Halos"):
+        if os.path.exists(file := f"{place}/tree_bricks{int(m[1]):03d}"):
+            return group_files.bricks(s, file, **options)
+    return None
+
+
 def _column(s: Snapshot, path: str, column: str = "grp", ignore: int | None = None) -> Catalogue | None:
     return from_column(s, column, ignore) if s.has_key(column) else None
 
 
 #: Kinds of catalogues in the order in which they are tried.
-KINDS = {"ahf": _ahf, "amiga": _amiga, "hop": _hop, "tags": _tags, "column": _column}
+KINDS = {"ahf": _ahf, "subfind": _tables, "rockstar": _stars, "adaptahop": _bricks, "amiga": _amiga, "hop": _hop, "tags": _tags, "column": _column}
 
 
 def halos(s: Snapshot, path: str = "", kind: str | None = None, **options) -> Catalogue:

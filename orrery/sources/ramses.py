@@ -339,7 +339,7 @@ def read(spark: SparkSession, path: str, units: dict | None = None, properties:
     every = out.columns()
     known = {c: k for c, k in every.items() if columns is None or c in columns or c in "xyz"}
     cpus = list(range(1, out.ncpu + 1)) if cpus is None else sorted(cpus)
-    domains = spark.createDataFrame([(c,) for c in cpus], "cpu long").repartition(max(1, len(cpus)), "cpu")
+    domains = spark.createDataFrame([(c,) for c in cpus], "cpu long").repartition(max(1, len(cpus)))
     counted = domains.mapInArrow(_count(out.path, maxlevel), "cpu long, family string, n long").where(F.col("n") > 0)
     # a few numbers for each domain
     n = {(r["family"], r["cpu"]): r["n"] for r in counted.collect()}
