@@ -36,24 +36,31 @@ def _copies(rows: DataFrame, box: float | None, width: float, axes: str) -> Data
     return rows
 
 
-def image(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: int = 128, project: bool = False, z: float = 0.0, kern="cubic_spline", weight: str | Column | None = None, camera: float | None = None, denoise: bool = False) -> DataFrame:
+def image(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: int = 128, project: bool = False, z: float = 0.0, kern="cubic_spline", weight: str | Column | None = None, camera: float | None = None, denoise: bool = False, smooth_range: tuple[float, float | None] = (0.0, None)) -> DataFrame:
     """px, py and value of the pixels that anything reaches.
 
     A slice at height z sums q m / rho W; a projection integrates along the line of
     sight.  `weight` gives the average of the quantity under a weight; `denoise` divides
-    by the image of ones.  A camera at a height z makes a perspective view."""
+    by the image of ones.  A camera at a height z makes a perspective view.  Only rows whose
+    smoothing length, in pixels, is in `smooth_range` (its upper end excluded) take part."""
     q = s.col(quantity) if isinstance(quantity, str) else quantity
     if weight is not None:
         w = s.col(weight) if isinstance(weight, str) else weight
-        top = image(s, q * w, width, n, True, z, kern, camera=camera)
-        bottom = image(s, w, width, n, True, z, kern, camera=camera).withColumnRenamed("value", "w")
+        top = image(s, q * w, width, n, True, z, kern, camera=camera, smooth_range=smooth_range)
+        bottom = image(s, w, width, n, True, z, kern, camera=camera, smooth_range=smooth_range).withColumnRenamed("value", "w")
         return top.join(bottom, ["px", "py"]).select("px", "py", F.try_divide("value", "w").alias("value"))
     if denoise:
-        top = image(s, q, width, n, project, z, kern, camera=camera)
-        ones = image(s, F.lit(1.0), width, n, project, z, kern, camera=camera).withColumnRenamed("value", "w")
+        top = image(s, q, width, n, project, z, kern, camera=camera, smooth_range=smooth_range)
+        ones = image(s, F.lit(1.0), width, n, project, z, kern, camera=camera, smooth_range=smooth_range).withColumnRenamed("value", "w")
         return top.join(ones, ["px", "py"]).select("px", "py", F.try_divide("value", "w").alias("value"))
     step = width / n
-    rows = _copies(_rows(s, q, step / 2 if project else 1e-300), s.properties.get("boxsize"), width, "xy")
+    rows = _rows(s, q, step / 2 if project else 1e-300)
+    least, most = smooth_range
+    if least > 0:
+        rows = rows.where(F.col("h") >= least * step)
+    if most is not None:
+        rows = rows.where(F.col("h") < most * step)
+    rows = _copies(rows, s.properties.get("boxsize"), width, "xy")
     if camera is not None:
         scale = F.lit(camera) / (F.lit(camera) - F.col("z"))
         rows = rows.where(F.col("z") < camera).withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale, "h": F.col("h") * scale})
@@ -74,6 +81,38 @@ def image(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: i
     return spread.groupBy("px", "py").agg(F.sum(F.col("q") * F.col("m") / F.col("rho") * value).alias("value")).where("value <> 0")
 
 
+def zoomed(img: DataFrame, m: int, n: int) -> DataFrame:
+    """An image of m x m pixels on n x n finer ones, bilinearly between the pixels' middles;
+    beyond the picture it is 0.  Each pixel spreads over the finer ones that it reaches."""
+    f = n / m
+    out, weight = img, F.col("value")
+    for p in ("px", "py"):
+        # places of finer middles in coarse pixels: (i + 0.5) / f - 0.5
+        first = F.greatest(F.ceil((F.col(p) - 0.5) * f - 0.5), F.lit(0))
+        last = F.least(F.floor((F.col(p) + 1.5) * f - 0.5), F.lit(n - 1))
+        out = out.withColumn(f"f{p}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        weight = weight * F.greatest(F.lit(0.0), 1 - F.abs((F.col(f"f{p}") + 0.5) / f - 0.5 - F.col(p)))
+    return out.groupBy(F.col("fpx").alias("px"), F.col("fpy").alias("py")).agg(F.sum(weight).alias("value"))
+
+
+def approximate(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: int = 512, levels: int = 3, factor: int = 8, **kwargs) -> DataFrame:
+    """px, py and value of an image that draws wide kernels on coarser grids.
+
+    A level has `factor` times wider pixels than the one before and takes the rows whose
+    smoothing length is less than `factor` of its pixels (the last takes all others); levels
+    are enlarged bilinearly and added.  A row thus spreads over a bounded number of pixels,
+    however wide its kernel is.  `kwargs` are those of `image`."""
+    if levels < 1 or n % factor ** (levels - 1):
+        raise ValueError("n must be a multiple of factor ** (levels - 1)")
+    out = None
+    for level in range(levels):
+        m = n // factor**level
+        part = image(s, quantity, width, m, smooth_range=(1.0 if level else 0.0, None if level == levels - 1 else float(factor)), **kwargs)
+        part = zoomed(part, m, n) if level else part
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("px", "py").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
 def grid(s: Snapshot, quantity: str | Column = "rho", width: float = 10.0, n: int = 32, kern="cubic_spline") -> DataFrame:
     """px, py, pz and value on a cubic grid."""
     q = s.col(quantity) if isinstance(quantity, str) else quantity

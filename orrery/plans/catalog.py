@@ -639,15 +639,18 @@ def spin(spark, sf_dir):
     return _rounded(spark.createDataFrame([(structure.spin_parameter(plain_events(spark, sf_dir)),)], "spin double"))
 
 
-@query()
+_MEAN = "sum(mass * x) / sum(mass) AS x, sum(mass * y) / sum(mass) AS y, sum(mass * z) / sum(mass) AS z"
+
+
+@query(_round_sql(f"{E.replace('WITH', 'WITH RECURSIVE')}, s AS (SELECT 0 AS step, {_MEAN}, 5e-1 * (max(x) - min(x)) AS r FROM e UNION ALL SELECT s.step + 1, t.x, t.y, t.z, r * 0.7e0 FROM s, LATERAL (SELECT count(*) AS n, {_MEAN} FROM e WHERE (e.x - s.x) * (e.x - s.x) + (e.y - s.y) * (e.y - s.y) + (e.z - s.z) * (e.z - s.z) < s.r * s.r) t WHERE n >= 100), q AS (SELECT x, y, z FROM s ORDER BY step DESC LIMIT 1)", "x, y, z", ""))
 def center_shrink_sphere(spark, sf_dir):
     c = structure.shrink_sphere(plain_events(spark, sf_dir))
-    return spark.createDataFrame([tuple(map(float, c))], "x double, y double, z double")
+    return _rounded(spark.createDataFrame([tuple(map(float, c))], "x double, y double, z double"))
 
 
-@query()
+@query(f"{E}, c AS (SELECT {R} AS r, sum(mass) OVER (ORDER BY {R}) AS m FROM e), k AS (SELECT r, power(m / (4 / 3e0 * pi() * 178e-6), 1 / 3e0) AS v, lead(r) OVER (ORDER BY r) AS next FROM c) SELECT round(min(greatest(v, r)), 4) AS r FROM k WHERE v < next OR next IS NULL")
 def virial_radius(spark, sf_dir):
-    return spark.createDataFrame([(structure.virial_radius(plain_events(spark, sf_dir), 1e-6),)], "r double")
+    return _rounded(spark.createDataFrame([(structure.virial_radius(plain_events(spark, sf_dir), 1e-6),)], "r double"), 4)
 
 
 @query()
@@ -680,22 +683,63 @@ def render_slice(spark, sf_dir):
     return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, z=10.0))
 
 
-@query()
+_TABLE = "[" + ", ".join(f"{v!r}" for v in sph.projected(sph.CUBIC)) + "]"
+_PH = "greatest(smooth, 125e-1)"
+_PK = f"floor(201 * ((gx - x) * (gx - x) + (gy - y) * (gy - y)) / (4 * {_PH} * {_PH}))::INT"
+
+
+def _projected(q: str, name: str) -> str:
+    return f"{name} AS (SELECT px, py, sum({q} * mass / rho * ({_TABLE})[{_PK} + 1] / ({_PH} * {_PH})) AS value FROM p, e WHERE {_PK} < 201 GROUP BY px, py HAVING value <> 0)"
+
+
+# of two levels: kernels under 75 wide on 16 pixels a side, the others on 4, enlarged
+_LEVELS = (
+    f"{_PX}, a AS (SELECT px, py, sum(temp * mass / rho * {_kq(_Q)} / (pi() * smooth * smooth * smooth)) AS value FROM p, (SELECT * REPLACE (smooth * 6 AS smooth) FROM e) e WHERE smooth < 1e2 GROUP BY px, py HAVING value <> 0), "
+    f"c AS (SELECT px, py, px * 1e2 - 150e0 AS gx, py * 1e2 - 150e0 AS gy FROM (SELECT px, py FROM p WHERE px < 4 AND py < 4)), "
+    f"b AS (SELECT px, py, sum(temp * mass / rho * {_kq(_Q)} / (pi() * smooth * smooth * smooth)) AS value FROM c, (SELECT * REPLACE (smooth * 6 AS smooth) FROM e) e WHERE smooth >= 1e2 GROUP BY px, py HAVING value <> 0), "
+    "f AS (SELECT p.px, p.py, sum(b.value * greatest(0e0, 1 - abs((p.px + 5e-1) / 4 - 5e-1 - b.px)) * greatest(0e0, 1 - abs((p.py + 5e-1) / 4 - 5e-1 - b.py))) AS value FROM p, b GROUP BY ALL), "
+    "q AS (SELECT px, py, sum(value) AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM f) GROUP BY px, py HAVING sum(value) <> 0)"
+)
+
+
+@query(_round_sql(_LEVELS, "value", "px, py"))
+def render_levels(spark, sf_dir):
+    """Kernels six times as wide, half of them on coarser pixels."""
+    s = plain_events(spark, sf_dir)
+    return _rounded(render.approximate(s.with_column("smooth", F.col("smooth") * 6), "temp", 400.0, 16, 2, 4, z=10.0))
+
+
+@query(_round_sql(f"{_PX}, {_projected('temp', 'q')}", "value", "px, py"))
 def render_projection(spark, sf_dir):
     return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, project=True))
 
 
-@query()
+@query(_round_sql(f"{_PX}, {_projected('temp * rho', 'a')}, {_projected('rho', 'b')}, q AS (SELECT px, py, a.value / nullif(b.value, 0e0) AS value FROM a JOIN b USING (px, py))", "value", "px, py"))
 def render_weighted(spark, sf_dir):
     return _rounded(render.image(plain_events(spark, sf_dir), "temp", 400.0, 16, weight="rho"))
 
 
-@query()
+_VOXELS = "g AS (SELECT unnest(range(8))::INT AS i), p AS (SELECT a.i AS px, b.i AS py, c.i AS pz, a.i * 5e1 - 175e0 AS gx, b.i * 5e1 - 175e0 AS gy, c.i * 5e1 - 175e0 AS gz FROM g a, g b, g c)"
+_VQ = "(sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y) + (gz - z) * (gz - z)) / smooth)"
+
+
+@query(_round_sql(f"{E}, {_VOXELS}, q AS (SELECT px, py, pz, sum(temp * mass / rho * {_kq(_VQ)} / (pi() * smooth * smooth * smooth)) AS value FROM p, e WHERE (gx - x) * (gx - x) + (gy - y) * (gy - y) + (gz - z) * (gz - z) < 4 * smooth * smooth GROUP BY px, py, pz HAVING value <> 0)", "value", "px, py, pz"))
 def render_grid(spark, sf_dir):
     return _rounded(render.grid(plain_events(spark, sf_dir), "temp", 400.0, 8))
 
 
-@query()
+# middles of the 768 pixels of 31 rings
+_SKY = (
+    "i AS (SELECT unnest(range(1, 32))::BIGINT AS i), "
+    "j AS (SELECT CASE WHEN i < 8 THEN 4 * i WHEN i <= 24 THEN 32 ELSE 4 * (32 - i) END AS n, CASE WHEN i < 8 THEN 2 * i * (i - 1) WHEN i <= 24 THEN 112 + (i - 8) * 32 ELSE 768 - 2 * (32 - i) * (33 - i) END AS first, "
+    "CASE WHEN i < 8 THEN 1 - i * i / 192e0 WHEN i <= 24 THEN (16 - i) / 12e0 ELSE (32 - i) * (32 - i) / 192e0 - 1 END AS pz, CASE WHEN i > 8 AND i < 24 AND i % 2 = 1 THEN 0e0 ELSE 5e-1 END AS place FROM i), "
+    "k AS (SELECT first + k AS pix, pz, (k + place) * (2 * pi() / n) AS phi FROM (SELECT *, unnest(range(n)) AS k FROM j)), "
+    "u AS (SELECT pix, sqrt(1 - pz * pz) * cos(phi) AS px, sqrt(1 - pz * pz) * sin(phi) AS py, pz FROM k), "
+    f"d AS (SELECT pix, rho * mass / rho AS q, {R} AS r, smooth AS h, 2 * asin(least(sqrt(power(px - x / {R}, 2) + power(py - y / {R}, 2) + power(pz - z / {R}, 2)) / 2, 1e0)) AS angle FROM u, e WHERE {R} > 0), "
+)
+
+
+@query(_round_sql(f"{E}, {_SKY} q AS (SELECT pix, sum(q * ({_TABLE})[floor(201 * (r * angle / (2 * h)) * (r * angle / (2 * h)))::INT + 1] * (r / h) * (r / h)) AS value FROM d WHERE angle <= least(2 * h / r, pi()) AND 201 * (r * angle / (2 * h)) * (r * angle / (2 * h)) < 201 GROUP BY pix HAVING value <> 0)", "value", "pix"))
 def render_sky(spark, sf_dir):
     return _rounded(render.sky(plain_events(spark, sf_dir), 8))
 
