@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..snapshot import ROW, Snapshot, family_name
+from ..snapshot import PLACE, ROW, Snapshot, family_name
 
 
 @dataclass(frozen=True)
@@ -27,11 +27,18 @@ class Bridge:
             return self.start
         raise ValueError("the view belongs to neither end")
 
-    def __call__(self, view: Snapshot) -> Snapshot:
-        """The rows of the other end that the view's rows pair with; others drop out."""
+    def __call__(self, view: Snapshot, ordered: bool = False) -> Snapshot:
+        """The rows of the other end that the view's rows pair with; others drop out.  If
+        `ordered`, they are in the order of the view's rows, and repeat as these do."""
         other = self._end(view, self.start)
+        if ordered:
+            s = view.carried()
+            on = [self.key] + (["family"] if self.keep_family else [])
+            keys = self._rows(s).select(*on, F.col(s.order or ROW).alias("__at"))
+            df = self._rows(other).join(keys, on).drop(PLACE).withColumnRenamed("__at", PLACE)
+            return replace(other, df=df, base=other, span=None, order=PLACE)
         keys = self._rows(view).select(self.key, *(["family"] if self.keep_family else [])).distinct()
-        return replace(other, df=self._rows(other).join(keys, keys.columns, "left_semi"), base=other)
+        return replace(other, df=self._rows(other).join(keys, keys.columns, "left_semi"), base=other, span=None)
 
     def _rows(self, s: Snapshot) -> DataFrame:
         if self.families is None:

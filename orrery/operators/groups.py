@@ -23,7 +23,7 @@ class Catalogue:
     def halo(self, number: int) -> Snapshot:
         """The view of one group's rows."""
         rows = self.members.where(F.col("halo") == number).select(ROW)
-        return replace(self.s, df=self.s.df.join(rows, ROW, "left_semi"), base=self.s)
+        return replace(self.s, df=self.s.df.join(rows, ROW, "left_semi"), base=self.s, span=None)
 
     def sizes(self) -> DataFrame:
         """halo, n and rank by size (largest first, then by number)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..snapshot import Snapshot, components, numbered
+from ..snapshot import ROW, Snapshot, components, ranged
 from ..units import G, as_unit
 
 _registry: dict[str, Callable[[Profile], Column]] = {}
@@ -39,11 +40,15 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
 
 def equal_edges(df: DataFrame, x: str, n: int) -> list[float]:
     """Edges with as many rows in each bin: values at even ranks, the ends moved outward
-    by the least step.  Ranks are counted by range, no task sorts all rows."""
-    total = df.count()
-    ranks = sorted({int(v) for v in np.linspace(0, total - 1, n + 1)})
-    got = dict(numbered(df.select(x), x, "k").where(F.col("k").isin(ranks)).select("k", x).collect())
-    e = [got[int(v)] for v in np.linspace(0, total - 1, n + 1)]
+    by the least step.  Ranks are counted by range over the different values, no task sorts
+    all rows and a value that many rows have is one."""
+    values = df.select(F.lit(0).alias("bin"), F.col(x).alias("v")).where("v is not null").groupBy("bin", "v").agg(F.count(F.lit(1)).alias("n"))
+    cum = cumulated(values.withColumn("__k", F.struct("bin", "v")), "__k", "bin", F.col("n"))
+    total = df.where(F.col(x).isNotNull()).count()
+    ranks = [int(v) for v in np.linspace(0, total - 1, n + 1)]
+    held = F.exists(F.lit(sorted(set(ranks))), lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r))
+    got = sorted(cum.where(held).select("upto", "v").collect())
+    e = [got[bisect_right([u for u, _ in got], r)][1] for r in ranks]
     e[0], e[-1] = np.nextafter(e[0], -np.inf).item(), np.nextafter(e[-1], np.inf).item()
     return e
 
@@ -59,6 +64,39 @@ def bin_of(x: Column, edges: Sequence[float], closed: bool = False) -> Column:
     return F.when(x == F.lit(float(edges[-1])), F.lit(n - 1)).otherwise(b) if closed else b
 
 
+def cumulated(rows: DataFrame, by: str, key: str, value: Column) -> DataFrame:
+    """rows with `upto`, the running sum of a value in the order of `by` among rows of equal
+    `key`, and `whole`, the sum of all of them.  `by` begins with the key.
+
+    Rows are dealt to ranges of `by`; the sums of ranges, one number for each key in each,
+    are carried on, so that no task sees all rows of a key."""
+    dealt = ranged(rows, by).withColumn("__v", value)
+    inside = F.sum("__v").over(Window.partitionBy("__p", key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(key)
+    sums = dealt.groupBy("__p", key).agg(F.sum("__v").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__p", key, before.alias("__b"), F.sum("__s").over(w).alias("whole"))
+    # as many rows as there are ranges and keys
+    return dealt.withColumn("__i", inside).join(F.broadcast(sums), ["__p", key]).withColumn("upto", F.col("__b") + F.col("__i")).drop("__p", "__v", "__i", "__b")
+
+
+def ranks(rows: DataFrame) -> DataFrame:
+    """bin, v, rank (from 0, by value) and all, the values of the bin, of rows (bin, pidx, v)
+    that have a value."""
+    got = cumulated(rows.where("v is not null").withColumn("__k", F.struct("bin", "v", ROW)), "__k", "bin", F.lit(1))
+    return got.select("bin", "v", (F.col("upto") - 1).alias("rank"), F.col("whole").alias("all"))
+
+
+def bin_quantiles(rows: DataFrame, q: Sequence[float]) -> DataFrame:
+    """bin and quantiles q16 and so on, linear between ranks, of rows (bin, pidx, v)."""
+    got, out = ranks(rows), []
+    for k, x in enumerate(q):
+        at = F.lit(float(x)) * (F.col("all") - 1)
+        out += [F.max(F.when(F.col("rank") == F.floor(at), F.col("v"))).alias(f"a{k}"), F.max(F.when(F.col("rank") == F.ceil(at), F.col("v"))).alias(f"b{k}"), F.max(at - F.floor(at)).alias(f"t{k}")]
+    value = lambda k: F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col(f"t{k}")
+    return got.groupBy("bin").agg(*out).select("bin", *[value(k).alias(f"q{int(round(x * 100))}") for k, x in enumerate(q)])
+
+
 @dataclass
 class Profile:
     """Bins of `x` (default the radius, of two dimensions or three) over a snapshot."""
@@ -199,37 +237,37 @@ class Profile:
         return pc * pc / PC2_PER_ARCSEC2
 
     def median(self, name: str) -> DataFrame:
-        """Upper median of each bin: the value of rank n // 2, without weights.  Ranks
-        are exact; values are spread over tasks by bin and value."""
-        rows = self._rows.where(F.col("__x") < F.lit(self.edges[-1])).select("bin", self.s.col(name).cast("double").alias("v")).where("v is not null")
-        counts = rows.groupBy("bin", "v").agg(F.count(F.lit(1)).alias("k"))
-        below = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("upto", F.sum("k").over(below)).withColumn("all", F.sum("k").over(Window.partitionBy("bin")))
-        hit = ranked.where((F.col("upto") > F.floor(F.col("all") / 2)) & (F.col("upto") - F.col("k") <= F.floor(F.col("all") / 2)))
-        return hit.select("bin", F.col("v").alias(f"{name}_med"))
+        """Upper median of each bin: the value of rank n // 2, without weights."""
+        got = ranks(self._inside(name))
+        return got.where(F.col("rank") == F.floor(F.col("all") / 2)).select("bin", F.col("v").alias(f"{name}_med"))
+
+    def _inside(self, name: str, **more: Column) -> DataFrame:
+        """bin, the row's number and v, the value of a column, of rows below the last edge."""
+        rows = self._rows.where(F.col("__x") < F.lit(self.edges[-1]))
+        return rows.select("bin", ROW, self.s.col(name).cast("double").alias("v"), *[c.alias(k) for k, c in more.items()])
 
     def quantiles(self, name: str, q: Sequence[float] = (0.16, 0.5, 0.84)) -> DataFrame:
         """Quantiles of each bin, linear between ranks."""
-        rows = self._rows.where(F.col("__x") < F.lit(self.edges[-1]))
-        c = self.s.col(name)
-        return rows.groupBy("bin").agg(*[F.percentile(c, float(v)).alias(f"q{int(round(v * 100))}") for v in q])
+        return bin_quantiles(self._inside(name), q)
 
     def weighted_quantiles(self, name: str, weight: str, q: Sequence[float] = (0.16, 0.5, 0.84)) -> DataFrame:
         """Quantiles of each bin under weights: between the values next to q of the
         cumulative weight, counted from the first value's."""
-        rows = self._rows.where(F.col("__x") < F.lit(self.edges[-1])).select("bin", self.s.col(name).alias("v"), self.s.col(weight).alias("w"))
-        by = Window.partitionBy("bin").orderBy("v", "w")
-        cum = rows.withColumn("c", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        whole = Window.partitionBy("bin")
-        cum = cum.withColumn("c0", F.min("c").over(whole)).withColumn("c1", F.max("c").over(whole))
-        cum = cum.withColumn("f", F.coalesce(F.try_divide(F.col("c") - F.col("c0"), F.col("c1") - F.col("c0")), F.lit(0.0)))
-        cum = cum.withColumn("nf", F.lead("f").over(by)).withColumn("nv", F.lead("v").over(by))
+        rows = self._inside(name, w=self.s.col(weight).cast("double")).where("v is not null")
+        cum = cumulated(rows.withColumn("__k", F.struct("bin", "v", "w", ROW)), "__k", "bin", F.col("w"))
+        # the first row of a bin has what it adds itself
+        first = cum.groupBy("bin").agg(F.min("upto").alias("least"))
+        cum = cum.join(F.broadcast(first), "bin")
+        f = F.coalesce(F.try_divide(F.col("upto") - F.col("least"), F.col("whole") - F.col("least")), F.lit(0.0))
+        at = cum.select("bin", F.struct(f.alias("f"), "v").alias("at"))
+        sides = []
+        for k, x in enumerate(q):
+            sides += [F.max(F.when(F.col("at.f") <= x, F.col("at"))).alias(f"a{k}"), F.min(F.when(F.col("at.f") > x, F.col("at"))).alias(f"b{k}")]
         out = []
-        for x in q:
-            at = (F.col("f") <= x) & (F.coalesce(F.col("nf"), F.lit(2.0)) > x)
-            v = F.col("v") + F.coalesce(F.try_divide((F.lit(float(x)) - F.col("f")) * (F.col("nv") - F.col("v")), F.col("nf") - F.col("f")), F.lit(0.0))
-            out.append(F.max(F.when(at, v)).alias(f"q{int(round(x * 100))}"))
-        return cum.groupBy("bin").agg(*out)
+        for k, x in enumerate(q):
+            a, b = F.col(f"a{k}"), F.col(f"b{k}")
+            out.append((a.v + F.coalesce(F.try_divide((F.lit(float(x)) - a.f) * (b.v - a.v), b.f - a.f), F.lit(0.0))).alias(f"q{int(round(x * 100))}"))
+        return at.groupBy("bin").agg(*sides).select("bin", *out)
 
     def fourier(self, m_max: int = 6, phi_bins: int = 100, least: int = 100, delta: float | None = None) -> DataFrame:
         """Coefficients c_m of the azimuthal mass distribution of bins with more than

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..snapshot import ROW, Snapshot
 from . import transform
 from .filters import Disc
-from .profile import Profile, bin_of, equal_edges, gravity_constant, interpolated
+from .profile import Profile, bin_of, bin_quantiles, equal_edges, gravity_constant, interpolated
 
 
 def com(s: Snapshot) -> np.ndarray:
@@ -210,24 +210,30 @@ def bisect(f: Callable[[float], float], left: float, right: float, epsilon: floa
     return (left + right) / 2
 
 
+#: Bins of a curve, however many rows there are.
+MAX_BINS = 1000
+
+
 def circular_j(s: Snapshot, per_bin: int = 1000, quantile: float = 0.99) -> Snapshot:
-    """With j_circ: the upper quantile of j^2 in bins of equally many rows by energy,
-    interpolated to each row's energy."""
+    """With j_circ: the upper quantile of j^2 in bins of equally many rows by energy (at most
+    MAX_BINS), interpolated to each row's energy."""
     n = s.df.count()
-    nbins = max(2, n // per_bin)
+    nbins = max(2, min(MAX_BINS, n // per_bin))
     energy = s.df.withColumn("te", s.col("te")).withColumn("j2", s.col("j2"))
     edges = equal_edges(energy.select("te"), "te", nbins)
-    got = energy.withColumn("k", bin_of(F.col("te"), edges, closed=True)).where("k is not null").groupBy("k").agg(F.percentile("j2", quantile).alias("q"), F.avg("te").alias("e")).orderBy("e").collect()
+    binned = energy.withColumn("bin", bin_of(F.col("te"), edges, closed=True)).where("bin is not null")
+    upper = bin_quantiles(binned.select("bin", ROW, F.col("j2").alias("v")), (quantile,)).toDF("bin", "q")
+    got = binned.groupBy("bin").agg(F.avg("te").alias("e")).join(upper, "bin").orderBy("e").collect()
     xs, ys = [r["e"] for r in got], [math.sqrt(max(r["q"], 0)) for r in got]
     return s.with_column("te", s.col("te")).with_column("j_circ", interpolated(s.col("te"), xs, ys))
 
 
 def circular_j_by_curve(s: Snapshot, radius: float, height: float, per_bin: int = 1000) -> DataFrame:
     """pidx and j_circ: the mid-plane's circular angular momentum in rings of equally many
-    rows of a disc, interpolated to all rows by their cylindrical radius.  Meaningful
+    rows of a disc (at most a tenth of MAX_BINS), interpolated to all rows by their cylindrical radius.  Meaningful
     where the rows lie in a thin disc."""
     disc = s.where(Disc(radius, height))
-    p = Profile(disc, type="equaln", nbins=max(2, disc.df.count() // per_bin))
+    p = Profile(disc, type="equaln", nbins=max(2, min(MAX_BINS // 10, disc.df.count() // per_bin)))
     return p.to_rows(p.table("j_circ"), "j_circ", s)
 
 
@@ -252,7 +258,7 @@ def decompose(s: Snapshot, j_least: float = 0.8, j_most: float = 1.1, e_cut: flo
             cut = -1 + 2 * i / bins
             break
     if e_cut is None:
-        e_cut = t.df.agg(F.percentile("te", 0.5)).first()[0]
+        e_cut = bin_quantiles(t.df.select(F.lit(0).alias("bin"), ROW, F.col("te").alias("v")), (0.5,)).first()["q50"]
     low = F.col("te") < F.lit(float(e_cut))
     spheroid = F.col("jz_by_jc") < F.lit(float(cut))
     part = F.when(disc, 1).when(spheroid, F.when(low, 3).otherwise(2)).otherwise(F.when(low, 5).otherwise(4))

@@ -172,6 +172,29 @@ def view_slice(spark, sf_dir):
     return plain_events(spark, sf_dir).rows(100, 5000, 3).df.select("pidx")
 
 
+@query(f"{E}, f AS (SELECT pidx, row_number() OVER (ORDER BY pidx) - 1 AS k FROM e WHERE pidx >= 100 AND (pidx - 100) % 3 = 0), r AS (SELECT pidx, row_number() OVER (ORDER BY k DESC) - 1 AS k FROM f) SELECT pidx, (k - 5) // 7 AS place FROM r WHERE k >= 5 AND k < 4000 AND (k - 5) % 7 = 0")
+def view_slice_of_slices(spark, sf_dir):
+    s = plain_events(spark, sf_dir).rows(100, None, 3).rows(None, None, -1).rows(5, 4000, 7)
+    return s._placed()
+
+
+@query(f"{E}, f AS (SELECT pidx, row_number() OVER (ORDER BY pidx) - 1 AS place FROM e WHERE family = 'gas') SELECT o_orderkey AS at, pidx FROM orders JOIN f ON place = o_custkey")
+def view_take_in_order(spark, sf_dir):
+    """Rows of gas at customers' places, for each order one and in the orders' order."""
+    at = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
+    view = plain_events(spark, sf_dir).gas.take(at)
+    return view.df.select(F.col(view.order).alias("at"), "pidx")
+
+
+@query(f"{E} SELECT b.pidx AS pidx, a.pidx AS at FROM e a JOIN e b ON b.iord * 3 % 1000003 = a.iord WHERE a.pidx % 4 = 1")
+def bridge_in_order(spark, sf_dir):
+    """Partners under other ids, in the order of the rows that they are partners of."""
+    a = plain_events(spark, sf_dir)
+    b = plain_events(spark, sf_dir).with_column("iord", F.col("iord") * 3 % 1000003)
+    got = bridge.order_bridge(a, b, allow_family_change=True)(a.rows(1, None, 4), ordered=True)
+    return got.df.select("pidx", F.col(got.order).alias("at"))
+
+
 @query(f"{E} SELECT pidx, mass FROM e WHERE iord IN (SELECT o_orderkey FROM orders)")
 def view_ids(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")

@@ -36,6 +36,9 @@ VECTORS = {"pos": ("x", "y", "z"), "vel": ("vx", "vy", "vz")}
 #: Cosmology that a snapshot without its own has.
 COSMOLOGY = {"a": 1.0, "h": 0.6766, "omegaM0": 0.3111, "omegaL0": 0.6889, "omegaB0": 0.049, "sigma8": 0.8102, "ns": 0.9665, "running": 0.0}
 ROW = "pidx"
+#: The column of views whose rows are in an order of their own, and an end beyond any file.
+PLACE = "__place"
+_OPEN = 1 << 62
 
 
 def family_name(name: str) -> str:
@@ -101,6 +104,10 @@ class Snapshot:
     base: Snapshot | None = None
     #: transformations applied so far, the last one last
     done: tuple = ()
+    #: the rows of the file, in its order, if the view is a slice (of slices) of them all
+    span: range | None = None
+    #: the column that orders the rows, where that isn't the file's order; rows may repeat then
+    order: str | None = None
     _stack: tuple[str, ...] = ()
 
     # ---- columns
@@ -110,7 +117,7 @@ class Snapshot:
         return self.df.sparkSession
 
     def keys(self) -> list[str]:
-        return [c for c in self.df.columns if c not in (ROW, "family")]
+        return [c for c in self.df.columns if c not in (ROW, "family", PLACE)]
 
     def derivable_keys(self) -> list[str]:
         return sorted(_derived)
@@ -249,12 +256,13 @@ class Snapshot:
     def where(self, what) -> Snapshot:
         """The rows of a filter or boolean column."""
         mask = what if isinstance(what, Column) else what.column(self)
-        return replace(self, df=self.df.where(mask), base=self)
+        s = self.carried()
+        return replace(s, df=s.df.where(mask), base=self, span=None)
 
     def family(self, *names: str) -> Snapshot:
         """The rows of families."""
         full = [family_name(n) for n in names]
-        view = replace(self, df=self.df.where(F.col("family").isin(*full)), base=self)
+        view = self.where(F.col("family").isin(*full))
         return replace(view, properties=view.properties | {"__families": tuple(full)})
 
     def families(self) -> DataFrame:
@@ -262,40 +270,90 @@ class Snapshot:
         return self.df.groupBy("family").agg(F.min(ROW).alias("first"), F.count(F.lit(1)).alias("n"))
 
     def _placed(self) -> DataFrame:
-        """The rows' numbers in the file and their places (from 0) in this snapshot."""
-        if self.base is None:
-            return self.df.select(ROW, F.col(ROW).alias("place"))
+        """The rows' numbers in the file (and order) and their places (from 0) in this
+        snapshot.  In slices of the file a place follows from the row's number."""
+        if self.order is not None:
+            return numbered(self.df.select(ROW, self.order), self.order, "place")
+        if self.base is None or self.span is not None:
+            span = self.span or range(_OPEN)
+            return self.df.select(ROW, F.expr(f"({ROW} - {span.start}L) div {span.step}L").alias("place"))
         return numbered(self.df.select(ROW), ROW, "place")
 
     def _at(self, places: DataFrame) -> Snapshot:
-        return replace(self, df=self.df.join(places.select(ROW), ROW, "left_semi"), base=self)
+        on = [ROW] if self.order is None else [ROW, self.order]
+        return replace(self, df=self.df.join(places.select(on), on, "left_semi"), base=self, span=None)
+
+    def carried(self) -> Snapshot:
+        """The same view; one whose rows run backwards gets a column that says so, which
+        filters and joins keep."""
+        if self.span is None or self.span.step > 0 or self.order is not None:
+            return self
+        place = F.expr(f"({ROW} - {self.span.start}L) div {self.span.step}L")
+        return replace(self, df=self.df.withColumn(PLACE, place), order=PLACE, span=None)
+
+    def ordered(self) -> DataFrame:
+        """The rows as a frame, sorted in the view's order."""
+        s = self.carried()
+        return s.df.orderBy(s.order or ROW).drop(PLACE)
+
+    def _span(self, clip: bool) -> range:
+        """The rows of the file that a slice holds; open at its end unless it has to be known."""
+        span = range(_OPEN) if self.span is None else self.span
+        if clip and span.step > 0:
+            span = range(span.start, min(span.stop, self.ancestor().df.count()), span.step)
+        return span
 
     def rows(self, start: int | None = None, stop: int | None = None, step: int | None = None) -> Snapshot:
         """A slice of this snapshot's own row order, as of a sequence: negative numbers count
-        from the end, and a view's rows are numbered anew.  Steps are positive."""
+        from the end, negative steps run backwards, and a view's rows are numbered anew.
+
+        A slice of a slice is one predicate on the rows' numbers, which counts the file if
+        anything is said from its end.  Other views' rows are ranked first."""
         step = 1 if step is None else step
-        if step < 1:
-            raise ValueError("steps of slices are positive")
-        start = 0 if start is None else start
-        if start < 0 or stop is not None and stop < 0:
-            start, stop, _ = slice(start, stop).indices(self.df.count())
-        place = F.col(ROW) if self.base is None else F.col("place")
-        mask = place >= start
-        if stop is not None:
-            mask &= place < stop
-        if step != 1:
-            mask &= F.pmod(place - start, F.lit(step)) == 0
-        return self.where(mask) if self.base is None else self._at(self._placed().where(mask))
+        if self.order is None and (self.base is None or self.span is not None):
+            clip = step < 0 or any(v is not None and v < 0 for v in (start, stop))
+            span = self._span(clip)[start:stop:step]
+            row, first = F.col(ROW), span.start
+            if not span:
+                mask = F.lit(False)
+            elif span.step > 0:
+                mask = row >= first
+                mask = mask & (row < span.stop) if span.stop < _OPEN else mask
+            else:
+                mask = (row <= first) & (row >= span[-1])
+            if abs(span.step) != 1:
+                mask &= F.pmod(row - first, F.lit(abs(span.step))) == 0
+            return replace(self, df=self.df.where(mask), base=self, span=span)
+        n = self.df.count() if step < 0 or start is not None and start < 0 or stop is not None and stop < 0 else _OPEN
+        want, place = range(n)[start:stop:step], F.col("place")
+        mask = F.lit(False) if not want else (place >= min(want[0], want[-1])) & (place <= max(want[0], want[-1])) & (F.pmod(place - want[0], F.lit(abs(step))) == 0)
+        view = self._at(placed := self._placed().where(mask))
+        if step > 0:
+            return view
+        on = [ROW] if self.order is None else [ROW, self.order]
+        back = placed.select(*on, (-F.col("place")).alias("__back"))
+        return replace(view, df=view.df.join(back, on).drop(PLACE).withColumnRenamed("__back", PLACE), order=PLACE)
 
     def take(self, places: Sequence[int] | DataFrame) -> Snapshot:
-        """The rows at places of this snapshot: a list, or the only column of a frame.
-        Negative ones of a list count from the end; a place outside is an error."""
+        """The rows at places of this snapshot, in the order of a list, as often as they are
+        asked for.  Negative places of a list count from the end; a place outside is an
+        error.  A frame of places gives its rows once, in this snapshot's order; with a
+        second column, they come in that order, as often as they are in the frame."""
         if not isinstance(places, DataFrame):
             n, found = self.df.count(), [int(p) for p in places]
             if any(not -n <= p < n for p in found):
                 raise IndexError(f"places are from {-n} to {n - 1}")
-            places = self.spark.createDataFrame([(p % n,) for p in set(found)], "place long")
-        return self._at(self._placed().join(places.toDF("place").distinct(), "place", "left_semi"))
+            found = [p % n for p in found]
+            if all(a < b for a, b in zip(found, found[1:], strict=False)):
+                places = self.spark.createDataFrame([(p,) for p in found], "place long")
+            else:
+                places = self.spark.createDataFrame(list(zip(found, range(len(found)), strict=True)), "place long, at long")
+        if len(places.columns) == 1:
+            return self._at(self._placed().join(places.toDF("place").distinct(), "place", "left_semi"))
+        on = [ROW] if self.order is None else [ROW, self.order]
+        asked = self._placed().join(places.toDF("place", "__at"), "place").select(*on, "__at")
+        df = self.df.join(asked, on).drop(PLACE).withColumnRenamed("__at", PLACE)
+        return replace(self, df=df, base=self, span=None, order=PLACE)
 
     def __getitem__(self, what):
         """A column or vector by name, or a view by slice, filter, boolean column, family or
@@ -318,19 +376,27 @@ class Snapshot:
             return self.family(name)
         raise AttributeError(name)
 
-    def ids(self, ids: DataFrame, column: str = "iord") -> Snapshot:
-        """The rows whose id is in the only column of another frame."""
-        return replace(self, df=self.df.join(ids.toDF(column).distinct(), column, "left_semi"), base=self)
+    def ids(self, ids: DataFrame, column: str = "iord", missing: str = "ignore") -> Snapshot:
+        """The rows whose id is in the only column of another frame.  Ids that no row has
+        are left out; with missing="raise" they are a KeyError that names up to ten."""
+        keys = ids.toDF(column).distinct()
+        if missing == "raise" and (lost := [r[0] for r in keys.join(self.df, column, "left_anti").orderBy(column).limit(10).collect()]):
+            raise KeyError(f"no rows of {column} {lost}")
+        s = self.carried()
+        return replace(s, df=s.df.join(keys, column, "left_semi"), base=self, span=None)
 
     def union(self, other: Snapshot) -> Snapshot:
-        """Rows that are in either view of one snapshot."""
-        return replace(self, df=self.df.unionByName(other.df.select(self.df.columns)).dropDuplicates([ROW]))
+        """Rows that are in either view of one snapshot, once and in the file's order."""
+        plain = [c for c in self.df.columns if c != PLACE]
+        return replace(self, df=self.df.select(plain).unionByName(other.df.select(plain)).dropDuplicates([ROW]), span=None, order=None)
 
     def intersect(self, other: Snapshot) -> Snapshot:
-        return replace(self, df=self.df.join(other.df.select(ROW), ROW, "left_semi"))
+        s = self.carried()
+        return replace(s, df=s.df.join(other.df.select(ROW), ROW, "left_semi"), span=None)
 
     def setdiff(self, other: Snapshot) -> Snapshot:
-        return replace(self, df=self.df.join(other.df.select(ROW), ROW, "left_anti"))
+        s = self.carried()
+        return replace(s, df=s.df.join(other.df.select(ROW), ROW, "left_anti"), span=None)
 
     def ancestor(self) -> Snapshot:
         s = self
