@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..snapshot import Snapshot
 
 
@@ -63,19 +64,47 @@ def density_temperature(s: Snapshot, rho_unit=None, phases: str = "split", **kwa
     return hist2d(replace(g, df=df.where(good[0] & good[1])), "__rho", "__t", x_log=True, y_log=True, **kwargs)
 
 
-def smoothed(h: DataFrame, nx: int, ny: int, n_rows: int, spread: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
-    """A histogram on its grid convolved with a Gaussian of Scott's width n^(-1/6) times
-    the spread of the values in cells.  The grid has nx * ny numbers."""
-    grid = np.zeros((ny, nx))
-    for r in h.select("ix", "iy", "h").collect():
-        grid[r[1], r[0]] = r[2]
-    out = grid
-    for axis, sd in ((1, spread[0]), (0, spread[1])):
-        width = max(1e-9, sd * n_rows ** (-1 / 6))
-        m = max(1, int(math.ceil(4 * width)))
-        k = np.exp(-0.5 * (np.arange(-m, m + 1) / width) ** 2)
-        out = np.apply_along_axis(lambda v, k=k: np.convolve(v, k / k.sum(), "same") if len(v) >= len(k) else np.convolve(np.pad(v, len(k)), k / k.sum(), "same")[len(k) : -len(k)], axis, out)
-    return out
+def kde(s: Snapshot, x: str, y: str, nx: int = 100, ny: int = 100, extents: tuple[float, float, float, float] | None = None, weights: str | None = None, width: tuple[float, float] | None = None, correlated: bool = True, norm: bool = False, transposed: bool = False) -> DataFrame:
+    """ix, iy and value of a map of densities: a histogram convolved with a Gaussian.
+
+    The Gaussian's covariance is that of the rows' cells times n^(-1/3) (Scott's rule for
+    two dimensions); it is cut off at `width` (in units of x and y, default about 2 pi
+    standard deviations in all).  The map is over the kernel's norm, and with `norm` over
+    rows and area, too, so that it is a probability density.  `extents` are the map's edges
+    in x and y (default the rows' own; rows outside are left out).  `correlated=False` leaves
+    the covariance's other diagonal out; `transposed` gives the kernel's axes each other's
+    place, as some implementations do.
+
+    Rows make one partial aggregate; cells, which the map bounds, spread over the kernel."""
+    cx, cy = s.col(x).cast("double"), s.col(y).cast("double")
+    df = s.df.select(cx.alias("x"), cy.alias("y"), (s.col(weights) if weights else F.lit(1.0)).alias("w")).where("x is not null and y is not null")
+    x0, x1, y0, y1 = extents or df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None:
+        return df.select(F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(0.0).alias("value")).limit(0)
+    dx, dy = (x1 - x0) / nx, (y1 - y0) / ny
+    cell = lambda c, lo, d, n: F.least(F.floor((c - lo) / d), F.lit(n - 1)).cast("int")
+    inside = (F.col("x") >= x0) & (F.col("x") <= x1) & (F.col("y") >= y0) & (F.col("y") <= y1)
+    cells = df.where(inside).groupBy(cell(F.col("x"), x0, dx, nx).alias("ix"), cell(F.col("y"), y0, dy, ny).alias("iy")).agg(F.sum("w").alias("h"), F.count(F.lit(1)).alias("n"))
+    cells = checkpointed(cells)
+    # moments of the rows' cells, from the cells
+    n, sx, sy, xx, yy, xy = cells.agg(*[F.sum(F.col("n") * v) for v in (F.lit(1.0), F.col("ix"), F.col("iy"), F.col("ix") * F.col("ix"), F.col("iy") * F.col("iy"), F.col("ix") * F.col("iy"))]).first()
+    if not n or n < 2:
+        raise ValueError("a covariance takes two rows")
+    cov = np.array([[xx - sx * sx / n, xy - sx * sy / n], [xy - sx * sy / n, yy - sy * sy / n]]) / (n - 1)
+    if not correlated:
+        cov[0, 1] = cov[1, 0] = 0.0
+    scott = n ** (-1 / 6)
+    across = np.round(scott * 2 * math.pi * np.sqrt(np.diag(cov))) if width is None else np.round([width[0] / dx, width[1] / dy])
+    reach = [int(k) // 2 for k in across]
+    inverse = np.linalg.inv(cov * scott**2)
+    if transposed:
+        reach, inverse = reach[::-1], inverse[::-1, ::-1]
+    scale = math.sqrt(np.linalg.det(2 * math.pi * cov * scott**2)) * (n * dx * dy if norm else 1.0)
+    span = lambda c, r, m: F.explode(F.sequence(F.greatest(F.col(c) - r, F.lit(0)), F.least(F.col(c) + r, F.lit(m - 1))))
+    spread = cells.withColumn("px", span("ix", reach[0], nx)).withColumn("py", span("iy", reach[1], ny))
+    a, b = F.col("px") - F.col("ix"), F.col("py") - F.col("iy")
+    form = a * a * float(inverse[0, 0]) + a * b * float(2 * inverse[0, 1]) + b * b * float(inverse[1, 1])
+    return spread.groupBy(F.col("px").alias("ix"), F.col("py").alias("iy")).agg((F.sum(F.col("h") * F.exp(-form / 2)) / scale).alias("value"))
 
 
 def conditional(h: DataFrame) -> DataFrame:

@@ -688,6 +688,22 @@ def decomposition(spark, sf_dir):
     return s.df.groupBy("decomp").agg(F.count(F.lit(1)).alias("n"))
 
 
+_KDE = (
+    f"{E}, c AS (SELECT least(floor((x + 2e2) / 2e1), 19)::INT AS ix, least(floor((y + 2e2) / 2e1), 19)::INT AS iy FROM e WHERE x >= -2e2 AND x <= 2e2 AND y >= -2e2 AND y <= 2e2), "
+    "h AS (SELECT ix, iy, count(*) AS h FROM c GROUP BY ix, iy), "
+    "m AS (SELECT count(*)::DOUBLE AS n, var_samp(ix) AS xx, var_samp(iy) AS yy, covar_samp(ix, iy) AS xy, power(count(*), -1 / 3e0) AS s FROM c), "
+    "k AS (SELECT *, round(sqrt(s) * 2 * pi() * sqrt(xx))::INT // 2 AS rx, round(sqrt(s) * 2 * pi() * sqrt(yy))::INT // 2 AS ry, (xx * yy - xy * xy) * s AS d FROM m), "
+    "g AS (SELECT unnest(range(20))::INT AS i), "
+    "q AS (SELECT a.i AS ix, b.i AS iy, sum(h * exp(-(power(a.i - h.ix, 2) * yy - 2 * (a.i - h.ix) * (b.i - h.iy) * xy + power(b.i - h.iy, 2) * xx) / d / 2)) / (2 * pi() * sqrt(s * d)) AS value "
+    "FROM g a, g b, h, k WHERE abs(a.i - h.ix) <= rx AND abs(b.i - h.iy) <= ry GROUP BY a.i, b.i, s, d)"
+)
+
+
+@query(_round_sql(_KDE, "value", "ix, iy"))
+def kde_map(spark, sf_dir):
+    return _rounded(hist.kde(plain_events(spark, sf_dir), "x", "y", 20, 20, (-200.0, 200.0, -200.0, 200.0)))
+
+
 # ---- rendering
 
 
