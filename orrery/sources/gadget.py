@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..snapshot import ROW, Snapshot, snapshot
+from . import placed_writer
+from .placed_writer import Layout, placed
 
 # Types in their order, blocks of format 1 in theirs, and names of blocks.
 TYPES = ("gas", "dm", "dm", "dm", "star", "bh")
@@ -179,42 +181,40 @@ def read(spark: SparkSession, path: str, units: dict | None = None, properties:
 def write(s: Snapshot, path: str) -> None:
     """One file of format 2: pos, vel, iord, mass and, of gas, u, rho and smooth.
 
-    Columns come to the driver a partition at a time: the format is sequential."""
+    Tasks write their rows of each block at their places, see `placed_writer`."""
     kinds = {"gas": 0, "dm": 1, "star": 4, "bh": 5}
     sizes = {r["family"]: r["n"] for r in s.families().collect()}
+    if lost := set(sizes) - set(kinds):
+        raise ValueError(f"the format has no {sorted(lost)}")
     npart = [0] * 6
     for f, n in sizes.items():
         npart[kinds[f]] = n
-    ordered = sorted(sizes, key=kinds.get)
+    ordered, total = sorted(sizes, key=kinds.get), sum(sizes.values())
     raw = struct.pack("<6i6d2d2i6i2i4d", *npart, *[0.0] * 6, s.prop("a"), s.prop("z"), 0, 0, *npart, 0, 1, s.properties.get("boxsize", 0.0), s.prop("omegaM0"), s.prop("omegaL0"), s.prop("h"))
-
-    def column(names: list[str], families: list[str], dtype: str):
-        for fam in families:
-            rows = s.df.where(s.df["family"] == fam).select(ROW, *[s.col(c).alias(c) for c in names]).repartitionByRange(max(1, sizes[fam] // ROWS + 1), ROW).sortWithinPartitions(ROW)
-            buffer = []
-            for r in rows.toLocalIterator():
-                buffer.append([r[c] or 0 for c in names])
-                if len(buffer) == 10_000:
-                    yield np.array(buffer, dtype).tobytes()
-                    buffer = []
-            yield np.array(buffer, dtype).tobytes()
-
-    with open(_local(path), "wb") as f:
-
-        def block(name: str, size: int, chunks) -> None:
-            f.write(struct.pack("<i4sii", 8, name.encode(), size + 8, 8))
-            f.write(struct.pack("<i", size))
-            for c in chunks:
-                f.write(c)
-            f.write(struct.pack("<i", size))
-
-        block("HEAD", 256, [raw.ljust(256, b"\0")])
-        total = sum(sizes.values())
-        block("POS ", total * 24, column(["x", "y", "z"], ordered, "<f8"))
-        block("VEL ", total * 24, column(["vx", "vy", "vz"], ordered, "<f8"))
-        if s.has_key("iord"):
-            block("ID  ", total * 8, column(["iord"], ordered, "<u8"))
-        block("MASS", total * 8, column(["mass"], ordered, "<f8"))
-        for b in ("U   ", "RHO ", "HSML"):
-            if NAMES[b] in s.df.columns and sizes.get("gas"):
-                block(b, sizes["gas"] * 8, column([NAMES[b]], ["gas"], "<f8"))
+    blocks = [("POS ", [(c, "<f8") for c in "xyz"], ordered), ("VEL ", [(f"v{c}", "<f8") for c in "xyz"], ordered)]
+    if s.has_key("iord"):
+        blocks.append(("ID  ", [("iord", "<u8")], ordered))
+    blocks.append(("MASS", [("mass", "<f8")], ordered))
+    blocks += [(b, [(NAMES[b], "<f8")], ["gas"]) for b in ("U   ", "RHO ", "HSML") if NAMES[b] in s.df.columns and sizes.get("gas")]
+    marks, layouts, at = [], [], 0
+
+    def block(name: str, size: int, content: bytes | None = None) -> int:
+        """Marks around a block; the byte at which its content begins."""
+        nonlocal at
+        marks.append((at, struct.pack("<i4siii", 8, name.encode(), size + 8, 8, size)))
+        begin = at + 20
+        if content is not None:
+            marks.append((begin, content))
+        marks.append((begin + size, struct.pack("<i", size)))
+        at = begin + size + 4
+        return begin
+
+    block("HEAD", 256, raw.ljust(256, b"\0"))
+    for name, kind, families in blocks:
+        width = np.dtype(kind).itemsize
+        begin = block(name, width * sum(sizes[f] for f in families))
+        for family in families:
+            layouts.append(Layout(family, begin, kind))
+            begin += width * sizes[family]
+    columns = [c for _, kind, _ in blocks for c, _ in kind]
+    placed_writer.write(placed(s, columns), _local(path), at, marks, layouts, total)

@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import os
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..snapshot import ROW, Snapshot, snapshot
+from ..snapshot import ROW, Snapshot, contiguous, snapshot
+from . import column_files, placed_writer
+from .placed_writer import Layout, placed
 
 # The records' fields in their order.
 FIELDS = {
@@ -114,53 +118,72 @@ def read(spark: SparkSession, path: str, units: dict | None = None, properties:
     return snapshot(df, found | (units or {}), {"a": time, "time": time} | (properties or {}), ragged)
 
 
+def _places(sizes: dict[str, int], order: str, wide: tuple[bool, bool] = (False, False)) -> tuple[dict[str, int], int]:
+    """The byte at which each family's records begin, and the file's size."""
+    at, out = HEADER, {}
+    for family in FIELDS:
+        out[family] = at
+        at += sizes.get(family, 0) * record(family, order, *wide).itemsize
+    return out, at
+
+
 def write(s: Snapshot, path: str, order: str = ">", time: float | None = None) -> None:
     """A file of the families gas, dm and star, in file order; absent columns are 0.
 
-    Rows come to the driver a partition at a time: the format is one sequential file."""
-    order_by = {"gas": 0, "dm": 1, "star": 2}
+    Tasks write their rows at their places, see `placed_writer`."""
     sizes = {r["family"]: r["n"] for r in s.families().collect()}
+    if lost := set(sizes) - set(FIELDS):
+        raise ValueError(f"the format has no {sorted(lost)}")
     n = [sizes.get(f, 0) for f in FIELDS]
-    have = [c for c in COLUMNS if c in s.df.columns]
-    with open(_local(path), "wb") as f:
-        f.write(struct.pack(f"{order}diiiiii", s.prop("a") if time is None else time, sum(n), 3, *n, 0))
-        for family in sorted(sizes, key=lambda k: order_by[k]):
-            kind = record(family, order)
-            rows = s.df.where(s.df["family"] == family).select(ROW, *have).repartitionByRange(max(1, sizes[family] // ROWS + 1), ROW).sortWithinPartitions(ROW)
-            buffer = []
-            for r in rows.toLocalIterator():
-                buffer.append(tuple(r[c] or 0.0 if c in have else 0.0 for c in kind.names))
-                if len(buffer) == 10_000:
-                    f.write(np.array(buffer, kind).tobytes())
-                    buffer = []
-            f.write(np.array(buffer, kind).tobytes())
-
-
-def read_column(spark: SparkSession, path: str, name: str, order: str = ">") -> object:
+    at, size = _places(sizes, order)
+    head = struct.pack(f"{order}diiiiii", s.prop("a") if time is None else time, sum(n), 3, *n, 0)
+    layouts = [Layout(f, at[f], record(f, order).descr) for f in FIELDS]
+    rows = placed(s, [c for c in COLUMNS if c in s.df.columns])
+    placed_writer.write(rows, _local(path), size, [(0, head)], layouts, sum(n))
+
+
+def update(s: Snapshot, path: str, *names: str, wide_pos: bool = False, wide_vel: bool = False) -> None:
+    """Columns of a file replaced by a snapshot's, which has the file's rows; all else stays."""
+    time, sizes, order = header(_local(path))
+    own = {r["family"]: r["n"] for r in s.families().collect()}
+    if own != {f: n for f, n in sizes.items() if n}:
+        raise ValueError(f"the snapshot has {own} rows, the file {sizes}")
+    wide = (wide_pos, wide_vel)
+    at, size = _places(sizes, order, wide)
+    with open(_local(path), "rb") as f:
+        head = f.read(HEADER)
+    layouts = [Layout(f, at[f], record(f, order, *wide).descr, _local(path), tuple(c for c in names if c in FIELDS[f])) for f in FIELDS]
+    placed_writer.write(placed(s, names), _local(path), size, [(0, head)], layouts, sum(own.values()))
+
+
+def write_column(s: Snapshot, name: str, path: str, order: str = ">") -> None:
+    """A column file beside a snapshot, `<path>.<name>`: the number of rows, then a value for
+    each row of gas, dark matter and stars."""
+    sizes = {r["family"]: r["n"] for r in s.families().collect()}
+    kind, at, layouts = [(name, f"{order}f4")], 4, []
+    for family in FIELDS:
+        layouts.append(Layout(family, at, kind))
+        at += 4 * sizes.get(family, 0)
+    total = sum(sizes.values())
+    placed_writer.write(placed(s, [name]), f"{_local(path)}.{name}", at, [(0, struct.pack(f"{order}i", total))], layouts, total)
+
+
+def read_column(spark: SparkSession, path: str, name: str, order: str = ">") -> DataFrame:
     """An auxiliary column file (`<snapshot>.<name>`): its number of rows, then a value
     for each row, as text or binary.  pidx and the column."""
     with open(_local(path), "rb") as f:
-        head = f.read(4)
-        n = struct.unpack(f"{order}i", head)[0]
-        size = os.path.getsize(_local(path))
-        if size == 4 + 4 * n:
-            values = np.frombuffer(f.read(), f"{order}f4").astype(float)
-        else:
-            f.seek(0)
-            words = f.read().split()
-            values = np.array(words[1 : 1 + int(words[0])], float)
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({ROW: np.arange(len(values)), name: values}))
+        n = struct.unpack(f"{order}i", f.read(4))[0]
+    if os.path.getsize(_local(path)) == 4 + 4 * n:
+        column = column_files.Column((name,), _local(path), f"{order}f4", 4)
+        return column_files.frame(spark, [column_files.Family("all", n, (column,))]).select(ROW, name)
+    # text is split by lines, and its words are numbered through
+    words = spark.read.text(f"file://{_local(path)}").select(F.explode(F.split("value", r"\s+")).alias("w")).where("w <> ''")
+    return contiguous(words, "at").where("at > 0").select((F.col("at") - 1).alias(ROW), F.col("w").cast("double").alias(name))
 
 
 def star_log(log, stars: Snapshot, key: str = "iord") -> Snapshot:
     """Stars with the columns of a formation log, joined by id; of an id's entries the
     last counts (column `entry` has their order)."""
-    from dataclasses import replace
-
-    from pyspark.sql import functions as F
-
     cols = [c for c in log.columns if c not in (key, "entry")]
     last = log.groupBy(key).agg(F.max_by(F.struct(*cols), "entry").alias("l")).select(key, *[F.col(f"l.{c}").alias(c) for c in cols])
     return replace(stars, df=stars.df.join(last, key, "left"))
