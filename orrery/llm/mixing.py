@@ -34,8 +34,9 @@ from .textkit import annotate, chunks, documents, stored
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
-#: Rows of a bucket of a source, and of a range of virtual time.
-BUCKET_ROWS = 100_000
+#: Rows of a bucket of a source of average size, and of a range of virtual time.
+BUCKET_ROWS = 4_000
+RANGE_ROWS = 16_000
 
 
 def _sizes():
@@ -108,7 +109,7 @@ def schedule(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return placed.join(starts, ["skey", "bucket"]).withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside")
 
 
-def mixture(plan: DataFrame, epochs: int = EPOCHS, range_rows: int = BUCKET_ROWS) -> DataFrame:
+def mixture(plan: DataFrame, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix of a `schedule`: a row for each document and time that it is taken, with
     `epoch` (from 0), `finish` (virtual time, cut at the end), `words` that are taken and
     `position`, the words of the mix ahead of it.  Of what isn't taken at all there is a row
