@@ -7,14 +7,15 @@ digits between letters, and lexicon words that show once those are read as lette
 The trees boost the log-loss; isotonic regression on out-of-fold margins turns margins
 into probabilities.
 
-Training takes a bounded sample of labelled rows (`sample_rows`); lexicons for the
-training features are learnt cross-wise on the other half of the sample, so that no row
-is described by its own label.
+Training takes a bounded sample of labelled rows (`sample_rows`), dealt to `FOLDS` folds by
+id.  A row's training features come from lexicons that were learnt without its fold, so that
+no row is described by its own label, and from nearly as many rows as the lexicons that
+texts are scored by: trees and calibration are fitted on features like those that they map.
 
 Null and empty texts have all features 0 and get the score of such a text.  Rows without
 an id or a label are not learnt from; without any labelled row all scores are 0, with
 labels of one kind only they are that label.  Texts are read whole.  Repeated rows are
-scored each; an empty table gives an empty result.  Columns of the input with the name
+scored each, and of a repeated id the least text is learnt from; an empty table gives an empty result.  Columns of the input with the name
 of an output are left out.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .textkit import U64, Chunk, annotate, bound_batches, chunks, documents, keep_where, stored
 
 SAMPLE_ROWS = 16_000
+FOLDS = 5
 LEXICON = 4000
 THRESHOLD = 0.7
 
@@ -281,7 +283,7 @@ def _count_words():
                     seen = np.unique(np.stack([w.row.astype(U64), codes], axis=1), axis=0) if len(codes) else np.zeros((0, 2), U64)
                     row = seen[:, 0].astype(np.int64) + at
                     key, back = np.unique(seen[:, 1], return_inverse=True)
-                    for f in (0, 1):
+                    for f in range(FOLDS):
                         mine = fold[row] == f
                         yes = np.bincount(back[mine], toxic[row[mine]], len(key)).astype(np.int64)
                         both = np.bincount(back[mine], minlength=len(key))
@@ -293,10 +295,11 @@ def _count_words():
 
 
 def _lexicons(sample: DataFrame, totals: dict[int, tuple[int, int]]) -> list[Lexicon]:
-    """Lexicons of fold 0, fold 1 and both, at most LEXICON entries of a kind."""
+    """Lexicons without each of the folds, and of all, at most LEXICON entries of a kind."""
     counts = stored(sample.select("fold", "toxic", "text").mapInArrow(_count_words(), "kind long, fold long, key long, yes long, n long").groupBy("kind", "fold", "key").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")), "lexicon")
     out = []
-    for folds in ((0,), (1,), (0, 1)):
+    for left in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != left]
         pos, neg = sum(totals[f][0] for f in folds), sum(totals[f][1] for f in folds)
         odds = F.log((F.col("yes") + 0.1) / (pos + 1.0)) - F.log((F.col("n") - F.col("yes") + 0.5) / (neg + 1.0))
         own = counts.where(F.col("fold").isin(*folds)).groupBy("kind", "key").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
@@ -316,9 +319,10 @@ def _describe(lexicons: list[Lexicon]):
     def run(batches):
         for b in batches:
             fold = b.column(0).to_numpy()
-            # a row's features come from the lexicon of the other fold
-            both = [features(b.column(2), lexicons[1 - f]) for f in (0, 1)]
-            x = np.where((fold == 0)[:, None], both[0], both[1])
+            x = np.zeros((len(fold), FEATURES), np.float32)
+            for f in np.unique(fold):
+                rows = np.flatnonzero(fold == f)
+                x[rows] = features(b.column(2).take(pa.array(rows)), lexicons[f])
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(x[:, k]) for k in range(FEATURES)]], ["toxic", *[f"x{k}" for k in range(FEATURES)]])
 
     return run
@@ -330,23 +334,24 @@ def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     bound_batches(df.sparkSession)
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("long")).alias("toxic"))
     h = F.xxhash64("__id", F.lit(3))
-    chosen = ids.orderBy(h, "__id").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(4)), F.lit(2)))
+    chosen = ids.orderBy(h, "__id").limit(sample_rows).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(4)), F.lit(FOLDS)))
     # at most sample_rows rows of three integers
-    sample = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).select("fold", "toxic", "text")
+    sample = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "__id")
+    sample = sample.groupBy("__id").agg(F.min(F.struct("text", "fold", "toxic")).alias("r")).select("r.fold", "r.toxic", "r.text")
     sample = stored(sample, "sample")
-    totals = {0: (0, 0), 1: (0, 0)} | {r[0]: (r[1], r[2]) for r in sample.groupBy("fold").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()}
+    totals = dict.fromkeys(range(FOLDS), (0, 0)) | {r[0]: (r[1], r[2]) for r in sample.groupBy("fold").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()}
     pos, neg = (sum(t[k] for t in totals.values()) for k in (0, 1))
     if not pos or not neg:
         return Model(Lexicon(), None, constant=float(pos > 0))
     lexicons = _lexicons(sample, totals)
-    got = sample.mapInArrow(_describe(lexicons[:2]), "toxic long, " + ", ".join(f"x{k} float" for k in range(FEATURES))).toPandas()
+    got = sample.mapInArrow(_describe(lexicons[:FOLDS]), "toxic long, " + ", ".join(f"x{k} float" for k in range(FEATURES))).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     y, x = got["toxic"].to_numpy(float), got[[f"x{k}" for k in range(FEATURES)]].to_numpy(np.float32)
     part, margin = np.arange(len(y)) % 4, np.zeros(len(y))
     for k in range(4):
         fit, rest = part != k, part == k
         margin[rest] = Trees().fit(x[fit], y[fit]).margin(x[rest]) if 0 < y[fit].sum() < fit.sum() else 0.0
-    return Model(lexicons[2], Trees().fit(x, y), isotonic(margin, y))
+    return Model(lexicons[FOLDS], Trees().fit(x, y), isotonic(margin, y))
 
 
 def _score(model: Model, threshold: float):
