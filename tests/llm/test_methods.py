@@ -462,3 +462,27 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     from tests.compare import assert_same
 
     assert_same(spark, sf_dir, catalog.QUERIES[name], catalog.SQL[name])
+
+
+def test_toxicity_is_calibrated_on_held_out_rows(spark):
+    at = "/root/testdata/sf0.01"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    got = toxicity.op10_toxicity(spark, at).join(labels, "doc_id").where("held_out").select("score", "toxic").toPandas()
+    p, y = got["score"].to_numpy(), got["toxic"].to_numpy()
+    assert ((p - y) ** 2).mean() < 0.05 < (y.mean() * (1 - y.mean()))
+    # scores are neither all too high nor all too low
+    assert abs(p.mean() - y.mean()) < 0.05
+    for sure in (p < 0.1, p > 0.9):
+        assert abs(p[sure].mean() - y[sure].mean()) < 0.1
+
+
+def test_toxicity_learns_the_same_from_repeated_ids_in_any_order(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    again = docs.unionByName(docs.limit(40).withColumn("text", F.concat(F.lit("you "), "text"))).withColumn("text", F.when(F.col("doc_id") % 17 == 0, None).otherwise(F.col("text")))
+    more = labels.unionByName(labels.limit(9)).unionByName(spark.createDataFrame([(None, 1, 1), (5, 1, None)], labels.schema))
+    models = [toxicity.train(d, more) for d in (again, again.orderBy(F.rand(2)).repartition(5))]
+    texts = pa.array(["", None, "you stupid idiot", "x" * 200_000, "🙂 ünïcödé", "YOU!!! 1d10t"])
+    first, second = (m.score(texts) for m in models)
+    assert first.tolist() == second.tolist() and ((0 <= first) & (first <= 1)).all()
