@@ -32,6 +32,17 @@ def test_units():
         u("m").dimensional_project(["s"])
 
 
+def test_conversions_are_exact():
+    u = units.parse
+    assert u("0.2 Mpc").ratio("kpc") == 200.0 and u("0.1 Mpc").ratio("kpc") == 100.0
+    assert u("3 Gyr").ratio("Myr") == 3000.0 and u("kpc a^2").ratio("pc", a=0.1) == 10.0
+
+
+def test_low_pass_leaves_out_rows_at_its_limit(spark):
+    s = sn.snapshot(spark.createDataFrame([(0, 200.0, 0.0, 0.0), (1, 120.0, 160.0, 0.0), (2, 199.0, 0.0, 0.0)], "pidx long, x double, y double, z double"), {"pos": "kpc"})
+    assert _ids(s.where(filters.LowPass("r", "0.2 Mpc"))) == [2]
+
+
 @pytest.fixture(scope="module")
 def blob(spark):
     rng = np.random.default_rng(1337)
