@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..snapshot import ROW, Snapshot, numbered
@@ -155,11 +155,23 @@ def from_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
 
 def _within(rows: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     """Rows by their place `at` with the spans (offset, length) of equal keys that hold
-    them, by coarse cells of places."""
-    cell = 1 << 16
-    spans = spans.where("length > 0").withColumn("__c", F.explode(F.sequence(F.floor(F.col("offset") / cell), F.floor((F.col("offset") + F.col("length") - 1) / cell))))
-    rows = rows.withColumn("__c", F.floor(F.col("at") / cell))
-    return rows.join(spans, [*keys, "__c"]).where((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("length"))).drop("__c")
+    them.
+
+    Spans are cut to the places that there are and into pieces of a bounded length, whose
+    places are joined by equality: as many as there are members."""
+    lo, hi = rows.agg(F.min("at"), F.max("at")).first()
+    first, end = F.greatest(F.col("offset"), F.lit(lo).cast("long")), F.least(F.col("offset") + F.col("length"), F.lit(hi).cast("long") + 1)
+    cut = spans.withColumn("length", end - first).withColumn("offset", first)
+    return _members(rows, cut, *keys)
+
+
+def _members(rows: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """`_within` of spans that end with the rows."""
+    piece = 1 << 12
+    cut = spans.where("length > 0").withColumn("__a", F.col("offset").cast("long")).withColumn("__b", (F.col("offset") + F.col("length") - 1).cast("long")).drop("offset", "length")
+    cut = cut.withColumn("__a", F.explode(F.sequence("__a", "__b", F.lit(piece).cast("long"))))
+    each = cut.withColumn("at", F.explode(F.sequence("__a", F.least(F.col("__a") + piece - 1, F.col("__b"))))).drop("__a", "__b")
+    return rows.withColumn("at", F.col("at").cast("long")).join(each, [*keys, "at"])
 
 
 def from_family_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
@@ -167,10 +179,15 @@ def from_family_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
     where places count the rows of a family in order, wherever they lie in the file."""
     keyed = s.df.select(ROW, "family").withColumn("__k", F.struct("family", ROW))
     placed = numbered(keyed, "__k", "__all").drop("__k")
-    # one row for each family
-    first = placed.groupBy("family").agg(F.min("__all").alias("__first"))
+    # one row for each family; those before it in the order have so many rows
+    sizes = s.df.groupBy("family").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("family").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select("family", F.coalesce(before, F.lit(0)).alias("__first"), "__n")
     rows = placed.join(F.broadcast(first), "family").select(ROW, "family", (F.col("__all") - F.col("__first")).alias("at"))
-    hit = _within(rows, halos.select("halo", "family", "offset", "length"), "family")
+    # spans end with their family's rows
+    held = halos.join(F.broadcast(first.select("family", "__n")), "family").withColumn("__end", F.least(F.col("offset") + F.col("length"), F.col("__n")))
+    held = held.withColumn("offset", F.greatest(F.col("offset"), F.lit(0))).select("halo", "family", "offset", (F.col("__end") - F.col("offset")).alias("length"))
+    hit = _members(rows, held, "family")
     return Catalogue(s, hit.select("halo", ROW), halos.select("halo").distinct())
 
 
