@@ -68,3 +68,33 @@ def test_kernel_sums_move_no_pairs(spark, box):
     got = sph.sph_sum(s, "mean", "vx", 8)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan or "neighbour" not in plan
+
+
+def test_spans_are_joined_by_place_not_by_pairs(spark):
+    from orrery.operators import groups
+
+    n = 3000
+    s = sn.snapshot(spark.createDataFrame([(i, ("gas", "star", "dm")[i * 7 % 3]) for i in range(n)], "pidx long, family string"))
+    spans = [(0, "gas", 0, 5), (1, "gas", 995, 10**12), (2, "dm", -3, 5), (3, "star", 10, 990), (4, "dm", 7, 0), (5, "gas", 3, 4)]
+    h = spark.createDataFrame(spans, "halo long, family string, offset long, length long")
+    c = groups.from_family_offsets(s, h)
+    place = {f: [i for i in range(n) if ("gas", "star", "dm")[i * 7 % 3] == f] for f in ("gas", "star", "dm")}
+    want = sorted((k, p) for k, f, o, m in spans for p in place[f][max(o, 0) : max(o + m, 0)])
+    assert sorted(map(tuple, c.members.collect())) == want
+
+
+def test_gravity_of_all_in_tiles(spark):
+    from orrery.operators import gravity
+
+    rng = np.random.default_rng(8)
+    p, m = rng.normal(size=(70, 3)), rng.uniform(1, 2, 70)
+    p[1] = p[0]
+    s = sn.snapshot(spark.createDataFrame([*[(i, *map(float, p[i]), float(m[i])) for i in range(70)], (70, None, 0.0, 0.0, 1.0)], "pidx long, x double, y double, z double, mass double"))
+    got = gravity.all_direct(s, 0.0, 16).orderBy("pidx").toPandas()
+    d = p[:, None] - p[None]
+    with np.errstate(divide="ignore"):
+        inv = 1 / np.sqrt((d * d).sum(2))
+    inv[np.isinf(inv)] = 0
+    assert np.allclose(got["phi"][:70], -(inv * m).sum(1)) and np.isnan(got["phi"][70])
+    assert np.allclose(got[["ax", "ay", "az"]][:70], -((inv**3 * m)[..., None] * d).sum(1))
+    assert np.allclose(gravity.all_direct(s, 0.0, 16, force=False).orderBy("pidx").toPandas()["phi"][:70], got["phi"][:70])
