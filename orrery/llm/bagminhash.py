@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bloom_join import narrowed
 from .components import components
-from .textkit import U64, Chunk, Scratch, annotate, chunks, documents, free_name, give_back, mix, ngram_hashes, stored
+from .textkit import CHUNK_BYTES, U64, Chunk, Scratch, annotate, chunks, documents, free_name, give_back, mix, ngram_hashes, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -189,13 +189,6 @@ def similarities(a: pa.Array, b: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _agree(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Share of equal slots."""
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(-1, SLOTS)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(-1, SLOTS)
-    return (x == y).mean(axis=1)
-
-
 def least_agreement(similarity: float) -> float:
     """Signatures of texts of this similarity agree less with a probability of 3e-7."""
     return similarity - 5 * (similarity * (1 - similarity) / SLOTS) ** 0.5
@@ -203,10 +196,14 @@ def least_agreement(similarity: float) -> float:
 
 def _verify(similarity: float, size: int):
     def run(batches):
+        got = 0
         for b in batches:
+            got += b.nbytes
             sim = similarities(b.column(2), b.column(3), size)
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["u", "v"]).filter(pa.array(sim >= similarity - 1e-12))
-        give_back()
+        # collecting garbage takes longer than the few pairs of a small task
+        if got > CHUNK_BYTES:
+            give_back()
 
     return run
 
@@ -233,14 +230,11 @@ def _banded(signed: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree at least so much."""
-
-    @F.pandas_udf("double")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_agree(a, b) if len(a) else np.zeros(0))
-
+    slot = lambda sig, k: F.substring(sig, k * 2 + 1, 2)
+    equal = F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: slot("sig_a", k) == slot("sig_b", k))
     sig = signed.select("node", "sig")
     out = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    return out.where(agree("sig_a", "sig_b") >= least).select("a", "b")
+    return out.where(F.size(equal) / SLOTS >= least).select("a", "b")
 
 
 def _linked(similarity: float, size: int):
@@ -338,17 +332,17 @@ def _roots(s: Scratch, df: DataFrame, signed: DataFrame, text_col: str, similari
     members = s.stored(bands.join(pivots, "bucket"), "buckets")
     pairs = s.stored(_estimated(members.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), signed, least_agreement(similarity)), "pairs")
     links = None if pairs.isEmpty() else _verified(s, pairs, signed, texts, similarity, size)
-    roots = None if links is None or links.isEmpty() else s.stored(components(links, s), "roots")
+    roots = None if links is None or links.isEmpty() else components(links, s, plain=True)
     # what still is apart though in one bucket
     apart = _labelled(members.select("bucket", "node", "bytes"), roots, "node", "root")
     left = s.stored(_leftover(s, apart, signed, texts, similarity, size, block), "links")
     if left.isEmpty():
         return roots
     if roots is None:
-        return s.stored(components(left, s), "roots")
+        return components(left, s, plain=True)
     # components of components: only they and the texts that were alone have new roots
     of = _labelled(_labelled(left, roots, "u", "root_u"), roots, "v", "root_v")
-    above = s.stored(components(of.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), s), "roots")
+    above = components(of.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), s)
     joined = _labelled(roots.withColumnRenamed("root", "mid"), above, "mid", "root").select("node", "root")
     return s.stored(joined.unionByName(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 

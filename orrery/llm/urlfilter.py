@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .textkit import U64, mix, pages, stored
 
 _WORDS = 8  # of 64 bits in a block: one cache line
+#: A filter up to this size comes to the driver in one job.
+AT_ONCE_BYTES = 8 << 20
 OUTPUTS = ("host", "path", "rule", "verdict")
 
 
@@ -92,8 +94,10 @@ def build_filter(keys: DataFrame, column: str, max_bytes: int) -> BlockedBloom |
             yield pd.DataFrame({"block": at[i : i + 4096]} | {f"w{k}": part[:, k] for k in range(_WORDS)})
 
     parts = keys.select(column).mapInPandas(fill, "block long, " + ", ".join(f"w{k} long" for k in range(_WORDS)))
-    # at most max_bytes come to the driver: one row for each block
-    for row in parts.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(_WORDS)]).toLocalIterator():
+    merged = parts.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(_WORDS)])
+    # at most max_bytes come to the driver, one row for each block: a small filter at once, since
+    # an iterator runs a job for each partition
+    for row in merged.collect() if made.size <= AT_ONCE_BYTES else merged.toLocalIterator():
         made.blocks[row[0]] = np.array(row[1:], np.int64).view(U64)
     return made
 
