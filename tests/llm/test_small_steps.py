@@ -2,6 +2,7 @@
 
 import contextlib
 
+import numpy as np
 import pytest
 
 from orrery.llm import bagminhash, components, textkit
@@ -28,7 +29,7 @@ def test_small_filter_takes_no_job_a_partition(spark):
         jobs = len(sc.statusTracker().getJobIdsForGroup("filter"))
         sc.setLocalProperty("spark.jobGroup.id", None)
     hashes = [r.h for r in spark.range(500).selectExpr("xxhash64(id) AS h").collect()]
-    assert made.may_have(textkit.np.array(hashes, textkit.np.int64)).all()
+    assert made.may_have(np.array(hashes, np.int64)).all()
     assert jobs < 12
 
 
@@ -45,14 +46,15 @@ def test_small_filter_takes_no_job_a_partition(spark):
 )
 def test_stars_are_known_without_a_round(spark, monkeypatch, edges, want, most):
     made = []
+    in_scratch = textkit.Scratch.stored
     monkeypatch.setattr(components, "stored", lambda df, what: made.append(what) or textkit.stored(df, what))
+    monkeypatch.setattr(textkit.Scratch, "stored", lambda self, df, what: made.append(what) or in_scratch(self, df, what))
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: root for root, nodes in want.items() for n in nodes}
     assert len(made) <= most
 
 
 def test_agreement_is_that_of_all_slots(spark):
-    np = textkit.np
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 16, bagminhash.SLOTS).astype(np.uint16)
     sigs = {0: a}
