@@ -158,7 +158,9 @@ def _within(rows: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     them.
 
     Spans are cut to the places that there are and into pieces of a bounded length, whose
-    places are joined by equality: as many as there are members."""
+    places are joined by equality: as many as there are members.  They are sorted and merged:
+    their size is estimated from the spans, not from the places, so that a driver could be
+    sent all members to broadcast."""
     lo, hi = rows.agg(F.min("at"), F.max("at")).first()
     first, end = F.greatest(F.col("offset"), F.lit(lo).cast("long")), F.least(F.col("offset") + F.col("length"), F.lit(hi).cast("long") + 1)
     cut = spans.withColumn("length", end - first).withColumn("offset", first)
@@ -171,7 +173,7 @@ def _members(rows: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     cut = spans.where("length > 0").withColumn("__a", F.col("offset").cast("long")).withColumn("__b", (F.col("offset") + F.col("length") - 1).cast("long")).drop("offset", "length")
     cut = cut.withColumn("__a", F.explode(F.sequence("__a", "__b", F.lit(piece).cast("long"))))
     each = cut.withColumn("at", F.explode(F.sequence("__a", F.least(F.col("__a") + piece - 1, F.col("__b"))))).drop("__a", "__b")
-    return rows.withColumn("at", F.col("at").cast("long")).join(each, [*keys, "at"])
+    return rows.withColumn("at", F.col("at").cast("long")).join(each.hint("merge"), [*keys, "at"])
 
 
 def from_family_offsets(s: Snapshot, halos: DataFrame) -> Catalogue:
