@@ -1,7 +1,11 @@
 """What larger tables brought to light."""
 
+import numpy as np
+import pytest
+
 from orrery import snapshot as sn
-from orrery.operators import groups
+from orrery.operators import gravity, groups
+from orrery.operators.neighbours import tree
 
 
 def test_members_of_spans_are_not_broadcast(spark):
@@ -13,3 +17,48 @@ def test_members_of_spans_are_not_broadcast(spark):
     got = sorted(map(tuple, members.collect()))
     assert got == sorted((h, p) for h, a, m in spans for p in range(max(a, 0), min(a + m, n)))
     assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+
+
+def potentials(p, q, m, e2):
+    d = p[:, None] - q[None]
+    r2 = (d * d).sum(2) + e2
+    r2[r2 == 0] = np.inf
+    return (m / np.sqrt(r2)).sum(1)
+
+
+@pytest.mark.parametrize("e2", [0.0, 1e-8, 4.0])
+def test_potentials_both_ways_are_as_from_differences(e2):
+    rng = np.random.default_rng(4)
+    # on a lattice with common places, a dense clump, far from the origin
+    p = np.concatenate([rng.integers(-5, 5, (400, 3)) * 0.25, rng.normal(size=(300, 3)) * 1e-4, rng.uniform(-300, 300, (900, 3))]) + 1000.0
+    p, m = p[tree(p, gravity.SQUARE).order], rng.uniform(1, 5, 1600)
+    q = p[tree(p[:700], gravity.SQUARE).order]
+    out, back = gravity._potentials(p.T, q.T, m, m[:700], e2)
+    assert np.allclose(out, potentials(p, q, m[:700], e2), rtol=1e-11, atol=0)
+    assert np.allclose(back, potentials(q, p, m, e2), rtol=1e-11, atol=0)
+
+
+def test_gravity_of_all_reads_blocks_and_copies_no_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 5000
+    p, m = rng.uniform(-50, 50, (n, 3)).round(1), rng.uniform(1, 2, n)
+    rows = [(i, *map(float, p[i]), float(m[i]) if i % 7 else None, 2.0 + (i % 2 if i < 2000 else 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pidx long, x double, y double, z double, mass double, eps double")
+    w = np.where(np.arange(n) % 7, m, 0.0)
+    # one softening, in a block of several pieces and in many blocks; then one for each row
+    for s, eps, block, e2 in ((sn.snapshot(df), 2.0, n, 4.0), (sn.snapshot(df), 2.0, 400, 4.0), (sn.snapshot(df), None, 2000, np.array([r[5] ** 2 for r in rows]))):
+        got = gravity.all_direct(s, eps, block, force=False)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "explode" not in plan
+        got = got.orderBy("pidx").toPandas()
+        assert got["pidx"].tolist() == list(range(n))
+        assert np.allclose(got["phi"], -potentials(p, p, w, e2), rtol=1e-12)
+
+
+def test_gravity_of_few_rows_in_many_blocks(spark):
+    kind = "pidx long, x double, y double, z double, mass double"
+    assert gravity.all_direct(sn.snapshot(spark.createDataFrame([], kind)), 1.0).collect() == []
+    # some blocks have no rows
+    s = sn.snapshot(spark.createDataFrame([(i, float(i), 0.0, 0.0, 1.0) for i in range(20)], kind))
+    got = [r["phi"] for r in gravity.all_direct(s, 0.0, 1, force=False).orderBy("pidx").collect()]
+    assert np.allclose(got, [-sum(1 / abs(i - j) for j in range(20) if j != i) for i in range(20)])
